@@ -75,39 +75,41 @@ def running(
     *,
     sums: Mapping[str, Column] | None = None,
     maxima: Mapping[str, Column] | None = None,
+    maxima_before: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Inclusive running sums / maxima over ``order`` within ``group``.
+    """Running sums and maxima over ``order`` within ``group``.
 
-    ``chunk`` is a column that is constant on contiguous stretches of the order. Maxima skip
-    nulls and are null until the first non-null value.
+    ``chunk`` is a column that is constant on contiguous stretches of the order. Sums and maxima
+    include the current row, ``maxima_before`` does not. Maxima skip nulls and are null until
+    the first non-null value. Group columns must not be null.
     """
-    sums, maxima = dict(sums or {}), dict(maxima or {})
+    sums = dict(sums or {})
+    upto_now, upto_last = dict(maxima or {}), dict(maxima_before or {})
+    peaks = {**upto_now, **upto_last}
     key = [*group, chunk]
     local = Window.partitionBy(*key).orderBy(*_ordering(order))
-    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = df.select(
-        "*",
-        *[e.alias(f"_in_{n}") for n, e in {**sums, **maxima}.items()],
-    )
-    totals = out.groupBy(*key).agg(
+    now = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = local.rowsBetween(Window.unboundedPreceding, -1)
+    frame = {**{n: now for n in upto_now}, **{n: last for n in upto_last}}
+    inputs = df.select("*", *[e.alias(f"_in_{n}") for n, e in {**sums, **peaks}.items()])
+    totals = inputs.groupBy(*key).agg(
         *[F.sum(f"_in_{n}").alias(f"_c_{n}") for n in sums],
-        *[F.max(f"_in_{n}").alias(f"_c_{n}") for n in maxima],
-    )
-    before = (
-        Window.partitionBy(*group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+        *[F.max(f"_in_{n}").alias(f"_c_{n}") for n in peaks],
     )
+    # One row per chunk.
+    before = Window.partitionBy(*group).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
         *key,
         *[F.coalesce(F.sum(f"_c_{n}").over(before), F.lit(0)).alias(f"_p_{n}") for n in sums],
-        *[F.max(f"_c_{n}").over(before).alias(f"_p_{n}") for n in maxima],
+        *[F.max(f"_c_{n}").over(before).alias(f"_p_{n}") for n in peaks],
     )
-    local_runs = out.select(
+    local_runs = inputs.select(
         *df.columns,
-        *[F.sum(f"_in_{n}").over(upto).alias(f"_r_{n}") for n in sums],
-        *[F.max(f"_in_{n}").over(upto).alias(f"_r_{n}") for n in maxima],
+        *[F.sum(f"_in_{n}").over(now).alias(f"_r_{n}") for n in sums],
+        *[F.max(f"_in_{n}").over(frame[n]).alias(f"_r_{n}") for n in peaks],
     )
     return local_runs.join(carry, key).select(
         *df.columns,
         *[(F.coalesce(F.col(f"_r_{n}"), F.lit(0)) + F.col(f"_p_{n}")).alias(n) for n in sums],
-        *[F.greatest(F.col(f"_r_{n}"), F.col(f"_p_{n}")).alias(n) for n in maxima],
+        *[F.greatest(F.col(f"_r_{n}"), F.col(f"_p_{n}")).alias(n) for n in peaks],
     )

@@ -205,63 +205,31 @@ def psi_bins_continuous(
     enough = F.least("current_n", "baseline_n") >= config.min_samples
     shares = (
         per_window.join(
-            broadcast_if_small(nodes.select(*NODE, "baseline_n", "edges", "base_props")), list(NODE)
+            broadcast_if_small(nodes.select(*NODE, "baseline_n", "labels", "base_props")), list(NODE)
         )
         .filter(enough)
         .select(
             *WINDOW_NODE,
             "current_n",
             "by_bin",
-            "edges",
+            "labels",
             F.posexplode("base_props").alias("bin", "baseline_prop"),
         )
         .withColumn(
             "current_prop",
             F.coalesce(F.try_element_at("by_bin", F.col("bin")), F.lit(0)) / F.col("current_n"),
         )
-        .withColumn("low", F.get("edges", F.col("bin")))
-        .withColumn("high", F.get("edges", F.col("bin") + 1))
     )
     return shares.select(
         *WINDOW_NODE,
         "bin",
-        F.concat(
-            F.lit("["), _four_digits("low"), F.lit(", "), _four_digits("high"), F.lit(")")
-        ).alias("label"),
+        F.get("labels", F.col("bin")).alias("label"),
         "baseline_prop",
         "current_prop",
         _share_term(F.col("current_prop"), F.col("baseline_prop")).alias("contribution"),
     )
 
 
-def _four_digits(name: str) -> Column:
-    """A number with four significant digits and no trailing zeros (``%.4g``)."""
-    x = F.col(name)
-    size = F.when(x == 0, 0).otherwise(F.floor(F.log10(F.abs(x))).cast("int"))
-    # Rounding to four digits can carry into the next power of ten.
-    mantissa = F.round(x / F.pow(F.lit(10.0), size), 3)
-    carry = F.abs(mantissa) >= 10
-    power = F.when(carry, size + 1).otherwise(size)
-    m = F.when(carry, mantissa / 10).otherwise(mantissa)
-    fixed = (m.cast("decimal(20,3)") * F.pow(F.lit(10.0), power).cast("decimal(38,12)")).cast(
-        "decimal(38,12)"
-    )
-    trimmed = lambda c: F.regexp_replace(F.regexp_replace(c.cast("string"), "0+$", ""), "\\.$", "")
-    exponent = F.concat(
-        F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0")
-    )
-    return (
-        F.when(x == F.lit(float("inf")), "inf")
-        .when(x == F.lit(float("-inf")), "-inf")
-        .when(x == 0, "0")
-        .when(
-            (power < -4) | (power >= 4),
-            F.concat(trimmed(m.cast("decimal(20,3)")), exponent),
-        )
-        .otherwise(trimmed(fixed))
-    )
-
-
 def category_counts(values: DataFrame) -> DataFrame:
     """Current counts per (model, window, node, category)."""
     return values.groupBy(*WINDOW_NODE, F.col("cat").alias("category")).agg(

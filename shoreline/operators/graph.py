@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from shoreline.config import DERIVED_FEATURE, MODEL_OUTPUT, NODE_KINDS, OUTPUT_NODE, RAW_INPUT
 from shoreline.plans.materialize import checkpointed
 from shoreline.plans.scan import dense_index
+from shoreline.plans.sizing import BROADCAST_ROWS
 
 _FILE_SCHEMA = (
     "edges array<array<string>>, "
@@ -21,6 +22,9 @@ _FILE_SCHEMA = (
 )
 
 
+_STEPS_PER_PLAN = 20
+
+
 class GraphError(ValueError):
     """The declared graph cannot be used."""
 
@@ -117,24 +121,31 @@ def load_graph(spark: SparkSession, path: str) -> Graph:
 def transitive_closure(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """All (ancestor, descendant) pairs.
 
-    Each round joins the known pairs with themselves, so the path length covered doubles and a
-    graph of depth d needs about log2(d) rounds. Terminates on cyclic graphs too.
+    Each round joins the pairs found in the last round with all known ones, so the path length
+    covered about doubles and a graph of depth d needs about log2(d) rounds. Terminates on
+    cyclic graphs too.
     """
-    pairs = checkpointed(
+    pair = [*keys, "ancestor", "descendant"]
+    known = checkpointed(
         edges.select(
             *keys, F.col("parent").alias("ancestor"), F.col("child").alias("descendant")
         ).distinct()
     )
-    known = pairs.count()
-    while True:
-        left = pairs.select(*keys, "ancestor", F.col("descendant").alias("via"))
-        right = pairs.select(*keys, F.col("ancestor").alias("via"), "descendant")
-        longer = left.join(right, [*keys, "via"]).drop("via")
-        pairs = checkpointed(pairs.unionByName(longer).distinct())
-        total = pairs.count()
-        if total == known:
-            return pairs
-        known = total
+    fresh, count = known, known.count()
+    while count:
+        first = fresh.select(*keys, "ancestor", F.col("descendant").alias("via"))
+        rest = known.select(*keys, F.col("ancestor").alias("via"), "descendant")
+        small = F.broadcast(first) if count <= BROADCAST_ROWS else first
+        # Longer paths start with a path found in the last round or end with one.
+        longer = rest.join(small, [*keys, "via"]).select(*pair)
+        last = fresh.select(*keys, F.col("ancestor").alias("via"), "descendant")
+        start = known.select(*keys, "ancestor", F.col("descendant").alias("via"))
+        small = F.broadcast(last) if count <= BROADCAST_ROWS else last
+        longer = longer.unionByName(start.join(small, [*keys, "via"]).select(*pair))
+        fresh = checkpointed(longer.distinct().join(known, pair, "left_anti"))
+        count = fresh.count()
+        known = known.unionByName(fresh)
+    return checkpointed(known)
 
 
 def ancestors(closure: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -152,19 +163,26 @@ def node_levels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) ->
     it. Only the frontier moves between rounds.
     """
     key = [*keys, "node"]
-    edges = checkpointed(edges.select(*keys, "parent", "child").distinct())
+    # Laid out by parent once, so that a round moves its frontier only.
+    edges = checkpointed(
+        edges.select(*keys, "parent", "child").distinct().repartition(*keys, "parent")
+    )
     all_nodes = nodes.select(*key).distinct()
     children = edges.select(*keys, F.col("child").alias("node")).distinct()
     frontier = checkpointed(all_nodes.join(children, key, "left_anti"))
     reached = frontier.withColumn("level", F.lit(0))
     limit = all_nodes.count()
-    level = 0
-    while not frontier.isEmpty():
+    level, size = 0, frontier.count()
+    while size:
         level += 1
         if level > limit:
             raise GraphError("the graph contains a cycle")
-        step = frontier.withColumnRenamed("node", "parent").join(edges, [*keys, "parent"])
+        start = frontier.withColumnRenamed("node", "parent")
+        step = edges.join(
+            F.broadcast(start) if size <= BROADCAST_ROWS else start, [*keys, "parent"]
+        )
         frontier = checkpointed(step.select(*keys, F.col("child").alias("node")).distinct())
+        size = frontier.count()
         reached = reached.unionByName(frontier.withColumn("level", F.lit(level)))
     return reached.groupBy(*key).agg(F.max("level").alias("level"))
 
@@ -227,21 +245,20 @@ def longest_chain(edges: DataFrame) -> DataFrame:
         .groupBy("parent")
         .agg(F.min("child").alias("node"))
     )
-    at = heights.orderBy(F.col("level").desc(), "node").limit(1).select(
-        F.lit(0).alias("step"), "node", F.col("level").alias("left")
+    top = heights.orderBy(F.col("level").desc(), "node").limit(1).select(
+        F.array("node").alias("path"), "level"
     )
-    at = checkpointed(at)
-    chain = at
-    depth = (at.first() or {"left": 0})["left"]
-    for step in range(1, depth + 1):
-        at = checkpointed(
-            # One row: the current end of the path.
-            successor.join(F.broadcast(at.select(F.col("node").alias("parent"))), "parent").select(
-                F.lit(step).alias("step"), "node"
-            )
+    path = checkpointed(top)
+    start = path.first()
+    for step in range(1, (start.level if start else 0) + 1):
+        # One row: the path so far.
+        end = path.select("path", F.element_at("path", -1).alias("parent"))
+        path = successor.join(F.broadcast(end), "parent").select(
+            F.array_append("path", F.col("node")).alias("path")
         )
-        chain = chain.select("step", "node").unionByName(at)
-    return chain.select("step", "node")
+        if step % _STEPS_PER_PLAN == 0:
+            path = checkpointed(path)
+    return path.select(F.posexplode("path").alias("step", "node"))
 
 
 def validate_graph(

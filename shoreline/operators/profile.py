@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -247,7 +248,8 @@ def quantile_edges(
     ``values`` holds at most the baseline cap per node, so the exact percentile is bounded;
     ``approximate`` is for a baseline that was kept uncapped.
     """
-    points = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
+    # Evenly spaced as multiples of one step: 3 * 0.1, not 0.3.
+    points = F.array(*[F.lit(i * (1.0 / bins)) for i in range(bins)], F.lit(1.0))
     if approximate:
         raw = F.percentile_approx("value", points, F.lit(10_000))
     else:
@@ -308,6 +310,14 @@ def baseline_bins(values: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+@F.pandas_udf("array<string>")
+def bin_labels(edges: pd.Series) -> pd.Series:
+    """``[low, high)`` with four significant digits, one call per node of the baseline."""
+    return edges.map(
+        lambda e: None if e is None else [f"[{a:.4g}, {b:.4g})" for a, b in zip(e[:-1], e[1:])]
+    )
+
+
 def build_baseline(
     long: DataFrame,
     row_key: Column,
@@ -347,6 +357,7 @@ def build_baseline(
             F.coalesce("sampled", "n").alias("baseline_n"),
             "n_bins",
             "edges",
+            bin_labels("edges").alias("labels"),
             "base_props",
         )
     )

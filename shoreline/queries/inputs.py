@@ -6,8 +6,6 @@ second half is monitored. The SQL fragments describe the same inputs for the che
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,21 +76,15 @@ def features_map(events: DataFrame) -> DataFrame:
     )
 
 
-def _session_key(spark: SparkSession) -> str:
-    return spark.sparkContext.applicationId
-
-
-@lru_cache(maxsize=8)
-def _stored_tables(app: str, sf: str) -> dict:
-    return {}
+_STORED: dict = {}
 
 
 def _once(spark: SparkSession, sf: str, name: str, make):
-    """A table that a deployment keeps stored is built once per session."""
-    tables = _stored_tables(_session_key(spark), sf)
-    if name not in tables:
-        tables[name] = make()
-    return tables[name]
+    """A table that a deployment keeps stored is built once per application."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        _STORED[key] = make()
+    return _STORED[key]
 
 
 def baseline(spark: SparkSession, sf: str) -> P.Baseline:

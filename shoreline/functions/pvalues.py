@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -63,8 +63,9 @@ def exceedance(m: int, n: int, steps: np.ndarray) -> np.ndarray:
     return p[:, m]
 
 
+_SPREAD = 4
 _KNOWN: dict[tuple[int, int, int], float] = {}  # per Python worker; keys repeat across windows
-_BATCH = 32
+_BATCH_CELLS = 400_000  # numbers held at once while solving one pair of sample sizes
 
 
 @F.pandas_udf(DoubleType())
@@ -87,20 +88,31 @@ def ks_pvalue_exact(n1: pd.Series, n2: pd.Series, d: pd.Series) -> pd.Series:
         _KNOWN.update(needed)
     for (a, b), steps in wanted.items():
         ordered = np.array(sorted(steps), dtype=np.int64)
-        for at in range(0, len(ordered), _BATCH):
-            part = ordered[at : at + _BATCH]
+        batch = max(1, min(512, _BATCH_CELLS // (a + 1)))
+        for at in range(0, len(ordered), batch):
+            part = ordered[at : at + batch]
             for step, p in zip(part, exceedance(a, b, part)):
                 _KNOWN[(a, b, int(step))] = float(min(1.0, p))
     return pd.Series([None if k is None else _KNOWN[k] for k in keys], dtype="float64")
 
 
-def ks_pvalue(n1: str, n2: str, d: str, method: str = "auto") -> Column:
-    """``auto``: exact up to 10,000 samples a side, corrected limit beyond."""
+def with_ks_pvalue(
+    results: DataFrame, n1: str, n2: str, d: str, method: str = "auto", name: str = "p_value"
+) -> DataFrame:
+    """Adds the p-value: ``auto`` is exact up to 10,000 samples a side, the corrected limit
+    beyond; ``asymptotic`` is the plain limit.
+
+    The exact form is heavy per distinct (n1, n2, d) and the input is small, so rows are spread
+    over all tasks by that triple (a triple that repeats a lot over a few of them).
+    """
     if method == "asymptotic":
-        return ks_pvalue_asymptotic(n1, n2, d)
+        return results.withColumn(name, ks_pvalue_asymptotic(n1, n2, d))
     if method != "auto":
         raise ValueError(f"unknown p-value method: {method}")
+    tasks = int(results.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = F.pmod(F.xxhash64(*results.columns), F.lit(_SPREAD))
+    placed = results.repartition(tasks, F.col(n1), F.col(n2), F.col(d), spread)
     small = F.greatest(F.col(n1), F.col(n2)) <= EXACT_KS_LIMIT
     # The UDF sees null where the limit is used: a conditional does not stop it being called.
     exact = ks_pvalue_exact(n1, n2, F.when(small, F.col(d)))
-    return F.coalesce(exact, ks_pvalue_large(n1, n2, d))
+    return placed.withColumn(name, F.coalesce(exact, ks_pvalue_large(n1, n2, d)))

@@ -22,7 +22,7 @@ from shoreline.config import (
     PSI_EPSILON,
     DriftConfig,
 )
-from shoreline.functions.pvalues import ks_pvalue
+from shoreline.functions.pvalues import with_ks_pvalue
 from shoreline.functions.verdicts import combine_verdict, ks_verdict, psi_verdict
 from shoreline.operators.profile import Baseline, bin_of
 from shoreline.plans.scan import CHUNK, range_chunks, running
@@ -42,11 +42,9 @@ def _share_term(current: Column, base: Column) -> Column:
 
 
 def _cells_by_broadcast(values: DataFrame, nodes: DataFrame, baseline: DataFrame) -> DataFrame:
-    samples = {
-        (r.model_id, r.node): np.array(r.v)
-        for r in baseline.groupBy(*NODE).agg(F.sort_array(F.collect_list("value")).alias("v"))
-        .collect()
-    }
+    # At most BROADCAST_VALUES numbers: counted by the caller.
+    rows = baseline.select(*NODE, "value").toArrow().to_pandas()
+    samples = {key: np.sort(part.to_numpy()) for key, part in rows.groupby(list(NODE))["value"]}
     inner = {
         (r.model_id, r.node): np.array(r.e[1:-1])
         for r in nodes.filter(F.col("edges").isNotNull())
@@ -177,9 +175,8 @@ def ks_test(
 ) -> DataFrame:
     """Full test row; statistic and p-value are null when a side has too few samples."""
     limit = threshold if threshold is not None else F.lit(config.ks_pvalue)
-    p_value = ks_pvalue("current_n", "baseline_n", "statistic", p_method)
     return (
-        statistic.withColumn("p_value", p_value)
+        with_ks_pvalue(statistic, "current_n", "baseline_n", "statistic", p_method)
         .withColumn("threshold", limit)
         .withColumn("verdict", ks_verdict("p_value", F.col("threshold")))
     )
@@ -338,10 +335,11 @@ def detect_drift(
     checks = load_thresholds(baseline.nodes, thresholds, config)
     grid = windows.select("model_id", "window_id").join(broadcast_if_small(checks), "model_id")
     continuous = F.col("kind") == CONTINUOUS
+    joined = grid.join(measured, list(WINDOW_NODE), "left").withColumn(
+        "current_n", F.coalesce("current_n", F.lit(0))
+    )
     return (
-        grid.join(measured, list(WINDOW_NODE), "left")
-        .withColumn("current_n", F.coalesce("current_n", F.lit(0)))
-        .withColumn("p_value", ks_pvalue("current_n", "baseline_n", "statistic", p_method))
+        with_ks_pvalue(joined, "current_n", "baseline_n", "statistic", p_method)
         .withColumn(
             "ks_verdict", F.when(continuous, ks_verdict("p_value", F.col("ks_pvalue")))
         )

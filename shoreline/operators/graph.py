@@ -121,9 +121,9 @@ def load_graph(spark: SparkSession, path: str) -> Graph:
 def transitive_closure(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """All (ancestor, descendant) pairs.
 
-    Each round joins the pairs found in the last round with all known ones, so the path length
-    covered about doubles and a graph of depth d needs about log2(d) rounds. Terminates on
-    cyclic graphs too.
+    Each round extends the pairs found in the last round by every known pair. A shortest path of
+    twice the length starts with a pair that was new in the last round, so the length covered
+    doubles and a graph of depth d needs about log2(d) rounds. Ends on cyclic graphs too.
     """
     pair = [*keys, "ancestor", "descendant"]
     known = checkpointed(
@@ -133,19 +133,15 @@ def transitive_closure(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
     fresh, count = known, known.count()
     while count:
-        first = fresh.select(*keys, "ancestor", F.col("descendant").alias("via"))
+        start = fresh.select(*keys, "ancestor", F.col("descendant").alias("via"))
         rest = known.select(*keys, F.col("ancestor").alias("via"), "descendant")
-        small = F.broadcast(first) if count <= BROADCAST_ROWS else first
-        # Longer paths start with a path found in the last round or end with one.
-        longer = rest.join(small, [*keys, "via"]).select(*pair)
-        last = fresh.select(*keys, F.col("ancestor").alias("via"), "descendant")
-        start = known.select(*keys, "ancestor", F.col("descendant").alias("via"))
-        small = F.broadcast(last) if count <= BROADCAST_ROWS else last
-        longer = longer.unionByName(start.join(small, [*keys, "via"]).select(*pair))
-        fresh = checkpointed(longer.distinct().join(known, pair, "left_anti"))
+        longer = rest.join(
+            F.broadcast(start) if count <= BROADCAST_ROWS else start, [*keys, "via"]
+        )
+        fresh = checkpointed(longer.select(*pair).distinct().join(known, pair, "left_anti"))
         count = fresh.count()
         known = known.unionByName(fresh)
-    return checkpointed(known)
+    return known
 
 
 def ancestors(closure: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -163,10 +159,7 @@ def node_levels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) ->
     it. Only the frontier moves between rounds.
     """
     key = [*keys, "node"]
-    # Laid out by parent once, so that a round moves its frontier only.
-    edges = checkpointed(
-        edges.select(*keys, "parent", "child").distinct().repartition(*keys, "parent")
-    )
+    edges = checkpointed(edges.select(*keys, "parent", "child").distinct())
     all_nodes = nodes.select(*key).distinct()
     children = edges.select(*keys, F.col("child").alias("node")).distinct()
     frontier = checkpointed(all_nodes.join(children, key, "left_anti"))

@@ -34,7 +34,7 @@ class Baseline:
         """The same tables, written once; Catalyst then knows their size."""
         return Baseline(
             stored(self.nodes, "baseline-nodes"),
-            stored(self.values, "baseline-values"),
+            self.values,  # written while the bins were made
             stored(self.categories, "baseline-categories"),
         )
 
@@ -194,8 +194,8 @@ def reference_sample(
         .groupBy(*group)
         .agg(F.max("_bits").alias("_cut"))
     )
-    # One row per baseline node.
-    kept = hashed.join(broadcast_if_small(cut), group).filter(F.col("_bits") <= F.col("_cut"))
+    # One row per baseline node, stored so that counting it does not read the input again.
+    kept = hashed.join(broadcast_if_small(stored(cut, "cut")), group).filter(F.col("_bits") <= F.col("_cut"))
     rank = Window.partitionBy(*group).orderBy("_md5", "_key", "num")
     return (
         kept.withColumn("_rank", F.row_number().over(rank))
@@ -310,7 +310,7 @@ def baseline_bins(values: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def bin_labels(edges: pd.Series) -> pd.Series:
     """``[low, high)`` with four significant digits, one call per node of the baseline."""
     return edges.map(

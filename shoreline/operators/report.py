@@ -9,7 +9,6 @@ from shoreline.config import OUTPUT_NODE
 from shoreline.operators import rca, sequences
 from shoreline.operators.windows import window_bounds
 from shoreline.plans.materialize import stored
-from shoreline.plans.sizing import broadcast_if_small
 
 WINDOW = ("model_id", "window_id")
 _ALERTS = "array<struct<incident_id: string, root_cause: string, symptom_path: array<string>>>"
@@ -334,7 +333,7 @@ def kpi_summary(node_drift: DataFrame, ranked: DataFrame) -> DataFrame:
     causes = ranked.groupBy("model_id").agg(
         F.max_by("node", F.struct("severity", "node")).alias("root_cause")
     )
-    return drifted.join(broadcast_if_small(causes), "model_id", "left").select(
+    return drifted.join(causes, "model_id", "left").select(
         "model_id",
         "drifted_count",
         "root_cause",

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shoreline.config import DEFAULTS, DriftConfig
 from shoreline.operators.drift import detect_drift
 from shoreline.operators.profile import Baseline, feature_spread
+from shoreline.plans.materialize import stored
 from shoreline.plans.scan import dense_index
 from shoreline.plans.sizing import broadcast_if_small
 
@@ -54,7 +55,7 @@ def shift_features(
 
     ``jitter_key`` (text) adds normal noise of ``jitter`` deviations, drawn from its hash.
     """
-    spread = feature_spread(values.filter(F.col("num").isNotNull()), keys)
+    spread = stored(feature_spread(values.filter(F.col("num").isNotNull()), keys), "spread")
     moved = values.join(broadcast_if_small(spread), [*keys, "node"], "left")
     shift = amount * F.col("spread")
     if jitter_key is not None:

@@ -61,7 +61,7 @@ def dense_index(
         (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_offset"),
     )
     return (
-        chunks.join(broadcast_if_small(offsets), [*group, CHUNK])
+        chunks.join(broadcast_if_small(stored(offsets, "offsets")), [*group, CHUNK])
         .withColumn(name, F.col("_local") + F.col("_offset"))
         .drop(CHUNK, "_local", "_offset")
     )

@@ -14,5 +14,8 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Add a broadcast hint after counting; otherwise leave the join to Catalyst and AQE."""
+    """Add a broadcast hint after counting; otherwise leave the join to Catalyst and AQE.
+
+    Meant for stored or checkpointed tables, where the count costs next to nothing.
+    """
     return F.broadcast(df) if has_at_most(df, rows) else df

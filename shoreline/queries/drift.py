@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.functions.pvalues import ks_pvalue as p_value_column
+from shoreline.functions.pvalues import with_ks_pvalue
 from shoreline.functions.verdicts import combine_verdict as combine
 from shoreline.functions.verdicts import psi_verdict as band
 from shoreline.operators import drift as D
@@ -51,14 +51,14 @@ def ks_statistic(spark: SparkSession, sf: str) -> DataFrame:
 def ks_pvalue(spark: SparkSession, sf: str) -> DataFrame:
     """Exact p-values; checked against enumeration in the tests."""
     found = D.ks_statistic(_cells(spark, sf), I.baseline(spark, sf).nodes)
-    return found.withColumn("p_value", p_value_column("current_n", "baseline_n", "statistic"))
+    return with_ks_pvalue(found, "current_n", "baseline_n", "statistic")
 
 
 @query(I.with_(I.KS) + f"SELECT model_id, window_id, node, round({I.ASYMPTOTIC}, 6) AS p_value FROM ks")
 def ks_pvalue_asymptotic(spark: SparkSession, sf: str) -> DataFrame:
     found = D.ks_statistic(_cells(spark, sf), I.baseline(spark, sf).nodes)
-    p = p_value_column("current_n", "baseline_n", "statistic", "asymptotic")
-    return found.select(*KEY, r6(p).alias("p_value"))
+    found = with_ks_pvalue(found, "current_n", "baseline_n", "statistic", "asymptotic")
+    return found.select(*KEY, r6("p_value").alias("p_value"))
 
 
 @query()

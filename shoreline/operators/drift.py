@@ -10,6 +10,8 @@ most two cells per distinct baseline value however many rows the window has.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +26,13 @@ from shoreline.config import (
 )
 from shoreline.functions.pvalues import with_ks_pvalue
 from shoreline.functions.verdicts import combine_verdict, ks_verdict, psi_verdict
-from shoreline.operators.profile import Baseline, bin_of
+from shoreline.operators.profile import (
+    Baseline,
+    bin_of,
+    collect_batch_categories,
+    collect_batch_features,
+    split_columns,
+)
 from shoreline.plans.scan import CHUNK, range_chunks, running
 from shoreline.plans.sizing import broadcast_if_small, has_at_most
 
@@ -304,7 +312,8 @@ def load_thresholds(
 
 
 def detect_drift(
-    values: DataFrame,
+    numeric: DataFrame,
+    text: DataFrame,
     windows: DataFrame,
     baseline: Baseline,
     config: DriftConfig = DEFAULTS,
@@ -314,14 +323,11 @@ def detect_drift(
 ) -> DataFrame:
     """Verdict of every baseline node in every window.
 
-    ``values``: model_id, window_id, node, num, cat (see ``profile``). ``windows``: distinct
-    (model_id, window_id); a node without values in a window is INSUFFICIENT_DATA.
+    ``numeric``: model_id, window_id, node, value. ``text``: model_id, window_id, node, cat.
+    ``windows``: distinct (model_id, window_id); a node without values in a window is
+    INSUFFICIENT_DATA.
     """
-    numeric = values.filter(F.col("num").isNotNull()).select(
-        *WINDOW_NODE, F.col("num").alias("value")
-    )
     cells = baseline_cells(numeric, baseline)
-    text = values.filter(F.col("cat").isNotNull())
     columns = [*WINDOW_NODE, "current_n", "statistic", "psi"]
     measured = (
         continuous_statistics(cells, baseline.nodes, config)
@@ -361,12 +367,25 @@ def detect_drift(
 
 
 def drift_from_frame(
-    frame: DataFrame, baseline: Baseline, config: DriftConfig = DEFAULTS, **options
+    frame: DataFrame,
+    columns: Sequence[str],
+    baseline: Baseline,
+    config: DriftConfig = DEFAULTS,
+    **options,
 ) -> DataFrame:
-    """One batch (unpivoted, with model_id) as a single window."""
-    values = frame.withColumn("window_id", F.lit(0).cast("bigint"))
-    windows = values.select("model_id", "window_id").distinct()
-    return detect_drift(values, windows, baseline, config, **options)
+    """One batch (wide rows with model_id) as a single window."""
+    numbers, texts = split_columns(frame, columns)
+    batch = frame.withColumn("window_id", F.lit(0).cast("bigint"))
+    ids = ["model_id", "window_id"]
+    windows = baseline.nodes.select("model_id", F.lit(0).cast("bigint").alias("window_id")).distinct()
+    return detect_drift(
+        collect_batch_features(batch, ids, numbers),
+        collect_batch_categories(batch, ids, texts),
+        windows,
+        baseline,
+        config,
+        **options,
+    )
 
 
 def drifted_nodes(node_drift: DataFrame, positions: DataFrame) -> DataFrame:

@@ -30,14 +30,6 @@ class Baseline:
     values: DataFrame
     categories: DataFrame
 
-    def stored(self) -> Baseline:
-        """The same tables, written once; Catalyst then knows their size."""
-        return Baseline(
-            stored(self.nodes, "baseline-nodes"),
-            self.values,  # written while the bins were made
-            stored(self.categories, "baseline-categories"),
-        )
-
 
 def column_kinds(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, str]:
     """Feature kind per column: numbers and booleans continuous, strings categorical."""
@@ -78,7 +70,7 @@ def unpivot_columns(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -
 
 
 def collect_batch_features(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Numeric features of a batch frame as (ids, node, value)."""
+    """Numeric columns of a frame as (ids, node, value); reads those columns only."""
     return (
         df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns])
         .unpivot(list(ids), list(columns), "node", "value")
@@ -86,6 +78,30 @@ def collect_batch_features(df: DataFrame, ids: Sequence[str], columns: Sequence[
     )
 
 
+def collect_batch_categories(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Text columns of a frame as (ids, node, cat); reads those columns only."""
+    return (
+        df.select(*ids, *columns)
+        .unpivot(list(ids), list(columns), "node", "cat")
+        .filter(F.col("cat").isNotNull())
+    )
+
+
+def split_columns(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list[str]]:
+    """Continuous and categorical column names."""
+    kinds = column_kinds(df, columns)
+    return (
+        [c for c in columns if kinds[c] == CONTINUOUS],
+        [c for c in columns if kinds[c] == CATEGORICAL],
+    )
+
+
+def split_values(long: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Mixed rows (num, cat) as (keys, node, value) and (keys, node, cat)."""
+    numeric = long.filter(F.col("num").isNotNull()).select(*keys, "node", F.col("num").alias("value"))
+    return numeric, long.filter(F.col("cat").isNotNull()).select(*keys, "node", "cat")
+
+
 def unpivot_features(events: DataFrame, nodes: DataFrame, ids: Sequence[str]) -> DataFrame:
     """Feature map (``map<string, struct<num, text>>``) to one row per event and node.
 
@@ -155,10 +171,10 @@ def reference_profile(
     return checked.select("n_rows", F.explode("features").alias("f")).select("f.*", "n_rows")
 
 
-def category_proportions(long: DataFrame, keys: Sequence[str]) -> DataFrame:
+def category_proportions(text: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Share of each category among the non-null values of (keys, node)."""
     group = [*keys, "node"]
-    counts = long.filter(F.col("cat").isNotNull()).groupBy(*group, "cat").agg(
+    counts = text.filter(F.col("cat").isNotNull()).groupBy(*group, "cat").agg(
         F.count("*").alias("n")
     )
     # Totals come from a second aggregation: a window would put a whole node in one task.
@@ -168,39 +184,57 @@ def category_proportions(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def with_row_hash(df: DataFrame, row_key: Column) -> DataFrame:
+    """Adds the row key as text and its md5, once per row rather than once per feature."""
+    keyed = df.withColumn("row_key", row_key.cast("string"))
+    return keyed.withColumn("row_hash", F.md5(F.col("row_key").cast("binary")))
+
+
+def _magnitude(hex_text: str) -> Column:
+    """Size class of a hash: its length without leading zeros, then its first digit."""
+    digits = F.ltrim(F.col(hex_text), F.lit("0"))
+    lead = F.instr(F.lit("123456789abcdef"), F.left(digits, F.lit(1)))
+    return F.length(digits) * 16 + lead
+
+
+def hash_classes(numeric: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per (keys, node, size class of the hash): at most 480 groups a node."""
+    return numeric.groupBy(*keys, "node", _magnitude("row_hash").alias("class")).agg(
+        F.count("*").alias("n")
+    )
+
+
 def reference_sample(
-    long: DataFrame, keys: Sequence[str], row_key: Column, cap: int = DEFAULTS.baseline_cap
+    numeric: DataFrame,
+    keys: Sequence[str],
+    cap: int = DEFAULTS.baseline_cap,
+    classes: DataFrame | None = None,
 ) -> DataFrame:
-    """At most ``cap`` numeric values per (keys, node): those with the smallest md5 of the key.
+    """At most ``cap`` values per (keys, node): those whose row has the smallest md5.
 
-    The bit length of the hash is counted per node first (at most 61 groups a node, combined
-    on the map side). The shortest length whose running count reaches the cap bounds what
-    can be in the sample, so only about twice the cap is ranked, however large the input.
+    ``numeric`` has keys, node, value and the columns of :func:`with_row_hash`. The size classes
+    of the hashes are counted first (combined on the map side). The smallest classes that
+    together reach the cap hold the whole sample, so about twice the cap is ranked per node
+    however large the input is.
     """
     group = [*keys, "node"]
-    hashed = long.filter(F.col("num").isNotNull()).select(
-        *group,
-        "num",
-        F.md5(row_key.cast("string").cast("binary")).alias("_md5"),
-        row_key.cast("string").alias("_key"),
-    )
-    bits = F.length(F.bin(F.conv(F.substring("_md5", 1, 15), 16, 10).cast("bigint")))
-    hashed = hashed.withColumn("_bits", bits)
-    per_bits = hashed.groupBy(*group, "_bits").agg(F.count("*").alias("n"))
-    running = Window.partitionBy(*group).orderBy("_bits")
+    counted = classes if classes is not None else stored(hash_classes(numeric, keys), "classes")
+    below = Window.partitionBy(*group).orderBy("class")
     cut = (
-        per_bits.withColumn("upto", F.sum("n").over(running))
+        counted.withColumn("upto", F.sum("n").over(below))
         .filter(F.col("upto") - F.col("n") < cap)
         .groupBy(*group)
-        .agg(F.max("_bits").alias("_cut"))
+        .agg(F.max("class").alias("_cut"))
+    )
+    # One row per baseline node, from the stored counts.
+    kept = numeric.join(broadcast_if_small(cut), group).filter(
+        _magnitude("row_hash") <= F.col("_cut")
     )
-    # One row per baseline node, stored so that counting it does not read the input again.
-    kept = hashed.join(broadcast_if_small(stored(cut, "cut")), group).filter(F.col("_bits") <= F.col("_cut"))
-    rank = Window.partitionBy(*group).orderBy("_md5", "_key", "num")
+    rank = Window.partitionBy(*group).orderBy("row_hash", "row_key", "value")
     return (
         kept.withColumn("_rank", F.row_number().over(rank))
         .filter(F.col("_rank") <= cap)
-        .select(*group, F.col("num").alias("value"))
+        .select(*group, "value")
     )
 
 
@@ -319,36 +353,49 @@ def bin_labels(edges: pd.Series) -> pd.Series:
 
 
 def build_baseline(
-    long: DataFrame,
+    reference: DataFrame,
+    columns: Sequence[str],
     row_key: Column,
     config: DriftConfig = DEFAULTS,
     output_categories: DataFrame | None = None,
 ) -> Baseline:
-    """Baseline tables from unpivoted reference rows (model_id, node, kind, num, cat).
+    """Baseline tables from reference rows with model_id and the feature ``columns``.
 
-    ``output_categories`` (see :func:`output_baseline`) adds a classifier's output node.
+    The numeric columns are read twice (hash classes, then the sample) and the text columns
+    once. ``output_categories`` (see :func:`output_baseline`) adds a classifier's output node.
     """
     key = ["model_id", "node"]
-    counts = long.groupBy(*key, "kind").agg(F.count("*").alias("n"))
-    values = stored(reference_sample(long, ["model_id"], row_key, config.baseline_cap), "sample")
-    categories = category_proportions(long, ["model_id"])
+    numbers, texts = split_columns(reference, columns)
+    shares_of = category_proportions(
+        collect_batch_categories(reference, ["model_id"], texts), ["model_id"]
+    ) if texts else None
     if output_categories is not None:
-        categories = categories.unionByName(output_categories)
-        counts = counts.unionByName(
-            output_categories.groupBy(*key).agg(
-                F.lit(CATEGORICAL).alias("kind"), F.sum("n").alias("n")
-            )
+        shares_of = (
+            output_categories if shares_of is None else shares_of.unionByName(output_categories)
         )
-    edges = quantile_edges(values, config.psi_bins)
+    spark = reference.sparkSession
+    if shares_of is None:
+        shares_of = spark.createDataFrame([], "model_id string, node string, category string, n bigint, prop double")
+    categories = stored(shares_of, "baseline-categories")
+    hashed = with_row_hash(reference, row_key)
+    numeric = collect_batch_features(hashed, ["model_id", "row_hash", "row_key"], numbers)
+    classes = stored(hash_classes(numeric, ["model_id"]), "classes")
+    values = stored(
+        reference_sample(numeric, ["model_id"], config.baseline_cap, classes), "baseline-values"
+    )
+    edges = stored(quantile_edges(values, config.psi_bins), "edges")
     # A handful of bins per node, in bin order.
+    in_order = F.array_sort(F.collect_list(F.struct("bin", "baseline_prop")))
     shares = baseline_bins(values, edges).groupBy(*key).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("bin", "baseline_prop"))),
-            lambda s: s["baseline_prop"],
-        ).alias("base_props")
+        F.transform(in_order, lambda s: s["baseline_prop"]).alias("base_props")
+    )
+    continuous = classes.groupBy(*key).agg(F.lit(CONTINUOUS).alias("kind"), F.sum("n").alias("n"))
+    categorical = categories.groupBy(*key).agg(
+        F.lit(CATEGORICAL).alias("kind"), F.sum("n").alias("n")
     )
     nodes = (
-        counts.join(edges.withColumnRenamed("baseline_n", "sampled"), key, "left")
+        continuous.unionByName(categorical)
+        .join(edges.withColumnRenamed("baseline_n", "sampled"), key, "left")
         .join(shares, key, "left")
         .select(
             *key,
@@ -361,7 +408,7 @@ def build_baseline(
             "base_props",
         )
     )
-    return Baseline(nodes, values, categories)
+    return Baseline(stored(nodes, "baseline-nodes"), values, categories)
 
 
 def graph_baseline(long: DataFrame, feature_nodes: DataFrame) -> DataFrame:

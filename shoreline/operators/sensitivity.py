@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shoreline.config import DEFAULTS, DriftConfig
 from shoreline.operators.drift import detect_drift
-from shoreline.operators.profile import Baseline, feature_spread
+from shoreline.operators.profile import Baseline, feature_spread, split_values
 from shoreline.plans.materialize import stored
 from shoreline.plans.scan import dense_index
 from shoreline.plans.sizing import broadcast_if_small
@@ -112,7 +112,8 @@ def shift_sensitivity(
         levels, F.col("intensity") * SHIFT_PER_INTENSITY, targets, ["model_id", "window_id"]
     )
     windows = levels.select("model_id", "window_id").distinct()
-    found = detect_drift(shifted, windows, baseline, config, p_method=p_method)
+    numeric, text = split_values(shifted, ["model_id", "window_id"])
+    found = detect_drift(numeric, text, windows, baseline, config, p_method=p_method)
     return found.withColumn(
         "intensity", F.element_at(F.array(*[F.lit(float(x)) for x in intensities]), F.col("window_id").cast("int") + 1)
     )

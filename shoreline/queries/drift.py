@@ -31,14 +31,11 @@ KEY = ["model_id", "window_id", "node"]
 
 
 def _cells(spark: SparkSession, sf: str) -> DataFrame:
-    values = P.unpivot_columns(I.windowed(spark, sf), ["model_id", "window_id"], I.NUMERIC)
-    numeric = values.select(*KEY, F.col("num").alias("value"))
-    return D.baseline_cells(numeric, I.baseline(spark, sf))
+    return D.baseline_cells(I.window_numbers(I.windowed(spark, sf)), I.baseline(spark, sf))
 
 
 def _categories(spark: SparkSession, sf: str) -> DataFrame:
-    values = I.window_values(I.windowed(spark, sf)).filter(F.col("cat").isNotNull())
-    return D.category_counts(values)
+    return D.category_counts(I.window_categories(I.windowed(spark, sf)))
 
 
 @query(I.with_(I.KS) + "SELECT model_id, window_id, node, current_n, baseline_n, round(statistic, 6) AS statistic FROM ks")
@@ -198,10 +195,9 @@ def drift_from_frame(spark: SparkSession, sf: str) -> DataFrame:
     )
     lines = I.table(spark, sf, "lineitem").withColumn("model_id", F.lit("m")).withColumn("rk", key)
     cut = F.to_timestamp_ntz(F.lit(f"{_LI_CUT} 00:00:00"))
-    long = lambda part: P.unpivot_columns(part, ["model_id", "rk"], _LI)
-    base = P.build_baseline(long(lines.filter(F.col("l_shipdate") < cut)), F.col("rk"), I.CONFIG)
-    batch = long(lines.filter(F.col("l_shipdate") >= cut))
-    found = D.drift_from_frame(batch, base.stored(), I.CONFIG, p_method="asymptotic")
+    base = P.build_baseline(lines.filter(F.col("l_shipdate") < cut), _LI, F.col("rk"), I.CONFIG)
+    batch = lines.filter(F.col("l_shipdate") >= cut)
+    found = D.drift_from_frame(batch, _LI, base, I.CONFIG, p_method="asymptotic")
     return found.select(
         "node", "current_n", "baseline_n", r6("statistic").alias("statistic"), r6("psi").alias("psi")
     )

@@ -90,12 +90,11 @@ def _once(spark: SparkSession, sf: str, name: str, make):
 def baseline(spark: SparkSession, sf: str) -> P.Baseline:
     def make():
         ref = reference(spark, sf)
-        long = P.unpivot_columns(ref, ["model_id", "event_id"], FEATURES)
         outputs = ref.select(
             "model_id", "ts", "event_id", "prediction", F.lit(None).cast("double").alias("output")
         )
         classes = P.output_baseline(outputs, ["ts", "event_id"], CONFIG.output_rows)
-        return P.build_baseline(long, F.col("event_id"), CONFIG, stored(classes, "outputs")).stored()
+        return P.build_baseline(ref, FEATURES, F.col("event_id"), CONFIG, classes)
 
     return _once(spark, sf, "baseline", make)
 
@@ -107,18 +106,24 @@ def windowed(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def window_values(events: DataFrame) -> DataFrame:
+def window_numbers(events: DataFrame) -> DataFrame:
+    return P.collect_batch_features(events, ["model_id", "window_id"], NUMERIC)
+
+
+def window_categories(events: DataFrame) -> DataFrame:
+    """The text feature and the class labels of the output node."""
     ids = ["model_id", "window_id"]
-    features = P.unpivot_columns(events, ids, FEATURES)
-    with_output = events.withColumn("output", F.col("prediction").cast("double"))
-    return features.unionByName(P.output_node_values(with_output, ids, F.lit(True)))
+    labels = events.select(*ids, "prediction", F.lit(None).cast("double").alias("output"))
+    outputs = P.output_node_values(labels, ids, F.lit(True)).select(*ids, "node", "cat")
+    return P.collect_batch_categories(events, ids, ["weekday"]).unionByName(outputs)
 
 
 def run_detection(spark: SparkSession, sf: str, p_method: str = "asymptotic") -> DataFrame:
     events = windowed(spark, sf)
     windows = events.select("model_id", "window_id").distinct()
     return detect_drift(
-        window_values(events), windows, baseline(spark, sf), CONFIG, p_method=p_method
+        window_numbers(events), window_categories(events), windows, baseline(spark, sf), CONFIG,
+        p_method=p_method,
     )
 
 

@@ -40,24 +40,25 @@ def reference_profile(spark: SparkSession, sf: str) -> DataFrame:
     return P.reference_profile(frame, frame.columns)
 
 
-def _lineitem_long(spark: SparkSession, sf: str) -> DataFrame:
+def _lineitem_text(spark: SparkSession, sf: str) -> DataFrame:
     frame = I.table(spark, sf, "lineitem")
-    return P.unpivot_columns(frame, [], ["l_returnflag", "l_linestatus"])
+    return P.collect_batch_categories(frame, [], ["l_returnflag", "l_linestatus"])
 
 
 @query("""SELECT node, category, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY node), 6) AS prop FROM (
   SELECT 'l_returnflag' AS node, l_returnflag AS category FROM lineitem
   UNION ALL SELECT 'l_linestatus', l_linestatus FROM lineitem) GROUP BY 1, 2""")
 def category_proportions(spark: SparkSession, sf: str) -> DataFrame:
-    shares = P.category_proportions(_lineitem_long(spark, sf), [])
+    shares = P.category_proportions(_lineitem_text(spark, sf), [])
     return shares.select("node", "category", "n", r6("prop").alias("prop"))
 
 
 @query("""SELECT node, value FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY md5(CAST(event_id AS VARCHAR)), CAST(event_id AS VARCHAR)) AS rn
   FROM (SELECT event_id, 'value' AS node, value FROM events UNION ALL SELECT event_id, 'user_id', CAST(user_id AS DOUBLE) FROM events)) WHERE rn <= 5000""")
 def reference_sample(spark: SparkSession, sf: str) -> DataFrame:
-    long = P.unpivot_columns(I.table(spark, sf, "events"), ["event_id"], ["value", "user_id"])
-    return P.reference_sample(long, [], F.col("event_id"))
+    rows = P.with_row_hash(I.table(spark, sf, "events"), F.col("event_id"))
+    numeric = P.collect_batch_features(rows, ["row_hash", "row_key"], ["value", "user_id"])
+    return P.reference_sample(numeric, [])
 
 
 @query(I.with_(I.BASE) + """SELECT model_id, node, count(*) AS n, round(sum(num), 4) AS total FROM ref_long

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoreline.config import OUTPUT_NODE
+from shoreline.config import DEFAULTS, OUTPUT_NODE
 from shoreline.operators import rca, sequences
 from shoreline.operators.windows import window_bounds
 from shoreline.plans.materialize import stored
@@ -21,7 +23,21 @@ def output_drift(node_drift: DataFrame) -> DataFrame:
     )
 
 
-def window_results(
+@dataclass(frozen=True)
+class Evaluation:
+    """Window records with the tables that the next batch continues from."""
+
+    results: DataFrame
+    alerts: DataFrame | None
+    states: DataFrame
+
+
+def window_results(*args, **options) -> DataFrame:
+    """The window records of :func:`evaluate_windows`."""
+    return evaluate_windows(*args, **options).results
+
+
+def evaluate_windows(
     events: DataFrame,
     node_drift: DataFrame,
     closure: DataFrame,
@@ -33,7 +49,11 @@ def window_results(
     cooldown: float = 0,
     graph_nodes: list[str] | None = None,
     graph_edges: list[list[str]] | None = None,
-) -> DataFrame:
+    open_after: int = DEFAULTS.open_after,
+    close_after: int = DEFAULTS.close_after,
+    alerts_before: DataFrame | None = None,
+    incidents_before: DataFrame | None = None,
+) -> Evaluation:
     """One record per window: bounds, status, per-feature results, causes, alerts, incident.
 
     ``events`` has model_id, window_id, ts. Everything is keyed by (model_id, window_id).
@@ -87,20 +107,27 @@ def window_results(
     )
     if with_graph:
         times = bounds.select(*WINDOW, F.col("end_ts").cast("timestamp").cast("double").alias("ts"))
-        emitted = sequences.alert_cooldown(
-            sequences.root_cause_alerts(ranked, paths, times), cooldown
-        ).filter("emitted")
-        alerts = emitted.groupBy(*WINDOW).agg(
+        cooled = stored(
+            sequences.alert_cooldown(
+                sequences.root_cause_alerts(ranked, paths, times), cooldown, before=alerts_before
+            ),
+            "alerts",
+        )
+        alerts = cooled.filter("emitted").groupBy(*WINDOW).agg(
             F.array_sort(
                 F.collect_list(F.struct("incident_id", "root_cause", "symptom_path"))
             ).alias("alerts")
         )
         base = base.join(alerts, list(WINDOW), "left")
     else:
+        cooled = None
         base = base.withColumn("alerts", F.lit(None).cast(_ALERTS))
-    states = sequences.incident_lifecycle(
-        base.select(*WINDOW, F.col("any_drift").alias("drifted"))
-    ).select(
+    flags = status.select(*WINDOW, F.col("any_drift").alias("drifted"))
+    all_states = stored(
+        sequences.incident_states(flags, open_after, close_after, before=incidents_before),
+        "incident-states",
+    )
+    states = all_states.select(
         *WINDOW,
         F.when(
             F.col("incident_status") == "OPEN", F.format_string("live-inc-%04d", F.col("incident_no"))
@@ -111,7 +138,7 @@ def window_results(
     edges = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in graph_edges or []]).cast(
         "array<array<string>>"
     )
-    return base.join(states, list(WINDOW)).select(
+    results = base.join(states, list(WINDOW)).select(
         (F.col("window_id") + 1).alias("sequence"),
         "model_id",
         (model_version if model_version is not None else F.col("model_id")).alias("model_version"),
@@ -140,6 +167,7 @@ def window_results(
         "incident_status",
         F.current_timestamp().alias("evaluated_at"),
     )
+    return Evaluation(results, cooled, all_states)
 
 
 def monitoring_report(

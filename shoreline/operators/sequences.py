@@ -75,10 +75,12 @@ def alert_cooldown(
     alerts: DataFrame,
     cooldown: float = DEFAULTS.cooldown_seconds,
     cooldowns_per_block: int = COOLDOWNS_PER_BLOCK,
+    before: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``emitted``: greedy suppression within ``cooldown`` of the last emitted alert.
 
-    ``alerts`` has root_cause, model_id, window_id and ts. The rule is sequential per key, but
+    ``alerts`` has root_cause, model_id, window_id and ts; ``before`` (root_cause, model_id,
+    last_ts) is what earlier batches emitted last. The rule is sequential per key, but
     a block of time only depends on the past through the last emission before it. Each block is
     therefore summarised in parallel (for every alert that could be its first emission: the
     last one that follows from it), the summaries of a key are chained, and the blocks are then
@@ -112,11 +114,13 @@ def alert_cooldown(
             }
         )
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+    def chain(pdf: pd.DataFrame, past: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:
+            return pd.DataFrame({k: [] for k in [*key, "_block", "ready"]})
         pdf = pdf.sort_values(["_block", "first"])
         blocks = pdf["_block"].to_numpy()
         first, leave = pdf["first"].to_numpy(), pdf["exit"].to_numpy()
-        ready = -np.inf
+        ready = -np.inf if past.empty else float(past["last_ts"].iloc[0]) + cooldown
         rows: list[tuple[int, float]] = []
         bounds = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1], True])
         for a, b in zip(bounds[:-1], bounds[1:]):
@@ -145,7 +149,16 @@ def alert_cooldown(
     entries = times.groupBy(*key, "_block").applyInPandas(
         summarise, f"{head}, first double, exit double"
     )
-    ready = entries.groupBy(*key).applyInPandas(chain, f"{head}, ready double")
+    past = (
+        before.select(*key, F.col("last_ts").cast("double").alias("last_ts"))
+        if before is not None
+        else alerts.select(*key, F.lit(0.0).alias("last_ts")).limit(0)
+    )
+    ready = (
+        entries.groupBy(*key)
+        .cogroup(past.groupBy(*key))
+        .applyInPandas(chain, f"{head}, ready double")
+    )
     emitted = (
         times.groupBy(*key, "_block")
         .cogroup(ready.groupBy(*key, "_block"))
@@ -157,52 +170,110 @@ def alert_cooldown(
     ).drop("_hit")
 
 
+def last_emitted(cooled: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Time of the last emitted alert per key, to be given to the next batch."""
+    now = cooled.filter("emitted").select(
+        "root_cause", "model_id", F.col("ts").cast("double").alias("last_ts")
+    )
+    both = now if before is None else now.unionByName(before)
+    return both.groupBy("root_cause", "model_id").agg(F.max("last_ts").alias("last_ts"))
+
+
 def suppressed_alerts(cooled: DataFrame) -> DataFrame:
     """Candidates held back by the cool-down."""
     return cooled.filter(~F.col("emitted")).drop("emitted")
 
 
-def incident_lifecycle(
+_CARRY = ("calm_at", "moved_at", "decided")
+
+
+def incident_states(
     flags: DataFrame,
     open_after: int = DEFAULTS.open_after,
     close_after: int = DEFAULTS.close_after,
     chunk_size: int = WINDOWS_PER_CHUNK,
+    before: DataFrame | None = None,
 ) -> DataFrame:
-    """Incident state after each window.
+    """:func:`incident_lifecycle` with the columns that :func:`incident_carry` keeps.
 
-    ``flags`` has model_id, window_id (0, 1, 2, ... per model) and drifted. Adds ``incident_no``
-    (incidents opened so far), ``incident_status`` (OPEN or null) and ``transition`` (OPENED,
-    CLOSED or null). Streaks, the last deciding window and the number of openings are running
-    maxima and sums, so a model's windows are processed in chunks.
+    Streaks, the last deciding window and the number of openings are running maxima and sums,
+    so the windows of one model are processed in chunks. ``before`` is the carry of earlier
+    batches: it enters as one row per model in front of the new windows.
     """
     group, order = ["model_id"], ["window_id"]
-    at = F.col("window_id")
-    drifted = F.col("drifted")
-    base = flags.withColumn(CHUNK, F.expr(f"window_id div {int(chunk_size)}"))
+    at, drifted, seed = F.col("window_id"), F.col("drifted"), F.col("_seed")
+    own = flags.columns
+    rows = flags.withColumn("_seed", F.lit(False))
+    kept = {c: F.lit(None).cast("bigint") for c in ("_calm_at", "_moved_at", "_decided", "_opened")}
+    rows = rows.select("*", *[c.alias(n) for n, c in kept.items()])
+    if before is not None:
+        known = before.select(
+            "model_id", "window_id", F.lit(False).alias("drifted"), F.lit(True).alias("_seed"),
+            F.col("calm_at").alias("_calm_at"), F.col("moved_at").alias("_moved_at"),
+            F.col("decided").alias("_decided"), F.col("incident_no").alias("_opened"),
+        )
+        rows = rows.unionByName(known, allowMissingColumns=True)
+    base = rows.withColumn(CHUNK, F.expr(f"window_id div {int(chunk_size)}"))
     runs = running(
         base, group, CHUNK, order,
-        maxima={"_calm": F.when(~drifted, at), "_moved": F.when(drifted, at)},
+        maxima={
+            "calm_at": F.when(seed, F.col("_calm_at")).when(~drifted, at),
+            "moved_at": F.when(seed, F.col("_moved_at")).when(drifted, at),
+        },
     )
     # A streak reaches back to the last window with the other flag.
-    other = F.when(drifted, F.col("_calm")).otherwise(F.col("_moved"))
+    other = F.when(drifted, F.col("calm_at")).otherwise(F.col("moved_at"))
     streak = at - F.coalesce(other, F.lit(-1))
-    decides = F.when(drifted & (streak >= open_after), at * 2 + 1).when(
-        ~drifted & (streak >= close_after), at * 2
+    decides = (
+        F.when(seed, F.col("_decided"))
+        .when(drifted & (streak >= open_after), at * 2 + 1)
+        .when(~drifted & (streak >= close_after), at * 2)
     )
     marked = runs.withColumn("_decides", decides)
     states = running(
         marked, group, CHUNK, order,
-        maxima={"_last": F.col("_decides")},
+        maxima={"decided": F.col("_decides")},
         maxima_before={"_previous": F.col("_decides")},
     )
-    is_open = F.coalesce(F.col("_last") % 2 == 1, F.lit(False))
+    is_open = F.coalesce(F.col("decided") % 2 == 1, F.lit(False))
     was_open = F.coalesce(F.col("_previous") % 2 == 1, F.lit(False))
     turned = states.withColumn(
-        "transition", F.when(is_open & ~was_open, "OPENED").when(was_open & ~is_open, "CLOSED")
+        "transition",
+        F.when(seed, None).when(is_open & ~was_open, "OPENED").when(was_open & ~is_open, "CLOSED"),
     ).withColumn("incident_status", F.when(is_open, "OPEN"))
     opened = (F.coalesce(F.col("transition"), F.lit("")) == "OPENED").cast("bigint")
-    numbered = running(turned, group, CHUNK, order, sums={"incident_no": opened})
-    return numbered.drop(CHUNK, "_calm", "_moved", "_decides", "_last", "_previous")
+    counted = F.coalesce(F.when(seed, F.col("_opened")), opened)
+    numbered = running(turned, group, CHUNK, order, sums={"incident_no": counted})
+    return numbered.filter(~seed).select(
+        *own, "incident_no", "incident_status", "transition", *_CARRY
+    )
+
+
+def incident_carry(states: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """What the next batch needs: one row per model."""
+    fields = ["model_id", "window_id", "incident_no", *_CARRY]
+    rows = states.select(*fields)
+    if before is not None:
+        rows = rows.unionByName(before.select(*fields))
+    rest = F.struct(*[c for c in fields if c != "model_id"])
+    return rows.groupBy("model_id").agg(F.max_by(rest, "window_id").alias("s")).select(
+        "model_id", "s.*"
+    )
+
+
+def incident_lifecycle(
+    flags: DataFrame,
+    open_after: int = DEFAULTS.open_after,
+    close_after: int = DEFAULTS.close_after,
+    chunk_size: int = WINDOWS_PER_CHUNK,
+) -> DataFrame:
+    """Incident state after each window.
+
+    ``flags`` has model_id, window_id (0, 1, 2, ... per model) and drifted. Adds ``incident_no``
+    (incidents opened so far), ``incident_status`` (OPEN or null) and ``transition`` (OPENED,
+    CLOSED or null).
+    """
+    return incident_states(flags, open_after, close_after, chunk_size).drop(*_CARRY)
 
 
 def incident_summary(

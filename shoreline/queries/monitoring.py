@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from shoreline.operators import report as R
 from shoreline.operators import sequences as S
 from shoreline.plans.materialize import shared_dir
+from shoreline.plans.scan import dense_index
 from shoreline.queries import inputs as I
-from shoreline.streaming.live import incident_stream as stream_incidents
+from shoreline.streaming.live import LiveIncidents
 
 QUERIES: dict = {}
 
@@ -168,8 +169,6 @@ sm AS (SELECT model_id, window_id, drifted, CASE WHEN drifted THEN 1 ELSE 0 END
 
 def _flags(spark: SparkSession, sf: str) -> DataFrame:
     """Each user's events as a sequence of windows, flagged where the value is high."""
-    from shoreline.plans.scan import dense_index
-
     events = I.table(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("model_id"), "event_id", "value", "event_type"
     )
@@ -225,15 +224,8 @@ def incident_stream(spark: SparkSession, sf: str) -> DataFrame:
     flags = _flags(spark, sf).drop("root_cause")
     flags.write.parquet(f"{base}/in")
     source = spark.readStream.schema(flags.schema).parquet(f"{base}/in")
-    states = stream_incidents(source)
-    job = (
-        states.writeStream.format("parquet")
-        .option("checkpointLocation", f"{base}/progress")
-        .trigger(availableNow=True)
-        .start(f"{base}/out")
-    )
-    job.awaitTermination()
-    return spark.read.schema(states.schema).parquet(f"{base}/out")
+    LiveIncidents(f"{base}/out").start(source, f"{base}/progress", bounded=True).awaitTermination()
+    return spark.read.parquet(f"{base}/out/states").drop("batch_id")
 
 
 @query(I.with_(I.RCA, _ALERTS, _COOLED) + """SELECT w AS windows_processed, w AS drift_checks, n AS nodes_checked, d AS drifted_nodes, w AS rca_results, r AS root_causes,

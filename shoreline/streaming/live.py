@@ -9,21 +9,28 @@ distributed index and is not tied to one task, which a keyed stateful operator w
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from shoreline.config import DEFAULTS
+from shoreline.config import DEFAULTS, DriftConfig
+from shoreline.operators.drift import detect_drift
+from shoreline.operators.profile import Baseline
+from shoreline.operators.report import evaluate_windows
+from shoreline.operators.sequences import incident_carry, incident_states, last_emitted
 from shoreline.operators.windows import time_windows
 from shoreline.plans.materialize import stored
 from shoreline.plans.scan import dense_index
 from shoreline.plans.sizing import broadcast_if_small
-from shoreline.sources.history import read_before, write_batch, written_batches
+from shoreline.sources.history import (
+    append_window_history,
+    read_before,
+    write_batch,
+    written_batches,
+)
 
 
 @dataclass
@@ -74,7 +81,7 @@ class LiveWindows:
             batch_id,
         )
 
-    def flush(self, spark) -> None:
+    def flush(self, spark: SparkSession) -> None:
         """Close the unfilled windows at the end of a bounded run."""
         batches = written_batches(spark, f"{self.path}/closed")
         if not batches:
@@ -88,56 +95,108 @@ class LiveWindows:
             self.evaluate(rows, batches[-1] + 1)
 
     def start(self, events: DataFrame, checkpoint: str, *, bounded: bool = False, **trigger) -> StreamingQuery:
-        """Run on a stream of events; ``bounded`` reads what is there and stops."""
-        writer = events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(self.on_batch)
-        if bounded:
-            trigger = {"availableNow": True}
-        return (writer.trigger(**trigger) if trigger else writer).start()
+        """Run on a stream of events."""
+        return _start(events, checkpoint, self.on_batch, bounded, trigger)
 
 
-_STATE = "calm bigint, moved bigint, open boolean, seq bigint"
-_INCIDENT = (
-    "model_id string, window_id bigint, drifted boolean, incident_no bigint, "
-    "incident_status string, transition string"
-)
+@dataclass
+class LiveIncidents:
+    """Incident states on a stream of window results (model_id, window_id, drifted).
 
+    Carries one row per model between batches. States are written below ``path``.
+    """
 
-def incident_stream(
-    flags: DataFrame,
-    open_after: int = DEFAULTS.open_after,
-    close_after: int = DEFAULTS.close_after,
-) -> DataFrame:
-    """Incident state on a stream of window results (model_id, window_id, drifted).
+    path: str
+    open_after: int = DEFAULTS.open_after
+    close_after: int = DEFAULTS.close_after
+
+    def on_batch(self, flags: DataFrame, batch_id: int) -> None:
+        before = read_before(flags.sparkSession, f"{self.path}/carry", batch_id)
+        states = stored(
+            incident_states(flags, self.open_after, self.close_after, before=before), "states"
+        )
+        write_batch(states.drop("calm_at", "moved_at", "decided"), f"{self.path}/states", batch_id)
+        write_batch(incident_carry(states, before), f"{self.path}/carry", batch_id)
+
+    def start(self, flags: DataFrame, checkpoint: str, *, bounded: bool = False, **trigger) -> StreamingQuery:
+        return _start(flags, checkpoint, self.on_batch, bounded, trigger)
+
+
+@dataclass
+class LiveMonitor:
+    """The whole chain on a stream of events: windows, drift, causes, alerts, incidents, history.
 
-    One row per window, hundreds of times fewer than events; the state is two streaks, a flag and
-    a number per model.
+    ``numeric`` and ``text`` turn the events of closed windows into values (see ``profile``);
+    ``score`` fills missing outputs before that. Histories and carried state are kept below
+    ``path``, one folder per batch.
     """
 
-    def step(
-        key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        calm, moved, is_open, seq = state.get if state.exists else (0, 0, False, 0)
-        rows = pd.concat(list(chunks)).sort_values("window_id")
-        out = []
-        for window, drifted in zip(rows["window_id"], rows["drifted"]):
-            calm, moved = (0, moved + 1) if drifted else (calm + 1, 0)
-            transition = None
-            if not is_open and moved >= open_after:
-                is_open, seq, transition = True, seq + 1, "OPENED"
-            elif is_open and calm >= close_after:
-                is_open, transition = False, "CLOSED"
-            out.append(
-                (key[0], int(window), bool(drifted), seq, "OPEN" if is_open else None, transition)
+    path: str
+    baseline: Baseline
+    closure: DataFrame
+    order: DataFrame
+    numeric: Callable[[DataFrame], DataFrame]
+    text: Callable[[DataFrame], DataFrame]
+    config: DriftConfig = DEFAULTS
+    score: Callable[[DataFrame], DataFrame] | None = None
+    with_graph: bool = True
+    p_method: str = "auto"
+
+    def __post_init__(self) -> None:
+        self.windows = LiveWindows(f"{self.path}/windowing", self.evaluate, self.config.window_size)
+
+    def evaluate(self, rows: DataFrame, batch_id: int) -> None:
+        spark = rows.sparkSession
+        rows = stored(self.score(rows) if self.score is not None else rows, "closed")
+        if rows.isEmpty():
+            return
+        found = detect_drift(
+            self.numeric(rows),
+            self.text(rows),
+            rows.select("model_id", "window_id").distinct(),
+            self.baseline,
+            self.config,
+            p_method=self.p_method,
+        )
+        alerts_before = read_before(spark, f"{self.path}/alert_carry", batch_id)
+        incidents_before = read_before(spark, f"{self.path}/incident_carry", batch_id)
+        outcome = evaluate_windows(
+            rows,
+            found,
+            self.closure,
+            self.order,
+            with_graph=self.with_graph,
+            cooldown=self.config.cooldown_seconds,
+            open_after=self.config.open_after,
+            close_after=self.config.close_after,
+            alerts_before=alerts_before,
+            incidents_before=incidents_before,
+        )
+        append_window_history(outcome.results, self.path, batch_id)
+        if outcome.alerts is not None:
+            write_batch(outcome.alerts, f"{self.path}/alerts", batch_id)
+            write_batch(
+                last_emitted(outcome.alerts, alerts_before), f"{self.path}/alert_carry", batch_id
             )
-        state.update((calm, moved, is_open, seq))
-        yield pd.DataFrame(
-            out,
-            columns=["model_id", "window_id", "drifted", "incident_no", "incident_status", "transition"],
+        write_batch(
+            incident_carry(outcome.states, incidents_before), f"{self.path}/incident_carry", batch_id
         )
 
-    return flags.groupBy("model_id").applyInPandasWithState(
-        step, _INCIDENT, _STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    def start(self, events: DataFrame, checkpoint: str, *, bounded: bool = False, **trigger) -> StreamingQuery:
+        return self.windows.start(events, checkpoint, bounded=bounded, **trigger)
+
+    def flush(self, spark: SparkSession) -> None:
+        self.windows.flush(spark)
+
+
+def _start(
+    stream: DataFrame, checkpoint: str, handler: Callable, bounded: bool, trigger: dict
+) -> StreamingQuery:
+    """``bounded`` reads what is there and stops."""
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handler)
+    if bounded:
+        trigger = {"availableNow": True}
+    return (writer.trigger(**trigger) if trigger else writer).start()
 
 
 def time_window_stream(

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 def number_label(x: Column) -> Column:
     """Canonical text of a number: no ``.0`` on whole numbers, never scientific."""
-    whole = F.floor(x).cast("double") == x
     small = F.abs(x) < F.lit(9e18)
+    # Numbers too large for a bigint have no fraction.
+    whole = F.when(small, F.floor(x).cast("double") == x).otherwise(F.abs(x) < float("inf"))
     plain = F.regexp_replace(x.cast("decimal(38,21)").cast("string"), "0+$", "")
     scientific = (F.abs(x) >= 1e7) & (F.abs(x) < 1e16) | (F.abs(x) < 1e-3) & (F.abs(x) >= 1e-4)
     return (

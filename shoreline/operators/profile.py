@@ -69,8 +69,17 @@ def unpivot_columns(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -
     )
 
 
+def _no_rows(df: DataFrame, ids: Sequence[str], name: str, kind: str) -> DataFrame:
+    none = F.lit(None)
+    return df.select(*ids, none.cast("string").alias("node"), none.cast(kind).alias(name)).filter(
+        F.lit(False)
+    )
+
+
 def collect_batch_features(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Numeric columns of a frame as (ids, node, value); reads those columns only."""
+    if not columns:
+        return _no_rows(df, ids, "value", "double")
     return (
         df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns])
         .unpivot(list(ids), list(columns), "node", "value")
@@ -80,6 +89,8 @@ def collect_batch_features(df: DataFrame, ids: Sequence[str], columns: Sequence[
 
 def collect_batch_categories(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Text columns of a frame as (ids, node, cat); reads those columns only."""
+    if not columns:
+        return _no_rows(df, ids, "cat", "string")
     return (
         df.select(*ids, *columns)
         .unpivot(list(ids), list(columns), "node", "cat")
@@ -368,14 +379,9 @@ def build_baseline(
     numbers, texts = split_columns(reference, columns)
     shares_of = category_proportions(
         collect_batch_categories(reference, ["model_id"], texts), ["model_id"]
-    ) if texts else None
+    )
     if output_categories is not None:
-        shares_of = (
-            output_categories if shares_of is None else shares_of.unionByName(output_categories)
-        )
-    spark = reference.sparkSession
-    if shares_of is None:
-        shares_of = spark.createDataFrame([], "model_id string, node string, category string, n bigint, prop double")
+        shares_of = shares_of.unionByName(output_categories)
     categories = stored(shares_of, "baseline-categories")
     hashed = with_row_hash(reference, row_key)
     numeric = collect_batch_features(hashed, ["model_id", "row_hash", "row_key"], numbers)

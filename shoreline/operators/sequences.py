@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoreline.config import DEFAULTS, DRIFT, OUTPUT_NODE, STABLE, WARNING
+from shoreline.plans.materialize import stored
 from shoreline.plans.scan import CHUNK, running
 
 WINDOW = ("model_id", "window_id")
@@ -229,7 +230,8 @@ def incident_states(
         .when(drifted & (streak >= open_after), at * 2 + 1)
         .when(~drifted & (streak >= close_after), at * 2)
     )
-    marked = runs.withColumn("_decides", decides)
+    # Each scan reads its input twice, so the one-row-per-window tables between them are stored.
+    marked = stored(runs.withColumn("_decides", decides), "incident-marks")
     states = running(
         marked, group, CHUNK, order,
         maxima={"decided": F.col("_decides")},
@@ -239,8 +241,9 @@ def incident_states(
     was_open = F.coalesce(F.col("_previous") % 2 == 1, F.lit(False))
     turned = states.withColumn(
         "transition",
-        F.when(seed, None).when(is_open & ~was_open, "OPENED").when(was_open & ~is_open, "CLOSED"),
+        F.when(seed, F.lit(None).cast("string")).when(is_open & ~was_open, "OPENED").when(was_open & ~is_open, "CLOSED"),
     ).withColumn("incident_status", F.when(is_open, "OPEN"))
+    turned = stored(turned, "incident-turns")
     opened = (F.coalesce(F.col("transition"), F.lit("")) == "OPENED").cast("bigint")
     counted = F.coalesce(F.when(seed, F.col("_opened")), opened)
     numbered = running(turned, group, CHUNK, order, sums={"incident_no": counted})

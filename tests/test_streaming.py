@@ -90,7 +90,7 @@ def test_stable_drift_recover(spark, tmp_path, with_graph):
     rows = pd.concat([frame(200, 2), frame(300, 3, 6.0), frame(500, 4)], ignore_index=True)
     rows["model_id"], rows["event_id"] = "m", range(1000)
     rows["ts"] = pd.Timestamp("2024-01-01") + pd.to_timedelta(rows["event_id"], unit="s")
-    write_parts(spark, rows, str(tmp_path / "in"), 270)
+    write_parts(spark, rows, str(tmp_path / "in"), 470)
     ids = ["model_id", "window_id"]
     monitor = LiveMonitor(
         str(tmp_path / "out"), base, closure, levels,

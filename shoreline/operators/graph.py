@@ -75,7 +75,7 @@ def graph_from_nodes(declared: DataFrame, keys: Sequence[str] = ()) -> Graph:
     if keys:
         without = nodes.join(outputs.select(*keys).distinct(), list(keys), "left_anti")
     else:
-        without = nodes.join(outputs.select(F.lit(1).alias("one")).limit(1), F.lit(True), "left_anti")
+        without = nodes if outputs.isEmpty() else nodes.filter(F.lit(False))
     feeding = without.select(*keys, "node")
     added = feeding.select(
         *keys, F.lit(OUTPUT_NODE).alias("node"), F.lit(MODEL_OUTPUT).alias("kind")

@@ -303,18 +303,24 @@ def monitoring_counters(
     per_window = node_drift.groupBy(*WINDOW).agg(
         F.count("*").alias("nodes"), F.count_if(F.col("verdict") == "DRIFT").alias("drifted")
     )
-    checks = per_window.agg(
-        F.count("*").alias("windows_processed"),
-        F.coalesce(F.sum("nodes"), F.lit(0)).alias("nodes_checked"),
-        F.coalesce(F.sum("drifted"), F.lit(0)).alias("drifted_nodes"),
-    )
-    causes = roots.agg(F.count("*").alias("root_causes"))
-    alerts = cooled_alerts.agg(
-        F.count_if("emitted").alias("alerts_emitted"),
-        F.count_if(~F.col("emitted")).alias("alerts_suppressed"),
-    )
-    # Three one-row tables.
-    return checks.join(F.broadcast(causes)).join(F.broadcast(alerts)).select(
+    parts = [
+        per_window.agg(
+            F.count("*").alias("windows_processed"),
+            F.sum("nodes").alias("nodes_checked"),
+            F.sum("drifted").alias("drifted_nodes"),
+        ),
+        roots.agg(F.count("*").alias("root_causes")),
+        cooled_alerts.agg(
+            F.count_if("emitted").alias("alerts_emitted"),
+            F.count_if(~F.col("emitted")).alias("alerts_suppressed"),
+        ),
+    ]
+    # Three rows with different columns become one.
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    totals = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns])
+    return totals.select(
         "windows_processed",
         F.col("windows_processed").alias("drift_checks"),
         "nodes_checked",

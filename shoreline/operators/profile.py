@@ -284,13 +284,27 @@ def feature_spread(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _linear_quantiles(ordered: Column, points: Column) -> Column:
+    """Linear interpolation between neighbours, from the nearer one."""
+
+    def at(p: Column) -> Column:
+        place = p * (F.size(ordered) - 1)
+        low = F.floor(place).cast("int")
+        part = place - low
+        a = F.get(ordered, low)
+        b = F.coalesce(F.get(ordered, low + 1), a)
+        return F.when(part < 0.5, a + (b - a) * part).otherwise(b - (b - a) * (1 - part))
+
+    return F.transform(points, at)
+
+
 def quantile_edges(
     values: DataFrame, bins: int = DEFAULTS.psi_bins, keys: Sequence[str] = ("model_id",),
     approximate: bool = False,
 ) -> DataFrame:
     """De-duplicated linear-interpolated quantiles, outer edges open.
 
-    ``values`` holds at most the baseline cap per node, so the exact percentile is bounded;
+    ``values`` holds at most the baseline cap per node, so the sorted array is bounded;
     ``approximate`` is for a baseline that was kept uncapped.
     """
     # Evenly spaced as multiples of one step: 3 * 0.1, not 0.3.
@@ -298,12 +312,14 @@ def quantile_edges(
     if approximate:
         raw = F.percentile_approx("value", points, F.lit(10_000))
     else:
-        raw = F.percentile("value", points)
-    edges = F.array_sort(F.array_distinct(raw))
+        # The built-in percentile rounds differently where an edge falls on a value, which
+        # moves that value to another bin; so the interpolation is written out.
+        raw = _linear_quantiles(F.sort_array(F.collect_list("value")), points)
     low, high = F.array(F.lit(float("-inf"))), F.array(F.lit(float("inf")))
     return (
         values.groupBy(*keys, "node")
-        .agg(edges.alias("raw"), F.count("*").alias("baseline_n"))
+        .agg(raw.alias("raw"), F.count("*").alias("baseline_n"))
+        .withColumn("raw", F.array_sort(F.array_distinct("raw")))
         .select(
             *keys,
             "node",

@@ -165,7 +165,7 @@ lref AS ({_union("(SELECT * FROM li WHERE l_shipdate < TIMESTAMP '1998-06-01')")
 lcur AS ({_union("(SELECT * FROM li WHERE l_shipdate >= TIMESTAMP '1998-06-01')")}),
 bval AS (SELECT node, num AS value FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY md5(rk), rk, num) AS rn
   FROM lref WHERE num IS NOT NULL) WHERE rn <= 5000),
-edges AS (SELECT node, count(*) AS baseline_n, list_sort(list_distinct(quantile_cont(value, {I.POINTS}))) AS raw FROM bval GROUP BY node),
+edges AS (SELECT node, baseline_n, {I.QUANTILES} AS raw FROM (SELECT node, count(*) AS baseline_n, list_sort(list(value)) AS arr FROM bval GROUP BY node)),
 bins AS (SELECT node, baseline_n, raw[2:len(raw) - 1] AS inn, len(raw) - 1 AS n_bins FROM edges),
 grid AS (SELECT *, unnest(range(0, n_bins)) AS bin FROM bins),
 bp AS (SELECT node, len(list_filter(inn, lambda x: x <= value)) AS bin, count(*) AS n FROM bval JOIN bins USING (node) GROUP BY ALL),

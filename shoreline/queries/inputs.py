@@ -279,6 +279,14 @@ def _long(source: str, ids: str) -> str:
 
 POINTS = "[" + ", ".join(f"CAST({i * 0.1!r} AS DOUBLE)" for i in range(10)) + ", CAST(1 AS DOUBLE)]"
 
+_AT = "p * (len(arr) - 1)"
+_A = f"arr[CAST(floor({_AT}) AS BIGINT) + 1]"
+_B = f"arr[least(CAST(floor({_AT}) AS BIGINT) + 2, len(arr))]"
+# De-duplicated quantiles of a sorted list ``arr``.
+QUANTILES = f"""list_sort(list_distinct(list_transform({POINTS}, lambda p: CASE
+  WHEN {_AT} - floor({_AT}) < 0.5 THEN {_A} + ({_B} - {_A}) * ({_AT} - floor({_AT}))
+  ELSE {_B} - ({_B} - {_A}) * (1 - ({_AT} - floor({_AT}))) END)))"""
+
 BASE = f"""{PE},
 ref_long AS ({_long('ref', 'model_id, event_id')}),
 bval AS (SELECT model_id, node, num AS value FROM (
@@ -293,8 +301,9 @@ bcat AS (SELECT model_id, node, cat AS category, count(*) AS n,
       WHERE rn <= 1000)
   GROUP BY model_id, node, cat),
 edges AS (SELECT model_id, node, baseline_n, raw, len(raw) - 1 AS n_bins, raw[2:len(raw) - 1] AS inn
-  FROM (SELECT model_id, node, count(*) AS baseline_n,
-    list_sort(list_distinct(quantile_cont(value, {POINTS}))) AS raw FROM bval GROUP BY model_id, node)),
+  FROM (SELECT model_id, node, baseline_n, {QUANTILES} AS raw FROM (
+    SELECT model_id, node, count(*) AS baseline_n, list_sort(list(value)) AS arr FROM bval
+    GROUP BY model_id, node))),
 bbin AS (SELECT g.model_id, g.node, g.bin, g.n_bins, g.baseline_n, g.low, g.high,
     coalesce(c.n, 0) / g.baseline_n AS baseline_prop
   FROM (SELECT model_id, node, n_bins, baseline_n, bin,

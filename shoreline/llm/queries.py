@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.llm import decontamination, line_dedup, mixing, url_filter
+from shoreline.llm import decontamination, language_id, line_dedup, mixing, toxicity, url_filter
 from shoreline.llm.tables import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs.where(~toxicity.held_out()), labels)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.filter_urls(table(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -36,9 +43,18 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 REGISTERED = {
+    "op1_toxicity": (op1_toxicity, None),
     "op4_url_filter": (op4_url_filter, url_filter.ORACLE),
     "op5_mixing": (op5_mixing, mixing.ORACLE),
     "op6_decontamination": (op6_decontamination, decontamination.ORACLE),
     "op7_line_dedup": (op7_line_dedup, line_dedup.ORACLE),
+    "op10_language_id": (op10_language_id, None),
 }

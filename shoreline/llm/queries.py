@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.llm import decontamination, language_id, line_dedup, mixing, toxicity, url_filter
+from shoreline.llm import decontamination, language_id, line_dedup, mixing, token_records, toxicity, url_filter
 from shoreline.llm.tables import table
+from shoreline.plans.materialize import shared_dir
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +22,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def token_table(docs: DataFrame) -> DataFrame:
+    """Write all of ``docs`` as token records and read them back: one row per document."""
+    folder = f"{shared_dir(docs.sparkSession).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    index = token_records.write_records(docs, folder, TOKENIZER)
+    records = token_records.starts(token_records.read_records(index, folder, ids=False), index)
+    return records.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_table(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.filter_urls(table(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -52,6 +70,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTERED = {
     "op1_toxicity": (op1_toxicity, None),
+    "op2_token_records": (op2_token_records, None),
     "op4_url_filter": (op4_url_filter, url_filter.ORACLE),
     "op5_mixing": (op5_mixing, mixing.ORACLE),
     "op6_decontamination": (op6_decontamination, decontamination.ORACLE),

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.llm import decontamination, language_id, line_dedup, mixing, token_records, toxicity, url_filter
+from shoreline.llm import decontamination, embedding_dedup, language_id, line_dedup, minhash, mixing, token_records, toxicity, url_filter
 from shoreline.llm.tables import table
 from shoreline.plans.materialize import shared_dir
 
@@ -61,6 +61,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(~language_id.held_out()))
@@ -75,5 +83,7 @@ REGISTERED = {
     "op5_mixing": (op5_mixing, mixing.ORACLE),
     "op6_decontamination": (op6_decontamination, decontamination.ORACLE),
     "op7_line_dedup": (op7_line_dedup, line_dedup.ORACLE),
+    "op8_minhash": (op8_minhash, None),
+    "op9_embedding_dedup": (op9_embedding_dedup, embedding_dedup.ORACLE),
     "op10_language_id": (op10_language_id, None),
 }

@@ -257,7 +257,16 @@ def _verify(members: DataFrame, elements: DataFrame, threshold: float) -> DataFr
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: one of every group, and all without an id or words."""
-    judged = near_duplicates(docs, key, text, **options)
-    gone = stored(judged.where(~F.col("kept")).select(F.col(key).alias("_gone")).distinct(), "gone")
-    return docs.join(broadcast_if_small(gone), docs[key] == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` that stay: one of every group, and all rows without an id.
+
+    Rows that repeat an id are one document, so one of them stays at most.
+    """
+    judged = near_duplicates(docs, key, text, **options).where(F.col(key).isNotNull())
+    by_id = stored(judged.groupBy(F.col(key).alias("_id")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")), "judged")
+    gone, repeated = stored(by_id.where("NOT _kept").select("_id"), "gone"), by_id.where("_kept AND _rows > 1").select("_id")
+    left = docs.join(broadcast_if_small(gone), docs[key].cast("bigint") == F.col("_id"), "left_anti")
+    if not repeated.count():
+        return left
+    again = broadcast_if_small(stored(repeated, "repeated"))
+    single = left.join(again, left[key].cast("bigint") == F.col("_id"), "left_anti")
+    return single.unionByName(left.join(again, left[key].cast("bigint") == F.col("_id"), "left_semi").dropDuplicates([key]))

@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoreline.llm.tables import plain
 from shoreline.plans.scan import dense_index
 
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -95,8 +96,11 @@ def mix_sources(
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it was taken."""
-    counted = mix_sources(docs, key, text, source, keep=tuple(c for c in docs.columns if c != key), **options)
-    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest(F.col("copies"), F.lit(1))))).where("copies > 0").select(*docs.columns)
+    named, names = plain(docs)
+    kept = tuple(n for c, n in names.items() if c != key)
+    counted = mix_sources(named, names[key], names[text], names[source], keep=kept, **options)
+    repeated = counted.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 ORACLE = r"""

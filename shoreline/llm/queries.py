@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.llm import decontamination, embedding_dedup, language_id, line_dedup, minhash, mixing, token_records, toxicity, url_filter
-from shoreline.llm.tables import table
+from shoreline.llm import decontamination, embedding_dedup, katz, language_id, line_dedup, minhash, mixing, token_records, toxicity, url_filter
+from shoreline.llm.tables import fold, table
 from shoreline.plans.materialize import shared_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -34,6 +34,14 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table(table(spark, sf_dir, "documents"))
 
 
+def op3_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold(F.col("doc_id"), 7) == 2, F.lit(True))
+    model = katz.fit(docs.where(~held_out))
+    scored = katz.score(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.words.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.filter_urls(table(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -79,6 +87,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTERED = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_token_records": (op2_token_records, None),
+    "op3_katz": (op3_katz, None),
     "op4_url_filter": (op4_url_filter, url_filter.ORACLE),
     "op5_mixing": (op5_mixing, mixing.ORACLE),
     "op6_decontamination": (op6_decontamination, decontamination.ORACLE),

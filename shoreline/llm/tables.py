@@ -20,3 +20,9 @@ def ascii_lower(text: Column) -> Column:
 def fold(ident: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id is in no fold (null)."""
     return F.crc32(ident.cast("string").cast("binary")) % folds
+
+
+def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns named by place, so that no name clashes with a result's, and the new names."""
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names

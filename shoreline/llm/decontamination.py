@@ -44,6 +44,14 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "
     )
 
 
+def _evaluated(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``withColumn`` that is computed once per row: the optimizer doesn't copy it into its uses.
+
+    A copy within a lambda would cut the whole text into words again for every window.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _starts(n: int) -> str:
     return f"CASE WHEN size(_words) >= {n} THEN sequence(1, size(_words) - {n - 1}) ELSE CAST(array() AS array<int>) END"
 
@@ -60,7 +68,7 @@ def _hits_by_set(words: DataFrame, windows: list) -> DataFrame:
         texts = ", ".join(sorted(f"'{w['_window']}'" for w in windows if w["_n"] == n))
         probed = f"filter({_starts(n)}, i -> xxhash64(slice(_words, i, {n})) IN ({hashes}))"
         parts.append(f"filter(transform({probed}, i -> {_cut('i', n)}), h -> h.window IN ({texts}))")
-    return words.withColumn("_hits", F.expr(f"concat({', '.join(parts)})" if parts else f"CAST(array() AS {_HITS})"))
+    return _evaluated(words, "_hits", F.expr(f"concat({', '.join(parts)})" if parts else f"CAST(array() AS {_HITS})"))
 
 
 def _hits_by_join(words: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
@@ -78,7 +86,7 @@ def _hits_by_join(words: DataFrame, windows: DataFrame, lengths: list[int]) -> D
 
 def with_hits(docs: DataFrame, windows: DataFrame, text: str = "text", set_limit: int = SET_LIMIT) -> DataFrame:
     """``docs`` with ``_words`` and ``_hits`` (place from 1, length, words of each verified window)."""
-    words = docs.withColumn("_words", word_list(docs[text]))
+    words = _evaluated(docs, "_words", word_list(docs[text]))
     known = windows.select("_n", "_hash", "_window").distinct()
     if known.count() <= set_limit:
         return _hits_by_set(words, known.collect())

@@ -38,7 +38,7 @@ from shoreline.plans.materialize import stored
 
 CUT = 5
 FREQUENT = 1 << 20
-FLUSH = 3_000_000  # tokens a task holds before it sends a block
+FLUSH = 1_000_000  # tokens a task holds before it sends a block
 _NO_ID = -(1 << 63)
 _RARE = np.uint64(1 << 63)
 _STEP = np.uint64(0x9E3779B97F4A7C15)

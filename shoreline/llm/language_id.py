@@ -28,7 +28,7 @@ from shoreline.llm.text import mix, slices
 DIMENSIONS = 1 << 15
 ORDERS = 3
 PER_LABEL = 1500
-_GROUP = 64  # documents counted together: 64 x DIMENSIONS counters
+_GROUP = 32  # documents counted together: 32 x DIMENSIONS counters
 _TABLE = 0x3000
 UNDETERMINED = "und"
 

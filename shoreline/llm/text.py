@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 & ~0x7 | 0x3)
 _BYTES = np.random.default_rng(20240607).integers(1, 2**64, 256, dtype=np.uint64)
 _BYTES[65:91] = _BYTES[97:123]  # A-Z count as a-z
@@ -55,7 +55,7 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
 
     A slice holds whole documents: at least one, and no more than ``limit`` bytes beyond that.
     """
-    column = pc.fill_null(column, "").cast(pa.large_string())
+    column = (pc.fill_null(column, "") if column.null_count else column).cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     held = column.buffers()[2]
     data = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 MASK = 0xA282EAD8
 FILE_BYTES = 64 << 20
-CACHED = 400_000
+CACHED = 200_000
 _FRAME = struct.Struct("<QI")
 # In these chunks no normalisation but lower-casing takes place, and words end where letters do.
 _PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")

@@ -41,6 +41,11 @@ _PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")
 _PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
+def _store(folder: str) -> tuple[pafs.FileSystem, str]:
+    """File system and path of ``folder``; Hadoop writes local folders with one slash, file:/x."""
+    return pafs.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", folder))
+
+
 def masked(data: bytes) -> int:
     crc = zlib.crc32(data)
     return (((crc >> 15) | (crc << 17)) + MASK) & 0xFFFFFFFF
@@ -119,7 +124,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, *, key: str = "d
         encoder = Encoder(tokenizer)
         end = np.array([end_id], encoder.kind).tobytes()
         mark = bytes([encoder.width])
-        store, root = pafs.FileSystem.from_uri(folder)
+        store, root = _store(folder)
         part, own = TaskContext.get().partitionId(), uuid.uuid4().hex
         store.create_dir(f"{root}/records", recursive=True)
         out, name, offset, before, made = None, "", 0, 0, 0
@@ -157,7 +162,7 @@ def read_records(index: DataFrame, folder: str, *, key: str = "doc_id", ids: boo
     kind = dict(index.dtypes)[key]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = pafs.FileSystem.from_uri(folder)
+        store, root = _store(folder)
         name, file = "", None
         for batch in batches:
             counts, crcs, lists = [], [], []

@@ -134,7 +134,7 @@ def nn_pu(unlabelled: list[np.ndarray], positive: list[np.ndarray], scale: np.nd
         return np.bincount(doc, (w[:size] * scale)[at], minlength=n) + w[size]
 
     def gradient(at: np.ndarray, doc: np.ndarray, slope: np.ndarray) -> np.ndarray:
-        out = np.bincount(at, slope[doc] * scale[at], minlength=size + 1)
+        out = np.bincount(at, slope[doc] * scale[at], minlength=size + 1).astype(float)  # no entry: integers
         out[size] = slope.sum()
         return out
 

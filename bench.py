@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -73,6 +74,7 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.log.level", "ERROR")
+        .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='shoreline-bench-')}")
         .getOrCreate()
     )
     names = sys.argv[1:] or HEADLINE

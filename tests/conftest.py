@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
@@ -17,6 +18,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.log.level", "ERROR")
+        .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='shoreline-tests-')}")
         .getOrCreate()
     )
     yield session

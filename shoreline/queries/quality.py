@@ -243,11 +243,11 @@ _JOINED = """CASE len({x}) WHEN 0 THEN '' WHEN 1 THEN {x}[1] WHEN 2 THEN {x}[1]
 @query(I.with_(I.ATTR, _TOPK) + f""", sd AS (SELECT event_id AS prediction_id, 'Class ' || prediction AS pl,
     coalesce(u, []) AS u, coalesce(d, []) AS d, coalesce(others, false) AS others FROM cur LEFT JOIN (SELECT prediction_id, list(label ORDER BY rank) FILTER (WHERE direction = 'toward_prediction') AS u,
     list(label ORDER BY rank) FILTER (WHERE direction <> 'toward_prediction') AS d, bool_or(others) AS others FROM top GROUP BY 1) t ON t.prediction_id = event_id)
-  SELECT prediction_id, 'Prediction: ' || pl || '. ' || CASE WHEN len(u) > 0 THEN 'The prediction was influenced most by ' || {_JOINED.format(x='u')} || ', which pushed the prediction toward ' || pl || '.'
-    WHEN len(d) > 0 THEN 'The strongest contributors were ' || {_JOINED.format(x='d')} || ', which pushed the prediction the other way.'
-    ELSE 'No single feature had a notable influence on this prediction.' END ||
-    CASE WHEN len(u) > 0 AND len(d) > 0 THEN ' ' || {_JOINED.format(x='d')} || ' pushed the prediction the other way.' ELSE '' END AS summary,
-    CASE WHEN others THEN 'Other features had smaller effects.' END AS other_note FROM sd""")
+  SELECT prediction_id, 'Outcome: ' || pl || '. ' || CASE WHEN len(u) > 0 THEN 'Leading factors: ' || {_JOINED.format(x='u')} || ', which spoke for ' || pl || '.'
+    WHEN len(d) > 0 THEN 'Leading factors: ' || {_JOINED.format(x='d')} || ', which spoke against it.'
+    ELSE 'Every feature stays below the reporting limit.' END ||
+    CASE WHEN len(u) > 0 AND len(d) > 0 THEN ' ' || {_JOINED.format(x='d')} || ' spoke against it.' ELSE '' END AS summary,
+    CASE WHEN others THEN 'Further features matter less.' END AS other_note FROM sd""")
 def attribution_summary(spark: SparkSession, sf: str) -> DataFrame:
     labels = I.current(spark, sf).select(
         F.col("event_id").alias("prediction_id"),

@@ -98,8 +98,7 @@ def test_attribution_text(spark):
     assert {(r.feature, r.strength) for r in top.collect()} == {("big_one", "strong"), ("two", "moderate"), ("down", "moderate")}
     text = {r.prediction_id: r for r in A.attribution_summary(top, labels).collect()}
     assert text[1].summary == (
-        "Prediction: Class 1. The prediction was influenced most by Big one and Two, which pushed the prediction "
-        "toward Class 1. Down pushed the prediction the other way."
+        "Outcome: Class 1. Leading factors: Big one and Two, which spoke for Class 1. Down spoke against it."
     )
-    assert text[2].summary == "Predicted value: 7.00. No single feature had a notable influence on this prediction."
+    assert text[2].summary == "Predicted value: 7.00. Every feature stays below the reporting limit."
     assert text[1].other_note is None

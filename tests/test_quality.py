@@ -100,5 +100,5 @@ def test_attribution_text(spark):
     assert text[1].summary == (
         "Outcome: Class 1. Leading factors: Big one and Two, which spoke for Class 1. Down spoke against it."
     )
-    assert text[2].summary == "Predicted value: 7.00. Every feature stays below the reporting limit."
+    assert text[2].summary == "Value: 7.00. Every feature stays below the reporting limit."
     assert text[1].other_note is None

@@ -364,7 +364,18 @@ def _asker(shared):
     return ask
 
 
-_ANSWER = "row bigint, id bigint, word bigint, n bigint, known bigint, base double, score double"
+_SUMS = (("docs", np.uint32), ("ids", np.int64), ("n", np.uint32), ("known", np.uint32), ("base", np.float64), ("score", np.float64))
+_ANSWER = "block bigint, row bigint, id bigint, word bigint, " + ", ".join(f"{c} binary" for c, _ in _SUMS)
+
+
+def _add_up(group: pd.DataFrame) -> pd.DataFrame:
+    """Sums of the documents of a block over all buckets."""
+    parts = {c: np.concatenate([_values(x, kind) for x in group[c]]) for c, kind in _SUMS}
+    docs, first, place = np.unique(parts["docs"], return_index=True, return_inverse=True)
+    out = {"row": group["block"].iloc[0] + docs.astype(np.int64), "id": parts["ids"][first]}
+    for c in ("n", "known", "base", "score"):
+        out[c] = np.bincount(place, parts[c])
+    return pd.DataFrame(out).astype({"n": "int64", "known": "int64"})
 
 
 def _answerer(shared, discount: np.ndarray, hot: dict[int, tuple[float, float]]):
@@ -410,12 +421,13 @@ def _answerer(shared, discount: np.ndarray, hot: dict[int, tuple[float, float]])
             where, doc = np.unique(docs, return_inverse=True)
             ids = _values(row.ids, np.int64)
             sums = [np.bincount(doc, x[each], minlength=len(where)) for x in (log, np.log10(seen_before + 1), (seen_before > 0).astype(float))]
-            out.append((row.base + where, ids, np.zeros(len(where), np.int64), np.bincount(doc, minlength=len(where)), sums[2].astype(np.int64), sums[1], sums[0]))
+            arrays = (where, ids, np.bincount(doc, minlength=len(where)), sums[2], sums[1], sums[0])
+            out.append((row.base, None, None, None, *(_planes(x.astype(kind)) for x, (_, kind) in zip(arrays, _SUMS))))
             open_ = np.flatnonzero((~seen & ~common)[each])
-            nil = np.zeros(len(open_), np.int64)
-            out.append((row.base + docs[open_], ids[doc[open_]], w[each[open_]].view(np.int64), nil, nil, nil.astype(float), nil.astype(float)))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [[]] * 7
-        return pd.DataFrame(dict(zip(("row", "id", "word", "n", "known", "base", "score"), columns)))
+            rows = zip((row.base + docs[open_]).tolist(), ids[doc[open_]].tolist(), w[each[open_]].view(np.int64).tolist())
+            out.extend((None, *x, *[None] * len(_SUMS)) for x in rows)
+        names = ["block", "row", "id", "word"]
+        return pd.DataFrame(out, columns=[*names, *(c for c, _ in _SUMS)], dtype=object).astype(dict.fromkeys(names, "Int64"))
 
     return answer
 
@@ -428,11 +440,13 @@ def score(docs: DataFrame, model: KatzModel, key: str = "doc_id", text: str = "t
     asked = chosen.mapInArrow(_asker(shared), f"bucket int, {_PACK}, docs binary, ids binary, base bigint")
     tables = model.bigrams.select("bucket", "contexts", "runs", "followers", "counts").join(model.weights, "bucket")
     answered = tables.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInPandas(_answerer(shared, model.discount, model.hot), _ANSWER)
-    summed = stored(answered.groupBy("row", "id", "word").agg(*[F.sum(c).alias(c) for c in ("n", "known", "base", "score")], F.count("*").alias("times")), "answers")
-    rarer = summed.where("word <> 0").select("row", "id", "word", "times").join(model.rare, "word", "left")
+    answers = stored(answered, "answers")
+    summed = answers.where("block IS NOT NULL").groupBy("block").applyInPandas(_add_up, "row bigint, id bigint, n bigint, known bigint, base double, score double")
+    unseen = answers.where("block IS NULL").groupBy("row", "id", "word").agg(F.count("*").alias("times"))
+    rarer = unseen.join(model.rare, "word", "left")
     unigram = F.when(F.col("n").isNull(), F.lit(known.unknown)).otherwise(_word_column(known))
     rest = rarer.select("row", "id", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("known"), F.lit(0.0).alias("base"), (F.log10(unigram) * F.col("times")).alias("score"))
-    both = summed.where("word = 0").select("row", "id", "n", "known", "base", "score").unionByName(rest)
+    both = summed.unionByName(rest)
     total = both.groupBy("row", "id").agg(*[F.sum(c).alias(c) for c in ("n", "known", "base", "score")])
     end = float(np.log10(known.documents + 1))
     floor = float(np.log10(known.tokens + known.vocabulary + 1))

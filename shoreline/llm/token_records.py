@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 MASK = 0xA282EAD8
 FILE_BYTES = 64 << 20
-CACHED = 200_000
+CACHED = 100_000  # entries of either cache of a Python worker, some 35 MB each
+_TEXTS = 64  # texts taken out of a batch at once
 _FRAME = struct.Struct("<QI")
 # In these chunks no normalisation but lower-casing takes place, and words end where letters do.
 _PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")
@@ -104,8 +105,8 @@ class Encoder:
 
     def encode(self, texts: list[bytes], end: bytes) -> Iterator[bytes]:
         """The ids of every text followed by ``end``."""
-        for a in range(0, len(texts), 64):
-            split = [t.split() for t in texts[a : a + 64]]
+        for a in range(0, len(texts), _TEXTS):
+            split = [t.split() for t in texts[a : a + _TEXTS]]
             if len(self.chunks) > CACHED:
                 self.chunks.clear()
             new = set().union(*split).difference(self.chunks)
@@ -130,7 +131,9 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, *, key: str = "d
         out, name, offset, before, made = None, "", 0, 0, 0
         for batch in batches:
             rows = []
-            for ids in encoder.encode([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()], end):
+            held = batch.column(1).cast(pa.binary())
+            parts = (held.slice(a, _TEXTS).to_pylist() for a in range(0, len(held), _TEXTS))
+            for ids in (i for part in parts for i in encoder.encode([t or b"" for t in part], end)):
                 if out is None or offset >= FILE_BYTES:
                     if out is not None:
                         out.close()

@@ -40,7 +40,7 @@ class DriftConfig:
     open_after: int = 2
     close_after: int = 3
     baseline_cap: int = 5000
-    output_rows: int = 1000
+    output_rows: int | None = None  # first reference rows of the output node; None takes all
     min_reference_rows: int = 20
 
 

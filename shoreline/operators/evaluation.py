@@ -15,10 +15,15 @@ def _ratio(top: Column, bottom: Column) -> Column:
     return F.when(bottom == 0, 0.0).otherwise(top / bottom)
 
 
+def _complete(scores: DataFrame) -> DataFrame:
+    """Rows with a label and a score; without either there is nothing to judge."""
+    return scores.filter(F.col("y").isNotNull() & F.col("p").isNotNull())
+
+
 def binary_metrics(scores: DataFrame, threshold: float = 0.5, keys: Sequence[str] = ()) -> DataFrame:
-    """Accuracy, precision, recall and F1 of (y, p) at a threshold."""
+    """Accuracy, precision, recall and F1 of (y, p) at a threshold; rows without y or p are left out."""
     hit, real = F.col("p") >= threshold, F.col("y") == 1
-    counts = scores.groupBy(*keys).agg(
+    counts = _complete(scores).groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.count_if(hit & real).alias("tp"),
         F.count_if(hit & ~real).alias("fp"),
@@ -37,7 +42,7 @@ def binary_metrics(scores: DataFrame, threshold: float = 0.5, keys: Sequence[str
 
 def _by_score(scores: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     """Positives and negatives per distinct score, cut into contiguous chunks."""
-    points = scores.groupBy(*keys, "p").agg(
+    points = _complete(scores).groupBy(*keys, "p").agg(
         F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg")
     )
     return range_chunks(points, keys, [order])
@@ -138,10 +143,13 @@ def regression_metrics(predictions: DataFrame, keys: Sequence[str] = ()) -> Data
 
 
 def fairness_rates(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Selection, true-positive and false-positive rate per group ``g``; 0 where empty."""
+    """Selection, true-positive and false-positive rate per group ``g``; 0 where empty.
+
+    Rows without y or p are left out.
+    """
     hit = F.col("p") >= threshold
     real, unreal = F.col("y") == 1, F.col("y") == 0
-    return scores.groupBy(F.col("g").cast("string").alias("g")).agg(
+    return _complete(scores).groupBy(F.col("g").cast("string").alias("g")).agg(
         F.avg(hit.cast("double")).alias("selection_rate"),
         _ratio(F.count_if(hit & real), F.count_if(real)).alias("tpr"),
         _ratio(F.count_if(hit & unreal), F.count_if(unreal)).alias("fpr"),

@@ -97,8 +97,19 @@ def trivial_graph(features: DataFrame, keys: Sequence[str] = ()) -> Graph:
     )
 
 
-def load_graph(spark: SparkSession, path: str) -> Graph:
-    """Graph file: ``{"nodes": {...}}`` or ``{"edges": [[parent, child], ...]}``."""
+def _accepted(graph: Graph, features: DataFrame | None) -> Graph:
+    # The first few violations are enough for a message.
+    found = validate_graph(graph.nodes, graph.edges, features).orderBy("rule", "subject").limit(5).collect()
+    if found:
+        raise GraphError("bad graph: " + ", ".join(f"{r.rule} {r.subject}" for r in found))
+    return graph
+
+
+def load_graph(spark: SparkSession, path: str, features: DataFrame | None = None) -> Graph:
+    """Graph file: ``{"nodes": {...}}`` or ``{"edges": [[parent, child], ...]}``.
+
+    A graph that :func:`validate_graph` objects to is an error; ``features`` (node) names those that exist.
+    """
     raw = spark.read.json(path, schema=_FILE_SCHEMA, multiLine=True, mode="PERMISSIVE")
     shape = raw.agg(
         F.max(F.coalesce(F.size("nodes"), F.lit(-1))).alias("nodes"),
@@ -107,7 +118,7 @@ def load_graph(spark: SparkSession, path: str) -> Graph:
     ).first()
     if shape.nodes and shape.nodes > 0:
         entries = raw.select(F.explode("nodes").alias("node", "v"))
-        return graph_from_nodes(entries.select("node", "v.kind", "v.parents"))
+        return _accepted(graph_from_nodes(entries.select("node", "v.kind", "v.parents")), features)
     if shape.edges is None or shape.edges < 0:
         raise GraphError("a graph file needs an 'edges' list or a 'nodes' map")
     if shape.edges == 0:
@@ -115,7 +126,8 @@ def load_graph(spark: SparkSession, path: str) -> Graph:
     if shape.malformed:
         raise GraphError("each edge must be a [parent, child] pair")
     pairs = raw.select(F.explode("edges").alias("e"))
-    return graph_from_edges(pairs.select(F.col("e")[0].alias("parent"), F.col("e")[1].alias("child")))
+    ends = pairs.select(F.col("e")[0].alias("parent"), F.col("e")[1].alias("child"))
+    return _accepted(graph_from_edges(ends), features)
 
 
 def transitive_closure(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

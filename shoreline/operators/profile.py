@@ -254,25 +254,29 @@ def representative_row(df: DataFrame, columns: Sequence[str], order: Sequence[st
     return df.dropna(subset=list(columns)).orderBy(*order).limit(1).select(*columns)
 
 
+def _first(outputs: DataFrame, order: Sequence[str], rows: int | None) -> DataFrame:
+    # A distributed index: no single task sorts a very large model.
+    if rows is None:
+        return outputs
+    return dense_index(outputs, ["model_id"], order, "_row").filter(F.col("_row") < rows)
+
+
 def output_baseline(
-    outputs: DataFrame, order: Sequence[str], rows: int = DEFAULTS.output_rows
+    outputs: DataFrame, order: Sequence[str] = (), rows: int | None = DEFAULTS.output_rows
 ) -> DataFrame:
-    """Class shares over the first ``rows`` reference rows, per model.
+    """Class shares over all reference rows, or the first ``rows`` in ``order``, per model.
 
-    ``outputs`` has model_id, prediction, output. Rows are numbered with the distributed
-    index, so the first rows of a very large model are found without a single-task sort.
+    ``outputs`` has model_id, prediction, output.
     """
-    first = dense_index(outputs, ["model_id"], order, "_row").filter(F.col("_row") < rows)
-    labelled = output_node_values(first, ["model_id"], F.lit(True))
+    labelled = output_node_values(_first(outputs, order, rows), ["model_id"], F.lit(True))
     return category_proportions(labelled, ["model_id"])
 
 
 def output_baseline_values(
-    outputs: DataFrame, order: Sequence[str], rows: int = DEFAULTS.output_rows
+    outputs: DataFrame, order: Sequence[str] = (), rows: int | None = DEFAULTS.output_rows
 ) -> DataFrame:
     """Regression form of :func:`output_baseline`: the output values themselves."""
-    first = dense_index(outputs, ["model_id"], order, "_row").filter(F.col("_row") < rows)
-    return output_node_values(first, ["model_id"], F.lit(False)).select(
+    return output_node_values(_first(outputs, order, rows), ["model_id"], F.lit(False)).select(
         "model_id", "node", F.col("num").alias("value")
     )
 

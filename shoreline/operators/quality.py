@@ -12,8 +12,8 @@ from shoreline.config import PII_DENY_LIST
 
 # One JSON string token, whole, with the colon that makes it a field name.
 _STRING_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*+:?'
-_FIELD_SEPARATOR = "\x1f"
-_NULL_MARK = "<null>"
+# A SHA-256 in hexadecimal, cut into pieces that fit a 64-bit number.
+_PIECES = ((1, 15), (16, 15), (31, 15), (46, 15), (61, 4))
 
 
 def json_keys(json: Column) -> Column:
@@ -70,28 +70,29 @@ def pii_records_summary(scanned: DataFrame) -> DataFrame:
 
 
 def _canonical(field: T.StructField) -> Column:
+    """The exact value with its length in front, so that fields can't run into each other; "-" is null."""
     c = F.col(field.name)
-    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-        text = c.cast("decimal(38,6)").cast("string")
-    elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
         text = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     else:
         text = c.cast("string")
-    return F.coalesce(text, F.lit(_NULL_MARK))
+    return F.coalesce(F.concat(F.lit("="), F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
 
 def dataset_fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Content hash that does not depend on row order or partitioning.
 
-    Rows are hashed one by one and combined by count and sum, which is a plain aggregation.
+    Rows are hashed one by one, and all bits of the hashes are combined by count and sums, which is
+    a plain aggregation. Numbers are hashed with all their digits.
     """
     fields = [df.schema[c] for c in columns]
-    row = F.sha2(F.concat_ws(_FIELD_SEPARATOR, *[_canonical(f) for f in fields]), 256)
-    number = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(28,0)")
-    combined = df.select(number.alias("h")).agg(
-        F.count("*").alias("n_rows"), F.coalesce(F.sum("h"), F.lit(0)).alias("total")
+    rows = df.select(F.sha2(F.concat(*[_canonical(f) for f in fields]).cast("binary"), 256).alias("h"))
+    piece = lambda at, n: F.conv(F.substring("h", at, n), 16, 10).cast("decimal(28,0)")
+    combined = rows.agg(
+        F.count("*").alias("n_rows"),
+        F.array(*[F.coalesce(F.sum(piece(*p)), F.lit(0)).cast("string") for p in _PIECES]).alias("totals"),
     )
-    text = F.concat_ws(":", F.col("n_rows").cast("string"), F.col("total").cast("string"))
+    text = F.concat_ws(":", F.col("n_rows").cast("string"), F.array_join("totals", ":"))
     return combined.select("n_rows", F.sha2(text, 256).alias("dataset_version"))
 
 

@@ -365,7 +365,8 @@ def kpi_summary(node_drift: DataFrame, ranked: DataFrame) -> DataFrame:
         F.count_if(F.col("verdict") == "DRIFT").alias("drifted_count")
     )
     causes = ranked.groupBy("model_id").agg(
-        F.max_by("node", F.struct("severity", "node")).alias("root_cause")
+        # The first name among equal severities, as in root_severity.
+        F.min_by("node", F.struct(-F.col("severity"), "node")).alias("root_cause")
     )
     return drifted.join(causes, "model_id", "left").select(
         "model_id",

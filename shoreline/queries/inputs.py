@@ -91,9 +91,9 @@ def baseline(spark: SparkSession, sf: str) -> P.Baseline:
     def make():
         ref = reference(spark, sf)
         outputs = ref.select(
-            "model_id", "ts", "event_id", "prediction", F.lit(None).cast("double").alias("output")
+            "model_id", "prediction", F.lit(None).cast("double").alias("output")
         )
-        classes = P.output_baseline(outputs, ["ts", "event_id"], CONFIG.output_rows)
+        classes = P.output_baseline(outputs)
         return P.build_baseline(ref, FEATURES, F.col("event_id"), CONFIG, classes)
 
     return _once(spark, sf, "baseline", make)
@@ -182,19 +182,12 @@ def data_edges(spark: SparkSession, sf: str) -> DataFrame:
     turn = lambda step: F.concat(
         F.lit("t"), F.col("conv_id").cast("string"), F.lit("."), (F.col("turn") + step).cast("string")
     )
-    orders = t("orders").select("o_orderkey")
     return (
         pair(t("nation"), node("r", "n_regionkey"), node("n", "n_nationkey"))
         .union(pair(t("customer"), node("n", "c_nationkey"), node("c", "c_custkey")))
         .union(pair(t("supplier"), node("n", "s_nationkey"), node("s", "s_suppkey")))
         .union(pair(t("orders"), node("c", "o_custkey"), node("o", "o_orderkey")))
-        .union(
-            pair(
-                t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi"),
-                node("s", "l_suppkey"),
-                node("o", "l_orderkey"),
-            )
-        )
+        .union(pair(t("lineitem"), node("s", "l_suppkey"), node("o", "l_orderkey")))
         .union(pair(t("conversations").filter("turn > 0"), turn(-1), turn(0)))
         .distinct()
     )
@@ -232,14 +225,16 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def class_predictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels of embeddings and the position of the largest of the first ten components."""
-    ten = F.slice("embedding", 1, 10)
-    return table(spark, sf, "embeddings").select(
-        "vec_id",
-        F.col("label").cast("bigint").alias("y"),
-        (F.array_position(ten, F.array_max(ten)) - 1).cast("bigint").alias("yhat"),
-        ten.alias("ten"),
-    )
+    """Labels of embeddings, ten class scores and the best class.
+
+    A class scores the sum of every tenth component, so all components take part.
+    """
+    part = lambda c: F.filter("embedding", lambda _, i: i % 10 == c)
+    total = lambda c: F.aggregate(part(c), F.lit(0.0), lambda a, x: a + x.cast("double"))
+    ten = F.array(*[total(c) for c in range(10)])
+    scored = table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("y"), ten.alias("ten"))
+    best = (F.array_position("ten", F.array_max("ten")) - 1).cast("bigint")
+    return scored.select("vec_id", "y", best.alias("yhat"), "ten")
 
 
 def attributions(spark: SparkSession, sf: str) -> DataFrame:
@@ -296,9 +291,7 @@ bval AS (SELECT model_id, node, num AS value FROM (
 bcat AS (SELECT model_id, node, cat AS category, count(*) AS n,
     count(*) / sum(count(*)) OVER (PARTITION BY model_id, node) AS prop
   FROM (SELECT model_id, node, cat FROM ref_long WHERE cat IS NOT NULL
-    UNION ALL SELECT model_id, 'prediction', CAST(prediction AS VARCHAR) FROM (
-      SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY ts, event_id) AS rn FROM ref)
-      WHERE rn <= 1000)
+    UNION ALL SELECT model_id, 'prediction', CAST(prediction AS VARCHAR) FROM ref)
   GROUP BY model_id, node, cat),
 edges AS (SELECT model_id, node, baseline_n, raw, len(raw) - 1 AS n_bins, raw[2:len(raw) - 1] AS inn
   FROM (SELECT model_id, node, baseline_n, {QUANTILES} AS raw FROM (
@@ -429,7 +422,6 @@ GRAPH = """fe AS (
   UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier
   UNION SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders
   UNION SELECT 's' || l_suppkey, 'o' || l_orderkey FROM lineitem
-    WHERE l_orderkey IN (SELECT o_orderkey FROM orders)
   UNION SELECT 't' || conv_id || '.' || (turn - 1), 't' || conv_id || '.' || turn
     FROM conversations WHERE turn > 0),
 fn AS (SELECT parent AS node FROM fe UNION SELECT child FROM fe),
@@ -445,10 +437,11 @@ glev AS (SELECT node, max(level) AS level FROM walk GROUP BY node),
 gpos AS (SELECT node, level, row_number() OVER (ORDER BY level, node) - 1 AS position FROM glev)"""
 
 SCORES = """sc AS (SELECT doc_id, quality AS y, CAST(n_chars AS DOUBLE) / (CAST(n_chars AS DOUBLE) + 1000) AS p,
-  lang AS g FROM labels JOIN documents USING (doc_id))"""
+  lang AS g FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND n_chars IS NOT NULL)"""
 
-CLASSES = """cp AS (SELECT vec_id, CAST(label AS BIGINT) AS y, embedding[1:10] AS ten,
-  CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS BIGINT) AS yhat FROM embeddings)"""
+CLASSES = """cp AS (SELECT vec_id, CAST(label AS BIGINT) AS y, ten,
+  CAST(list_position(ten, list_max(ten)) - 1 AS BIGINT) AS yhat FROM (SELECT *, list_transform(range(0, 10), lambda c: list_reduce(
+    list_transform(range(c + 1, len(embedding) + 1, 10), lambda i: CAST(embedding[i] AS DOUBLE)), lambda a, x: a + x)) AS ten FROM embeddings))"""
 
 _MEANS = ", ".join(f"avg({f}) AS m_{f}" for f in COEFFICIENTS)
 ATTR = f"""{PE}, mm AS (SELECT {_MEANS} FROM cur),

@@ -255,6 +255,6 @@ def drift_trend(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(I.with_(I.RCA) + """SELECT model_id, drifted_count, root_cause, CASE WHEN drifted_count = 0 THEN 'Stable' WHEN root_cause IS NOT NULL THEN 'Drift' ELSE 'Warning' END AS drift_status
   FROM (SELECT model_id, count(*) FILTER (WHERE verdict = 'DRIFT') AS drifted_count FROM nd GROUP BY 1)
-  LEFT JOIN (SELECT model_id, arg_max(node, severity) AS root_cause FROM roots GROUP BY 1) USING (model_id)""")
+  LEFT JOIN (SELECT model_id, first(node ORDER BY severity DESC, node) AS root_cause FROM roots GROUP BY 1) USING (model_id)""")
 def kpi_summary(spark: SparkSession, sf: str) -> DataFrame:
     return R.kpi_summary(I.node_drift(spark, sf), I.roots(spark, sf))

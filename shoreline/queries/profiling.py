@@ -75,12 +75,12 @@ def graph_baseline(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(I.with_(I.PE) + """SELECT model_id, 'prediction' AS node, CAST(prediction AS VARCHAR) AS category, count(*) AS n,
     round(count(*) / sum(count(*)) OVER (PARTITION BY model_id), 6) AS prop
-  FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY ts, event_id) AS rn FROM pe) WHERE rn <= 1000 GROUP BY model_id, prediction""")
+  FROM pe GROUP BY model_id, prediction""")
 def output_baseline(spark: SparkSession, sf: str) -> DataFrame:
     outputs = I.prediction_events(spark, sf).select(
-        "model_id", "ts", "event_id", "prediction", F.lit(None).cast("double").alias("output")
+        "model_id", "prediction", F.lit(None).cast("double").alias("output")
     )
-    shares = P.output_baseline(outputs, ["ts", "event_id"])
+    shares = P.output_baseline(outputs)
     return shares.withColumn("prop", r6("prop"))
 
 

@@ -143,9 +143,10 @@ def pii_records_summary(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.array_join("violations", ",").alias("violations"), "passed")
 
 
-@query("""SELECT count(*) AS n_rows, sha256(count(*) || ':' || CAST(sum(CAST(CAST('0x' || substr(h, 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR)) AS dataset_version FROM (
-  SELECT sha256(CAST(o_orderkey AS VARCHAR) || chr(31) || o_orderstatus || chr(31) || CAST(CAST(o_totalprice AS DECIMAL(38,6)) AS VARCHAR)
-    || chr(31) || strftime(o_orderdate, '%Y-%m-%d')) AS h FROM orders)""")
+@query("""SELECT count(*) AS n_rows, sha256(count(*) || """ + " || ".join(f"':' || CAST(sum(CAST(CAST('0x' || substr(h, {at}, {n}) AS BIGINT) AS HUGEINT)) AS VARCHAR)"
+  for at, n in ((1, 15), (16, 15), (31, 15), (46, 15), (61, 4))) + """) AS dataset_version FROM (SELECT sha256(string_agg(coalesce('=' || len(v) || ':' || v, '-'), '' ORDER BY i)) AS h
+  FROM (SELECT o_orderkey, unnest(range(0, 4)) AS i, unnest([CAST(o_orderkey AS VARCHAR), o_orderstatus, CAST(o_totalprice AS VARCHAR), strftime(o_orderdate, '%Y-%m-%d')]) AS v FROM orders)
+  GROUP BY o_orderkey)""")
 def dataset_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     orders = I.table(spark, sf, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
     return Q.dataset_fingerprint(orders, ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"])

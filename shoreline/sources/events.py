@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,13 +25,14 @@ def _is_number(kind: Column) -> Column:
     return kind.isin("BIGINT", "DOUBLE", "FLOAT", "BOOLEAN") | kind.startswith("DECIMAL")
 
 
-def parse_events(raw: DataFrame, value: str = "value") -> DataFrame:
-    """JSON text to event columns, with ``valid`` and the text kept in ``raw``.
+def parse_events(raw: DataFrame, value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """JSON text to event columns, with ``valid``, the text in ``raw`` and the columns ``keep``.
 
     Defaults fill a missing version, source, time and id. A missing id becomes a hash of the
     text rather than a random one, so that a repeated task yields the same event.
     """
     parsed = raw.filter(F.trim(F.col(value)) != "").select(
+        *keep,
         F.col(value).alias("raw"),
         F.from_json(
             value, EVENT_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
@@ -61,6 +63,7 @@ def parse_events(raw: DataFrame, value: str = "value") -> DataFrame:
         ),
     )
     return parsed.withColumn("valid", valid).select(
+        *keep,
         "raw",
         "valid",
         F.coalesce("e.schema_version", F.lit(SCHEMA_VERSION)).alias("schema_version"),
@@ -85,11 +88,22 @@ def validate_events(raw: DataFrame, value: str = "value") -> tuple[DataFrame, Da
 
 
 def replay_events(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Bounded replay of JSON lines; blank lines are skipped, malformed ones rejected."""
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    if limit is not None:
-        lines = lines.limit(limit)
-    return validate_events(lines)[0]
+    """Bounded replay of JSON lines; blank lines are skipped, malformed ones rejected.
+
+    ``limit`` takes the first good events in the order of the files and their lines.
+    """
+    lines = spark.read.text(path)
+    if limit is None:
+        return validate_events(lines)[0]
+    placed = lines.select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+    order = ["_file", "_block", "_line"]
+    good = parse_events(placed, keep=order).filter("valid")
+    return good.orderBy(*order).limit(limit).drop("valid", "raw", *order)
 
 
 def tail_events(

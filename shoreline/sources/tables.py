@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from shoreline.operators.profile import Baseline
 
@@ -37,11 +37,12 @@ def store_baseline(baseline: Baseline, path: str, model_version: str) -> None:
 
 
 def load_baseline(spark: SparkSession, path: str, model_version: str | None = None) -> Baseline:
-    """Read stored baselines; a version reads only its own files."""
+    """Read stored baselines; a version reads only its own files. Versions are texts: "007" stays so."""
 
     def read(name: str) -> DataFrame:
-        table = spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
-        table = table.withColumn("model_version", F.col("model_version").cast("string"))
+        found = spark.read.parquet(f"{path}/{name}").schema
+        typed = [StructField(f.name, StringType()) if f.name == "model_version" else f for f in found]
+        table = spark.read.schema(StructType(typed)).parquet(f"{path}/{name}")
         if model_version is not None:
             table = table.filter(F.col("model_version") == model_version)
         return table

@@ -73,7 +73,15 @@ def test_validation(spark):
 
 @pytest.mark.parametrize(
     "body, message",
-    [({"x": 1}, "edges"), ({"edges": []}, "no edges"), ({"edges": [["a"]]}, "pair")],
+    [
+        ({"x": 1}, "edges"),
+        ({"edges": []}, "no edges"),
+        ({"edges": [["a"]]}, "pair"),
+        ({"edges": [["a", "b"], ["b", "a"]]}, "cycle"),
+        ({"edges": [["a", "b"], ["c", "c"]]}, "self_edge c"),
+        ({"nodes": {"a": {"kind": "raw_input"}, "b": {"parents": ["x"]}}}, "undefined_parent"),
+        ({"nodes": {"a": {"kind": "other"}, "b": {"parents": ["a"]}}}, "invalid_kind a"),
+    ],
 )
 def test_bad_graph_files(spark, tmp_path, body, message):
     path = tmp_path / "graph.json"

@@ -102,3 +102,22 @@ def test_attribution_text(spark):
     )
     assert text[2].summary == "Value: 7.00. Every feature stays below the reporting limit."
     assert text[1].other_note is None
+
+
+def test_fingerprint_sees_every_digit(spark):
+    version = lambda values, kind="double": Q.dataset_fingerprint(
+        spark.createDataFrame([(v,) for v in values], f"x {kind}"), ["x"]
+    ).first().dataset_version
+    assert version([1e-7, 2e-7]) != version([3e-7, 4e-7])
+    assert version([1e33]) != version([1e33 * (1 + 1e-15)])
+    assert version([None], "string") != version(["<null>"], "string") != version(["-"], "string")
+    pair = spark.createDataFrame([("a=1:b", "c"), ("a", "1:bc")], "x string, y string")
+    assert Q.dataset_fingerprint(pair.limit(1), pair.columns).first() != Q.dataset_fingerprint(pair.offset(1), pair.columns).first()
+
+
+def test_rows_without_label_or_score_are_left_out(spark):
+    df = spark.createDataFrame([(1, None, "a"), (1, 0.9, "a"), (None, 0.2, "a"), (0, 0.1, "a")], "y int, p double, g string")
+    found = V.binary_metrics(df).first()
+    assert (found.n, found.accuracy, found.recall) == (2, 1.0, 1.0)
+    assert V.roc_auc(df).first().roc_auc == 1.0 and V.average_precision(df).first().average_precision == 1.0
+    assert V.fairness_rates(df).first().selection_rate == 0.5

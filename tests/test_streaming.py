@@ -168,6 +168,11 @@ def test_event_files_round_trip(spark, tmp_path):
     assert len(rows) == 2 and rows["a"].features["c"].text == "blue" and rows["a"].features["x"].num == 1.5
     assert {r.source for r in rows.values()} == {"api"} and {r.schema_version for r in rows.values()} == {"1.0"}
     assert E.replay_events(spark, str(path), limit=1).count() == 1
+    early = tmp_path / "early"
+    early.mkdir()
+    (early / "a.jsonl").write_text("\n".join(["{broken", json.dumps(LINES[0]), "{", json.dumps(LINES[1])]))
+    assert [r.event_id for r in E.replay_events(spark, str(early), limit=1).collect()] == ["a"]
+    assert E.replay_events(spark, str(early), limit=2).count() == 2
     good, bad = E.validate_events(spark.read.text(str(path)))
     assert good.count() == 2 and bad.count() == 2
     E.emit_events(events, str(tmp_path / "again"))
@@ -206,6 +211,10 @@ def test_baselines_by_version(spark, tmp_path):
         T.store_baseline(P.build_baseline(ref, FEATURES, F.col("row"), config), str(tmp_path), version)
     assert T.load_baseline(spark, str(tmp_path), "v2").values.count() == 400
     assert T.load_baseline(spark, str(tmp_path)).values.count() == 800
+    for text in ("007", "1.10", "1e3"):
+        T.store_baseline(P.build_baseline(ref, FEATURES, F.col("row"), config), str(tmp_path / "texts"), text)
+    for text in ("007", "1.10", "1e3"):
+        assert T.load_baseline(spark, str(tmp_path / "texts"), text).values.count() == 400
 
 
 def test_empty_reference(spark, tmp_path):

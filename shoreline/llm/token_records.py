@@ -19,6 +19,7 @@ are records of their own, in the order of their texts. An empty table gives no f
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import uuid
@@ -34,12 +35,15 @@ from pyspark.sql import functions as F
 
 MASK = 0xA282EAD8
 FILE_BYTES = 64 << 20
-CACHED = 100_000  # entries of either cache of a Python worker, some 35 MB each
+CACHED = 150_000  # different pieces that a Python worker keeps, some 30 MB
 _TEXTS = 64  # texts taken out of a batch at once
+_PART = 1 << 20  # characters of a text encoded at once
 _FRAME = struct.Struct("<QI")
-# In these chunks no normalisation but lower-casing takes place, and words end where letters do.
-_PLAIN = re.compile(r"[!-&(-;=-~À-ÖØ-öø-ÿ]+")
-_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+# With these characters no normalisation but lower-casing takes place, and words end where letters do.
+_PLAIN = re.compile(r"[\t-\r !-&(-;=-~À-ÖØ-öø-ÿ]*")
+_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ\t-\r ]+")
+_CHUNK = re.compile(r"[^\t-\r ]+")
+_GAP = re.compile(r"[\t-\r ]")
 
 
 def _store(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -69,52 +73,66 @@ def unframe(data: bytes) -> bytes:
 class Encoder:
     """Encodes texts with a tokenizer file that drops white space and works word by word.
 
-    Chunks between ASCII white space are encoded independently, each different one once while it
-    stays in the cache. Chunks of plain Latin letters, digits and signs are cut further, exactly where
-    the tokenizer itself cuts, so that few different pieces remain.
+    Texts of plain Latin letters, digits and signs are cut exactly where the tokenizer itself cuts, so
+    its model alone encodes the pieces, each different one once while it stays in the cache. Other
+    chunks between ASCII white space go through the whole tokenizer, also once each.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.chunks: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
-
-    def _learn(self, new: set[bytes]) -> None:
-        whole, cut, wanted = [], {}, set()
+        self.known: dict[str, bytes] = {}  # pieces hold plain characters only, whole chunks one other at least
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [p for p in new if _PLAIN.fullmatch(p)]
+        if plain:
+            found = self.model.encode(plain, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, self.kind).tobytes()
+            ends = (np.searchsorted(found.word_ids, np.arange(len(plain) + 1)) * self.width).tolist()
+            self.known.update(zip(plain, (ids[a:b] for a, b in zip(ends, ends[1:]))))
         for chunk in new:
-            text = chunk.decode("utf-8")
-            if _PLAIN.fullmatch(text):
-                cut[chunk] = _PIECE.findall(text.lower())
-                wanted.update(cut[chunk])
-            else:
-                whole.append((chunk, text))
-        if len(self.pieces) > CACHED:
-            self.pieces.clear()
-        missing = [p for p in wanted if p not in self.pieces]
-        self.pieces.update(zip(missing, self._library(missing)))
-        self.chunks.update((c, b"".join(map(self.pieces.__getitem__, ps))) for c, ps in cut.items())
-        self.chunks.update(zip([c for c, _ in whole], self._library([t for _, t in whole])))
+            if chunk not in self.known:
+                self.known[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
 
     def encode(self, texts: list[bytes], end: bytes) -> Iterator[bytes]:
         """The ids of every text followed by ``end``."""
-        for a in range(0, len(texts), _TEXTS):
-            split = [t.split() for t in texts[a : a + _TEXTS]]
-            if len(self.chunks) > CACHED:
-                self.chunks.clear()
-            new = set().union(*split).difference(self.chunks)
-            if new:
-                self._learn(new)
-            get = self.chunks.__getitem__
-            for chunks in split:
-                yield b"".join([*map(get, chunks), end])
+        for text in texts:
+            yield b"".join([*map(self._encode_part, _parts(text.decode("utf-8"))), end])
+
+    def _encode_part(self, text: str) -> bytes:
+        if _PLAIN.fullmatch(text):
+            pieces = _PIECE.findall(text.lower())
+        else:
+            pieces = [p for c in _CHUNK.findall(text) for p in (_PIECE.findall(c.lower()) if _PLAIN.fullmatch(c) else (c,))]
+        if len(self.known) > CACHED:
+            self.known.clear()
+        new = [p for p in set(pieces) if p not in self.known]
+        if new:
+            self._learn(new)
+        return b"".join(map(self.known.__getitem__, pieces))
+
+
+def _parts(text: str) -> Iterator[str]:
+    """The text cut at ASCII white space into parts of about ``_PART`` characters, or more within a word."""
+    at = 0
+    while len(text) - at > _PART:
+        gap = _GAP.search(text, at + _PART)
+        if gap is None:
+            break
+        yield text[at : gap.start()]
+        at = gap.end()
+    yield text[at:]
+
+
+@functools.lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One tokenizer and one cache per Python worker, kept from task to task."""
+    return Encoder(path)
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 1) -> DataFrame:
@@ -122,7 +140,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, *, key: str = "d
     kind = dict(docs.dtypes)[key]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = _encoder(tokenizer)
         end = np.array([end_id], encoder.kind).tobytes()
         mark = bytes([encoder.width])
         store, root = _store(folder)

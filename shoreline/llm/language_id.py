@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoreline.llm.tables import fold
+from shoreline.llm.tables import bounded_batches, fold
 from shoreline.llm.text import mix, slices
 
 DIMENSIONS = 1 << 15
@@ -178,6 +178,7 @@ def _sample(train: DataFrame, per_label: int) -> list[tuple[str, bytes, bytes]]:
 
 def fit(docs: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "lang", *, per_label: int = PER_LABEL, epochs: int = 2, seed: int = 3) -> LanguageModel:
     """Learn from the rows of ``docs`` that have an id, a text and a label."""
+    bounded_batches(docs.sparkSession)
     train = docs.select(docs[ident].alias("_id"), docs[text].alias("_text"), docs[label].alias("_label")).dropna()
     held, total = _document_frequencies(train)
     idf = (np.log((1 + total) / (1 + held)) + 1).astype(np.float32)
@@ -215,6 +216,7 @@ def _temperature(logits: np.ndarray, truth: np.ndarray) -> float:
 
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` with ``lang_pred`` and ``score`` for every row of ``docs``."""
+    bounded_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMENSIONS x languages numbers
 

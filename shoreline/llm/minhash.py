@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoreline.llm.components import components
+from shoreline.llm.tables import bounded_batches
 from shoreline.llm.text import mix, slices, words
 from shoreline.plans.materialize import stored
 from shoreline.plans.sizing import broadcast_if_small
@@ -196,7 +197,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
 
     ``kept`` marks one row of every group. ``copies`` counts the rows with the same multiset.
     """
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

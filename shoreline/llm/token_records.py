@@ -33,6 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoreline.llm.tables import bounded_batches
+
 MASK = 0xA282EAD8
 FILE_BYTES = 64 << 20
 CACHED = 150_000  # different pieces that a Python worker keeps, some 30 MB
@@ -137,6 +139,7 @@ def _encoder(path: str) -> Encoder:
 
 def write_records(docs: DataFrame, folder: str, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 1) -> DataFrame:
     """Write all of ``docs`` below ``folder``, which all executors can reach; returns the index."""
+    bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

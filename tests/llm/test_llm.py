@@ -143,6 +143,19 @@ def test_encoder_is_exact(text):
     assert got == Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids
 
 
+def test_long_text_is_cut_between_words(monkeypatch):
+    from tokenizers import Tokenizer
+
+    text = "Plain words, 12 of them;\n don't x² 日本語 and " + "onewordwithoutagap" * 20 + " end\t\n "
+    monkeypatch.setattr(token_records, "_PART", 7)
+    monkeypatch.setattr(token_records, "CACHED", 3)
+    encoder = token_records.Encoder(TOKENIZER)
+    want = Tokenizer.from_file(TOKENIZER).encode(text, add_special_tokens=False).ids
+    for _ in range(2):
+        got = np.frombuffer(next(encoder.encode([text.encode()], b"")), "<u2").tolist()
+        assert got == want
+
+
 def test_damaged_record():
     data = bytearray(token_records.frame(b"\x02abcd"))
     assert token_records.unframe(bytes(data)) == b"\x02abcd"

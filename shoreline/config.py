@@ -39,7 +39,7 @@ class DriftConfig:
     cooldown_seconds: int = 900
     open_after: int = 2
     close_after: int = 3
-    baseline_cap: int = 5000
+    baseline_cap: int | None = None  # reference values kept per node; None keeps all
     output_rows: int | None = None  # first reference rows of the output node; None takes all
     min_reference_rows: int = 20
 

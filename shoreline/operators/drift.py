@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoreline.config import (
@@ -33,6 +33,7 @@ from shoreline.operators.profile import (
     collect_batch_features,
     split_columns,
 )
+from shoreline.plans.materialize import stored
 from shoreline.plans.scan import CHUNK, range_chunks, running
 from shoreline.plans.sizing import broadcast_if_small, has_at_most
 
@@ -40,6 +41,8 @@ NODE = ("model_id", "node")
 WINDOW_NODE = ("model_id", "window_id", "node")
 # Baseline values (8 bytes each) sent to every executor; beyond this the ranks are joined.
 BROADCAST_VALUES = 8_000_000
+# Baseline values per stretch of a running sum over cells.
+STRETCH = 100_000
 
 
 def _share_term(current: Column, base: Column) -> Column:
@@ -61,11 +64,11 @@ def _cells_by_broadcast(values: DataFrame, nodes: DataFrame, baseline: DataFrame
     }
     shared = values.sparkSession.sparkContext.broadcast((samples, inner))
 
-    @F.pandas_udf("struct<lt:int,le:int,bin:int>")
+    @F.pandas_udf("struct<lt:bigint,le:bigint,bin:int>")
     def place(model: pd.Series, node: pd.Series, value: pd.Series) -> pd.DataFrame:
         sorted_values, inner_edges = shared.value
         v = value.to_numpy(dtype=float)
-        out = np.zeros((3, len(v)), dtype=np.int32)
+        out = np.zeros((3, len(v)), dtype=np.int64)
         codes, pairs = pd.factorize(pd.MultiIndex.from_arrays([model, node]))
         for code, key in enumerate(pairs):
             at = codes == code
@@ -73,7 +76,7 @@ def _cells_by_broadcast(values: DataFrame, nodes: DataFrame, baseline: DataFrame
             out[0, at] = np.searchsorted(base, v[at], side="left")
             out[1, at] = np.searchsorted(base, v[at], side="right")
             out[2, at] = np.searchsorted(inner_edges[key], v[at], side="right")
-        return pd.DataFrame({"lt": out[0], "le": out[1], "bin": out[2]})
+        return pd.DataFrame({"lt": out[0], "le": out[1], "bin": out[2].astype(np.int32)})
 
     # As many rows as the dictionaries above.
     known = F.broadcast(nodes.filter(F.col("edges").isNotNull()).select(*NODE))
@@ -96,7 +99,7 @@ def _cells_by_join(values: DataFrame, nodes: DataFrame, baseline: DataFrame) ->
     )
     chunks = range_chunks(marks, list(NODE), ["value"])
     ranks = running(chunks, list(NODE), CHUNK, ["value"], sums={"le": F.col("b")}).select(
-        *NODE, "value", (F.col("le") - F.col("b")).cast("int").alias("lt"), F.col("le").cast("int")
+        *NODE, "value", (F.col("le") - F.col("b")).alias("lt"), "le"
     )
     return (
         points.join(ranks, [*NODE, "value"])
@@ -130,19 +133,20 @@ def continuous_statistics(
     is that constant over all bins plus a correction for the bins that hold values. No grid of
     windows and bins is built. With one bin or none the index is 0.
 
-    The running sum and both aggregations share one partitioning by (model, window, node).
+    A node has up to two cells per baseline value, so the running sum is cut into stretches of
+    ``STRETCH`` baseline values; one row per stretch is carried forward.
     """
-    group = Window.partitionBy(*WINDOW_NODE)
-    upto = group.orderBy("lt", "le", "bin").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
     sizes = nodes.select(*NODE, "baseline_n", "n_bins", "base_props")
-    # A group has one row per cell: bounded by the baseline cap, not by the window.
-    steps = cells.select(
-        "*",
-        F.sum("n").over(upto).alias("cum"),
-        F.sum("n").over(group).alias("current_n"),
-    ).join(broadcast_if_small(sizes), list(NODE))
+    kept = stored(cells, "cells")
+    totals = kept.groupBy(*WINDOW_NODE).agg(F.sum("n").alias("current_n"))
+    steps = (
+        running(
+            kept.withColumn(CHUNK, F.expr(f"lt div {STRETCH}")), list(WINDOW_NODE), CHUNK,
+            ["lt", "le", "bin"], sums={"cum": F.col("n")},
+        )
+        .join(broadcast_if_small(stored(totals, "totals")), list(WINDOW_NODE))
+        .join(broadcast_if_small(sizes), list(NODE))
+    )
     base_n, cur_n = F.col("baseline_n"), F.col("current_n")
     before = F.abs((F.col("cum") - F.col("n")) / cur_n - F.col("lt") / base_n)
     after = F.abs(F.col("cum") / cur_n - F.col("le") / base_n)

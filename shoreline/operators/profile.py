@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from shoreline.config import CATEGORICAL, CONTINUOUS, DEFAULTS, OUTPUT_NODE, DriftConfig
 from shoreline.functions.labels import number_label, output_label
 from shoreline.plans.materialize import stored
-from shoreline.plans.scan import dense_index
+from shoreline.plans.scan import CHUNK, dense_index, range_chunks, running
 from shoreline.plans.sizing import broadcast_if_small
 
 
@@ -218,10 +218,10 @@ def hash_classes(numeric: DataFrame, keys: Sequence[str]) -> DataFrame:
 def reference_sample(
     numeric: DataFrame,
     keys: Sequence[str],
-    cap: int = DEFAULTS.baseline_cap,
+    cap: int | None = DEFAULTS.baseline_cap,
     classes: DataFrame | None = None,
 ) -> DataFrame:
-    """At most ``cap`` values per (keys, node): those whose row has the smallest md5.
+    """All values per (keys, node), or the ``cap`` of them whose row has the smallest md5.
 
     ``numeric`` has keys, node, value and the columns of :func:`with_row_hash`. The size classes
     of the hashes are counted first (combined on the map side). The smallest classes that
@@ -229,6 +229,8 @@ def reference_sample(
     however large the input is.
     """
     group = [*keys, "node"]
+    if cap is None:
+        return numeric.select(*group, "value")
     counted = classes if classes is not None else stored(hash_classes(numeric, keys), "classes")
     below = Window.partitionBy(*group).orderBy("class")
     cut = (
@@ -288,18 +290,42 @@ def feature_spread(long: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _linear_quantiles(ordered: Column, points: Column) -> Column:
-    """Linear interpolation between neighbours, from the nearer one."""
+def _linear_quantiles(values: DataFrame, group: Sequence[str], points: Sequence[float]) -> DataFrame:
+    """``raw``: linear interpolation between neighbours, from the nearer one; ``baseline_n``.
 
-    def at(p: Column) -> Column:
-        place = p * (F.size(ordered) - 1)
-        low = F.floor(place).cast("int")
-        part = place - low
-        a = F.get(ordered, low)
-        b = F.coalesce(F.get(ordered, low + 1), a)
-        return F.when(part < 0.5, a + (b - a) * part).otherwise(b - (b - a) * (1 - part))
-
-    return F.transform(points, at)
+    Ranks are a distributed running sum over the distinct values; only the two neighbours of
+    each point are gathered, so a node may have any number of values.
+    """
+    marks = values.groupBy(*group, "value").agg(F.count("*").alias("b"))
+    chunks = range_chunks(marks, group, ["value"])
+    ranked = running(chunks, group, CHUNK, ["value"], sums={"le": F.col("b")})
+    sizes = stored(marks.groupBy(*group).agg(F.sum("b").alias("baseline_n")), "sizes")
+    # Places of the neighbours, counted from 0.
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(points)]))
+    last = F.col("baseline_n") - 1
+    place = F.col("at.p") * last
+    low = F.floor(place)
+    wanted = sizes.withColumn("at", each).select(
+        *group, "at.i", (place - low).alias("part"), low.alias("low"), F.least(low + 1, last).alias("high")
+    )
+    asked = wanted.groupBy(*group).agg(F.collect_list(F.struct("i", "part", "low", "high")).alias("asked"))
+    held = lambda place: (place >= F.col("le") - F.col("b")) & (place < F.col("le"))
+    met = ranked.join(broadcast_if_small(stored(asked, "asked")), group).withColumn(
+        "met", F.filter("asked", lambda w: held(w["low"]) | held(w["high"]))
+    )
+    near = (
+        met.filter(F.size("met") > 0)
+        .select(*group, "value", "le", "b", F.explode("met").alias("w"))
+        .groupBy(*group, "w.i", "w.part")
+        .agg(
+            F.max(F.when(held(F.col("w.low")), F.col("value"))).alias("a"),
+            F.max(F.when(held(F.col("w.high")), F.col("value"))).alias("z"),
+        )
+    )
+    a, z, part = F.col("a"), F.col("z"), F.col("part")
+    value = F.when(part < 0.5, a + (z - a) * part).otherwise(z - (z - a) * (1 - part))
+    raw = near.groupBy(*group).agg(F.collect_list(value).alias("raw"))
+    return raw.join(broadcast_if_small(sizes), group)
 
 
 def quantile_edges(
@@ -308,22 +334,20 @@ def quantile_edges(
 ) -> DataFrame:
     """De-duplicated linear-interpolated quantiles, outer edges open.
 
-    ``values`` holds at most the baseline cap per node, so the sorted array is bounded;
-    ``approximate`` is for a baseline that was kept uncapped.
+    Exact for any number of values; ``approximate`` reads them once and sorts nothing.
     """
     # Evenly spaced as multiples of one step: 3 * 0.1, not 0.3.
-    points = F.array(*[F.lit(i * (1.0 / bins)) for i in range(bins)], F.lit(1.0))
+    points = [*[i * (1.0 / bins) for i in range(bins)], 1.0]
     if approximate:
-        raw = F.percentile_approx("value", points, F.lit(10_000))
+        raw = F.percentile_approx("value", F.array(*[F.lit(p) for p in points]), F.lit(10_000))
+        found = values.groupBy(*keys, "node").agg(raw.alias("raw"), F.count("*").alias("baseline_n"))
     else:
         # The built-in percentile rounds differently where an edge falls on a value, which
         # moves that value to another bin; so the interpolation is written out.
-        raw = _linear_quantiles(F.sort_array(F.collect_list("value")), points)
+        found = _linear_quantiles(values, [*keys, "node"], points)
     low, high = F.array(F.lit(float("-inf"))), F.array(F.lit(float("inf")))
     return (
-        values.groupBy(*keys, "node")
-        .agg(raw.alias("raw"), F.count("*").alias("baseline_n"))
-        .withColumn("raw", F.array_sort(F.array_distinct("raw")))
+        found.withColumn("raw", F.array_sort(F.array_distinct("raw")))
         .select(
             *keys,
             "node",
@@ -392,8 +416,8 @@ def build_baseline(
 ) -> Baseline:
     """Baseline tables from reference rows with model_id and the feature ``columns``.
 
-    The numeric columns are read twice (hash classes, then the sample) and the text columns
-    once. ``output_categories`` (see :func:`output_baseline`) adds a classifier's output node.
+    All reference rows count unless ``config.baseline_cap`` is set; then the numeric columns
+    are read twice (hash classes, then the sample). The text columns are read once. ``output_categories`` (see :func:`output_baseline`) adds a classifier's output node.
     """
     key = ["model_id", "node"]
     numbers, texts = split_columns(reference, columns)
@@ -403,19 +427,25 @@ def build_baseline(
     if output_categories is not None:
         shares_of = shares_of.unionByName(output_categories)
     categories = stored(shares_of, "baseline-categories")
-    hashed = with_row_hash(reference, row_key)
-    numeric = collect_batch_features(hashed, ["model_id", "row_hash", "row_key"], numbers)
-    classes = stored(hash_classes(numeric, ["model_id"]), "classes")
-    values = stored(
-        reference_sample(numeric, ["model_id"], config.baseline_cap, classes), "baseline-values"
-    )
+    if config.baseline_cap is None:
+        numeric = collect_batch_features(reference, ["model_id"], numbers)
+        values = stored(reference_sample(numeric, ["model_id"], None), "baseline-values")
+        counts = values.groupBy(*key).agg(F.count("*").alias("n"))
+    else:
+        hashed = with_row_hash(reference, row_key)
+        numeric = collect_batch_features(hashed, ["model_id", "row_hash", "row_key"], numbers)
+        classes = stored(hash_classes(numeric, ["model_id"]), "classes")
+        values = stored(
+            reference_sample(numeric, ["model_id"], config.baseline_cap, classes), "baseline-values"
+        )
+        counts = classes.groupBy(*key).agg(F.sum("n").alias("n"))
     edges = stored(quantile_edges(values, config.psi_bins), "edges")
     # A handful of bins per node, in bin order.
     in_order = F.array_sort(F.collect_list(F.struct("bin", "baseline_prop")))
     shares = baseline_bins(values, edges).groupBy(*key).agg(
         F.transform(in_order, lambda s: s["baseline_prop"]).alias("base_props")
     )
-    continuous = classes.groupBy(*key).agg(F.lit(CONTINUOUS).alias("kind"), F.sum("n").alias("n"))
+    continuous = counts.select(*key, F.lit(CONTINUOUS).alias("kind"), "n")
     categorical = categories.groupBy(*key).agg(
         F.lit(CATEGORICAL).alias("kind"), F.sum("n").alias("n")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shoreline.config import DriftConfig
 from shoreline.functions.pvalues import with_ks_pvalue
 from shoreline.functions.verdicts import combine_verdict as combine
 from shoreline.functions.verdicts import psi_verdict as band
@@ -30,8 +31,12 @@ def r6(c):
 KEY = ["model_id", "window_id", "node"]
 
 
-def _cells(spark: SparkSession, sf: str) -> DataFrame:
-    return D.baseline_cells(I.window_numbers(I.windowed(spark, sf)), I.baseline(spark, sf))
+def _cells(spark: SparkSession, sf: str, config: DriftConfig = I.CONFIG) -> DataFrame:
+    return D.baseline_cells(I.window_numbers(I.windowed(spark, sf)), I.baseline(spark, sf, config))
+
+
+def _statistic(spark: SparkSession, sf: str) -> DataFrame:
+    return D.ks_statistic(_cells(spark, sf, I.WHOLE), I.baseline(spark, sf, I.WHOLE).nodes)
 
 
 def _categories(spark: SparkSession, sf: str) -> DataFrame:
@@ -44,11 +49,17 @@ def ks_statistic(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(*KEY, "current_n", "baseline_n", r6("statistic").alias("statistic"))
 
 
+@query(I.whole(QUERIES["ks_statistic"][1]))
+def ks_statistic_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over all reference rows."""
+    found = _statistic(spark, sf)
+    return found.select(*KEY, "current_n", "baseline_n", r6("statistic").alias("statistic"))
+
+
 @query()
 def ks_pvalue(spark: SparkSession, sf: str) -> DataFrame:
     """Exact p-values; checked against enumeration in the tests."""
-    found = D.ks_statistic(_cells(spark, sf), I.baseline(spark, sf).nodes)
-    return with_ks_pvalue(found, "current_n", "baseline_n", "statistic")
+    return with_ks_pvalue(_statistic(spark, sf), "current_n", "baseline_n", "statistic")
 
 
 @query(I.with_(I.KS) + f"SELECT model_id, window_id, node, round({I.ASYMPTOTIC}, 6) AS p_value FROM ks")
@@ -60,7 +71,7 @@ def ks_pvalue_asymptotic(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ks_test(spark: SparkSession, sf: str) -> DataFrame:
-    return D.ks_test(D.ks_statistic(_cells(spark, sf), I.baseline(spark, sf).nodes), I.CONFIG)
+    return D.ks_test(_statistic(spark, sf), I.WHOLE)
 
 
 @query(I.with_(I.PSI_BINS) + f"""SELECT model_id, window_id, node, CAST(bin AS BIGINT) AS bin,
@@ -83,6 +94,14 @@ def psi_continuous(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("psi", r6("psi")).withColumn("n_bins", F.col("n_bins").cast("bigint"))
 
 
+@query(I.whole(QUERIES["psi_continuous"][1]))
+def psi_continuous_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over all reference rows."""
+    nodes = I.baseline(spark, sf, I.WHOLE).nodes
+    found = D.psi_continuous(_cells(spark, sf, I.WHOLE), nodes, I.WHOLE)
+    return found.withColumn("psi", r6("psi")).withColumn("n_bins", F.col("n_bins").cast("bigint"))
+
+
 @query(I.with_(I.VALUES, I.PSI_CAT) + """SELECT model_id, window_id, node, current_n, baseline_n, round(psi, 6) AS psi FROM psi_cat""")
 def psi_categorical(spark: SparkSession, sf: str) -> DataFrame:
     base = I.baseline(spark, sf)
@@ -142,10 +161,16 @@ def detect_drift(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(I.run_detection(spark, sf))
 
 
+@query(I.whole(QUERIES["detect_drift"][1]))
+def detect_drift_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over all reference rows."""
+    return _rounded(I.run_detection(spark, sf, config=I.WHOLE))
+
+
 @query()
 def detect_drift_exact(spark: SparkSession, sf: str) -> DataFrame:
     """The same with exact p-values, the default of the library."""
-    return I.run_detection(spark, sf, "auto")
+    return I.run_detection(spark, sf, "auto", I.WHOLE)
 
 
 _LI = ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag"]
@@ -187,7 +212,7 @@ kk AS (SELECT node, max(abs(cc / tc - cb / tb)) AS statistic, max(tc) AS current
 @query(I.with_(_FRAME_SQL) + """SELECT node, CAST(current_n AS BIGINT) AS current_n, CAST(baseline_n AS BIGINT) AS baseline_n, round(statistic, 6) AS statistic, round(psi, 6) AS psi
     FROM kk JOIN pn USING (node)
   UNION ALL SELECT node, (SELECT nc FROM tot WHERE node = 'l_returnflag'), (SELECT count(*) FROM lref WHERE cat IS NOT NULL), NULL, round(psi, 6) FROM pc""")
-def drift_from_frame(spark: SparkSession, sf: str) -> DataFrame:
+def drift_from_frame(spark: SparkSession, sf: str, config: DriftConfig = I.CONFIG) -> DataFrame:
     """lineitem shipped from June 1998 on, as one batch, against what was shipped before."""
     key = F.concat_ws(
         "/", *[F.col(c).cast("string") for c in
@@ -195,14 +220,20 @@ def drift_from_frame(spark: SparkSession, sf: str) -> DataFrame:
     )
     lines = I.table(spark, sf, "lineitem").withColumn("model_id", F.lit("m")).withColumn("rk", key)
     cut = F.to_timestamp_ntz(F.lit(f"{_LI_CUT} 00:00:00"))
-    base = P.build_baseline(lines.filter(F.col("l_shipdate") < cut), _LI, F.col("rk"), I.CONFIG)
+    base = P.build_baseline(lines.filter(F.col("l_shipdate") < cut), _LI, F.col("rk"), config)
     batch = lines.filter(F.col("l_shipdate") >= cut)
-    found = D.drift_from_frame(batch, _LI, base, I.CONFIG, p_method="asymptotic")
+    found = D.drift_from_frame(batch, _LI, base, config, p_method="asymptotic")
     return found.select(
         "node", "current_n", "baseline_n", r6("statistic").alias("statistic"), r6("psi").alias("psi")
     )
 
 
+@query(I.whole(QUERIES["drift_from_frame"][1]))
+def drift_from_frame_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over all reference rows."""
+    return drift_from_frame(spark, sf, I.WHOLE)
+
+
 @query(I.with_(I.ND) + """SELECT model_id, window_id, string_agg(node, ',' ORDER BY pos) AS nodes FROM nd
   JOIN (VALUES ('value', 0), ('k', 1), ('hour', 2), ('load', 3), ('score', 4), ('weekday', 5), ('prediction', 6)) AS p(node, pos) USING (node)
   WHERE verdict = 'DRIFT' GROUP BY 1, 2""")

@@ -19,7 +19,9 @@ from shoreline.plans.materialize import stored
 
 CUT = "2024-01-16 00:00:00"
 SIZE = 100
-CONFIG = DriftConfig(window_size=SIZE, window_min_samples=30)
+# The cap is that of the SQL below; WHOLE keeps every reference row.
+CONFIG = DriftConfig(window_size=SIZE, window_min_samples=30, baseline_cap=5000)
+WHOLE = DriftConfig(window_size=SIZE, window_min_samples=30)
 NUMERIC = ["value", "k", "hour", "load", "score"]
 FEATURES = [*NUMERIC, "weekday"]
 # Declared by the model's owner, as a graph file would.
@@ -87,16 +89,16 @@ def _once(spark: SparkSession, sf: str, name: str, make):
     return _STORED[key]
 
 
-def baseline(spark: SparkSession, sf: str) -> P.Baseline:
+def baseline(spark: SparkSession, sf: str, config: DriftConfig = CONFIG) -> P.Baseline:
     def make():
         ref = reference(spark, sf)
         outputs = ref.select(
             "model_id", "prediction", F.lit(None).cast("double").alias("output")
         )
         classes = P.output_baseline(outputs)
-        return P.build_baseline(ref, FEATURES, F.col("event_id"), CONFIG, classes)
+        return P.build_baseline(ref, FEATURES, F.col("event_id"), config, classes)
 
-    return _once(spark, sf, "baseline", make)
+    return _once(spark, sf, f"baseline-{config.baseline_cap}", make)
 
 
 def windowed(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,12 +120,14 @@ def window_categories(events: DataFrame) -> DataFrame:
     return P.collect_batch_categories(events, ids, ["weekday"]).unionByName(outputs)
 
 
-def run_detection(spark: SparkSession, sf: str, p_method: str = "asymptotic") -> DataFrame:
+def run_detection(
+    spark: SparkSession, sf: str, p_method: str = "asymptotic", config: DriftConfig = CONFIG
+) -> DataFrame:
     events = windowed(spark, sf)
     windows = events.select("model_id", "window_id").distinct()
     return detect_drift(
-        window_numbers(events), window_categories(events), windows, baseline(spark, sf), CONFIG,
-        p_method=p_method,
+        window_numbers(events), window_categories(events), windows,
+        baseline(spark, sf, config), config, p_method=p_method,
     )
 
 
@@ -450,5 +454,15 @@ att AS ({" UNION ALL ".join(
     for f, c in COEFFICIENTS.items())})"""
 
 
+_CAPPED = " WHERE rn <= 5000"
+
+
+def whole(sql: str) -> str:
+    """The same SQL over all reference rows."""
+    if _CAPPED not in sql:
+        raise ValueError("the SQL has no cap")
+    return sql.replace(_CAPPED, "")
+
+
 def with_(*blocks: str) -> str:
     return "WITH RECURSIVE " + ", ".join(blocks) + " "

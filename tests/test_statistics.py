@@ -183,3 +183,23 @@ def test_too_few_reference_rows(spark):
 def test_unsupported_column_type(spark):
     with pytest.raises(TypeError, match="must be a number"):
         P.column_kinds(spark.sql("SELECT array(1) AS a"))
+
+
+def test_all_reference_rows_count(spark, rng, monkeypatch):
+    # More values than the former cap, with ties, over many stretches of the running sum.
+    monkeypatch.setattr(D, "STRETCH", 700)
+    b, c = np.round(rng.normal(0, 1, 12_000), 3), np.round(rng.normal(0.1, 1, 4_000), 3)
+    base = frame(spark, x=b)
+    made = P.build_baseline(base, ["x"], F.col("row"))
+    node = made.nodes.first()
+    assert (node.n, node.baseline_n) == (12_000, 12_000)
+    want = np.unique(np.quantile(b, [i * 0.1 for i in range(10)] + [1.0]))
+    assert np.allclose(node.edges[1:-1], want[1:-1], rtol=0, atol=1e-12)
+    found = D.drift_from_frame(frame(spark, x=c), ["x"], made, p_method="asymptotic").first()
+    at = np.concatenate([b, c])
+    cdf = lambda s: np.searchsorted(np.sort(s), at, side="right") / len(s)
+    assert found.statistic == pytest.approx(np.abs(cdf(c) - cdf(b)).max(), abs=1e-12)
+    edges = np.array(node.edges)
+    share = lambda s: np.maximum(np.histogram(s, edges)[0] / len(s), 1e-6)
+    psi = ((share(c) - share(b)) * np.log(share(c) / share(b))).sum()
+    assert found.psi == pytest.approx(psi, abs=1e-9)

@@ -59,19 +59,23 @@ class LineRuns:
         return self.spark.read.schema("_key binary").parquet(path)
 
     def unseen(self, keys: DataFrame) -> DataFrame:
-        """Rows of ``keys`` (column ``_key``) that no run holds."""
+        """Rows of ``keys`` (column ``_key``) that no run holds; full levels are merged first."""
+        self._compact()
         for level in self.levels:
             for path in level:
                 keys = keys.join(self.read(path).hint("merge"), "_key", "left_anti")
         return keys
 
     def add(self, keys: DataFrame) -> None:
-        """Add new keys as a run, and merge full levels upwards."""
+        """Add new keys as a run."""
         if not self.levels:
             self.levels.append([])
         self.levels[0].append(self._write(keys.select("_key")))
+
+    def _compact(self) -> None:
+        """Merge full levels upwards. Done before runs are read, so no merged run is left unread."""
         level = 0
-        while len(self.levels[level]) >= self.fanout:
+        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             merged = self.read(self.levels[level][0])
             for path in self.levels[level][1:]:
                 merged = merged.unionByName(self.read(path))
@@ -97,7 +101,7 @@ def losing_keys(lines: DataFrame, runs: LineRuns) -> DataFrame:
     return lines.join(stored(shared, "line-shared"), "_key").where("_holder IS NULL OR _holder <> _doc").select("_key", "_doc")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, least: int = 10, batches: int = 4, fanout: int = 4, runs: LineRuns | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", *, least: int = 10, batches: int = 4, fanout: int = 2, runs: LineRuns | None = None) -> DataFrame:
     """``docs``' key with ``n_lines, n_dropped`` and the text that stays (``kept``)."""
     spark = docs.sparkSession
     runs = runs or LineRuns(spark, fanout)

@@ -192,3 +192,19 @@ def test_pipeline_keeps_columns(spark, odd):
         docs = stage(spark, docs, SF)
         assert docs.columns == odd.columns
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_line_runs_are_read_after_compaction(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(line_dedup.LineRuns, "unseen", lambda self, keys, plain=line_dedup.LineRuns.unseen: (plain(self, keys), read.append([len(x) for x in self.levels]))[0])
+    docs = table(spark, SF, "documents")
+    want = line_dedup.dedup_lines(docs, batches=1)
+    read.clear()
+    runs = line_dedup.LineRuns(spark, fanout=2)
+    found = line_dedup.dedup_lines(docs, batches=8, runs=runs)
+    assert want.exceptAll(found).isEmpty() and found.exceptAll(want).isEmpty()
+    assert read == [[], [1], [0, 1], [1, 1], [0, 0, 1], [1, 0, 1], [0, 1, 1], [1, 1, 1]]
+    assert [len(x) for x in runs.levels] == [2, 1, 1]
+    read.clear()
+    line_dedup.dedup_lines(docs)  # as registered
+    assert any(any(levels[1:]) for levels in read)

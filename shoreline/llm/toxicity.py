@@ -31,7 +31,6 @@ from shoreline.llm.text import slices, words
 BUCKETS = 1 << 20
 SELECTED = 4096
 MOST = 20_000
-TYPICAL = 3.5  # standard deviations above the expected number of positives
 _GAP = np.ones(256, dtype=bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -172,7 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
     expected = n[:-1] / documents * positives
     typical = (p[:-1] - expected) / np.sqrt(expected + 1)
     best = np.argsort(-typical, kind="stable")[:selected]
-    buckets = np.sort(best[typical[best] > TYPICAL])
+    # By rank: a fixed threshold would learn nothing from a small table. Weak ones weigh little by ``scale``.
+    buckets = np.sort(best[typical[best] > 0])
     unlabelled, positive = _sample(train, buckets, (min(1.0, most / documents), min(1.0, most / positives)))
     scale = typical[buckets] / (typical[buckets] + 10)
     weights, bias = nn_pu(unlabelled, positive, scale, known["p"] / known["n"])

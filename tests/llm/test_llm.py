@@ -208,3 +208,12 @@ def test_line_runs_are_read_after_compaction(spark, monkeypatch):
     read.clear()
     line_dedup.dedup_lines(docs)  # as registered
     assert any(any(levels[1:]) for levels in read)
+
+
+def test_toxic_words_are_learned_from_a_small_table(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = toxicity.fit(docs.where(~toxicity.held_out()), labels)
+    rows = toxicity.score(docs, model).join(labels, "doc_id").where("toxic IS NOT NULL").select("toxic", "score").collect()
+    toxic, other = (np.array([r["score"] for r in rows if r["toxic"] == k]) for k in (1, 0))
+    above = (toxic[:, None] > other).mean() + (toxic[:, None] == other).mean() / 2
+    assert above >= 0.85

@@ -25,7 +25,10 @@ RULES = (
     ("net", "/fr/", "block"),
 )
 STRICT = ("casino", "porn", "xxx", "escort", "spam-farm", "adult-x", "viagra", "warez")
-SOFT = ("adult", "bet", "bonus", "cheap", "farm", "free", "loan", "pills", "poker", "sex", "spam", "torrent", "win")
+SOFT = (
+    "ad", "ads", "adult", "bet", "bets", "bonus", "casinos", "cheap", "farm", "free", "loan", "loans", "pills", "poker",
+    "sex", "spam", "torrent", "torrents", "track", "tracker", "tracking", "win",
+)
 
 _PARTS = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

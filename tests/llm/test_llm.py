@@ -217,3 +217,11 @@ def test_toxic_words_are_learned_from_a_small_table(spark):
     toxic, other = (np.array([r["score"] for r in rows if r["toxic"] == k]) for k in (1, 0))
     above = (toxic[:, None] > other).mean() + (toxic[:, None] == other).mean() / 2
     assert above >= 0.85
+
+
+def test_spam_hosts_without_a_rule(spark):
+    hosts = ["free-bets.org", "ads-track.net", "cheap-pills.org", "track.org", "reads-tracks.org"]
+    pages = spark.createDataFrame([(i, f"http://{h}/en/") for i, h in enumerate(hosts)], "page_id int, url string")
+    found = url_filter.filter_urls(pages).orderBy("page_id").collect()
+    assert [r["rule"] for r in found] == [None] * 5
+    assert [r["verdict"] for r in found] == ["block", "block", "block", "allow", "allow"]

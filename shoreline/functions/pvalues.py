@@ -99,19 +99,23 @@ def ks_pvalue_exact(n1: pd.Series, n2: pd.Series, d: pd.Series) -> pd.Series:
 def with_ks_pvalue(
     results: DataFrame, n1: str, n2: str, d: str, method: str = "auto", name: str = "p_value"
 ) -> DataFrame:
-    """Adds the p-value: ``auto`` is exact up to 10,000 samples a side, the corrected limit
-    beyond; ``asymptotic`` is the plain limit.
+    """Adds the p-value: ``exact`` at any size, ``limit`` the corrected limit, ``asymptotic`` the
+    plain limit; ``auto`` is exact up to 10,000 samples a side and the corrected limit beyond.
 
     The exact form is heavy per distinct (n1, n2, d) and the input is small, so rows are spread
     over all tasks by that triple (a triple that repeats a lot over a few of them).
     """
     if method == "asymptotic":
         return results.withColumn(name, ks_pvalue_asymptotic(n1, n2, d))
-    if method != "auto":
+    if method == "limit":
+        return results.withColumn(name, ks_pvalue_large(n1, n2, d))
+    if method not in ("auto", "exact"):
         raise ValueError(f"unknown p-value method: {method}")
     tasks = int(results.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = F.pmod(F.xxhash64(*results.columns), F.lit(_SPREAD))
     placed = results.repartition(tasks, F.col(n1), F.col(n2), F.col(d), spread)
+    if method == "exact":
+        return placed.withColumn(name, ks_pvalue_exact(n1, n2, F.col(d)))
     small = F.greatest(F.col(n1), F.col(n2)) <= EXACT_KS_LIMIT
     # The UDF sees null where the limit is used: a conditional does not stop it being called.
     exact = ks_pvalue_exact(n1, n2, F.when(small, F.col(d)))

@@ -39,8 +39,6 @@ from shoreline.plans.sizing import broadcast_if_small, has_at_most
 
 NODE = ("model_id", "node")
 WINDOW_NODE = ("model_id", "window_id", "node")
-# Baseline values (8 bytes each) sent to every executor; beyond this the ranks are joined.
-BROADCAST_VALUES = 8_000_000
 # Baseline values per stretch of a running sum over cells.
 STRETCH = 100_000
 
@@ -53,7 +51,7 @@ def _share_term(current: Column, base: Column) -> Column:
 
 
 def _cells_by_broadcast(values: DataFrame, nodes: DataFrame, baseline: DataFrame) -> DataFrame:
-    # At most BROADCAST_VALUES numbers: counted by the caller.
+    # At most as many numbers as the caller allowed.
     rows = baseline.select(*NODE, "value").toArrow().to_pandas()
     samples = {key: np.sort(part.to_numpy()) for key, part in rows.groupby(list(NODE))["value"]}
     inner = {
@@ -89,7 +87,7 @@ def _cells_by_broadcast(values: DataFrame, nodes: DataFrame, baseline: DataFrame
 
 
 def _cells_by_join(values: DataFrame, nodes: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Same cells for baselines too large to broadcast: ranks from a distributed running sum."""
+    """Cells by joins on ranks from a distributed running sum: the baseline stays on Spark."""
     points = values.groupBy(*WINDOW_NODE, "value").agg(F.count("*").alias("n"))
     marks = (
         values.select(*NODE, "value", F.lit(0).alias("b"))
@@ -110,13 +108,14 @@ def _cells_by_join(values: DataFrame, nodes: DataFrame, baseline: DataFrame) ->
 
 
 def baseline_cells(
-    values: DataFrame, baseline: Baseline, limit: int = BROADCAST_VALUES
+    values: DataFrame, baseline: Baseline, limit: int = 0
 ) -> DataFrame:
     """Counts per (model, window, node, lt, le, bin).
 
-    ``values`` has model_id, window_id, node, value.
+    ``values`` has model_id, window_id, node, value. A baseline of at most ``limit`` values goes
+    through the driver to every executor; by default none does.
     """
-    if has_at_most(baseline.values, limit):
+    if limit and has_at_most(baseline.values, limit):
         return _cells_by_broadcast(values, baseline.nodes, baseline.values)
     return _cells_by_join(values, baseline.nodes, baseline.values)
 

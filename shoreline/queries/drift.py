@@ -59,7 +59,7 @@ def ks_statistic_whole(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def ks_pvalue(spark: SparkSession, sf: str) -> DataFrame:
     """Exact p-values; checked against enumeration in the tests."""
-    return with_ks_pvalue(_statistic(spark, sf), "current_n", "baseline_n", "statistic")
+    return with_ks_pvalue(_statistic(spark, sf), "current_n", "baseline_n", "statistic", "exact")
 
 
 @query(I.with_(I.KS) + f"SELECT model_id, window_id, node, round({I.ASYMPTOTIC}, 6) AS p_value FROM ks")
@@ -71,7 +71,7 @@ def ks_pvalue_asymptotic(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ks_test(spark: SparkSession, sf: str) -> DataFrame:
-    return D.ks_test(_statistic(spark, sf), I.WHOLE)
+    return D.ks_test(_statistic(spark, sf), I.WHOLE, "exact")
 
 
 @query(I.with_(I.PSI_BINS) + f"""SELECT model_id, window_id, node, CAST(bin AS BIGINT) AS bin,
@@ -169,8 +169,8 @@ def detect_drift_whole(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def detect_drift_exact(spark: SparkSession, sf: str) -> DataFrame:
-    """The same with exact p-values, the default of the library."""
-    return I.run_detection(spark, sf, "auto", I.WHOLE)
+    """The same with exact p-values at any size."""
+    return I.run_detection(spark, sf, "exact", I.WHOLE)
 
 
 _LI = ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag"]

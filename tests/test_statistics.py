@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from shoreline.config import DriftConfig
-from shoreline.functions.pvalues import exceedance
+from shoreline.functions.pvalues import exceedance, with_ks_pvalue
 from shoreline.functions.verdicts import combine_verdict
 from shoreline.operators import drift as D
 from shoreline.operators import profile as P
@@ -203,3 +203,23 @@ def test_all_reference_rows_count(spark, rng, monkeypatch):
     share = lambda s: np.maximum(np.histogram(s, edges)[0] / len(s), 1e-6)
     psi = ((share(c) - share(b)) * np.log(share(c) / share(b))).sum()
     assert found.psi == pytest.approx(psi, abs=1e-9)
+
+
+def test_named_p_values_do_not_switch_by_size(spark):
+    sizes = spark.createDataFrame([(40, 12_000, 0.2), (40, 900, 0.2)], "n1 bigint, n2 bigint, d double")
+    exact, limit = (
+        {r.n2: r.p_value for r in with_ks_pvalue(sizes, "n1", "n2", "d", m).collect()} for m in ("exact", "limit")
+    )
+    for n in (12_000, 900):
+        assert exact[n] == pytest.approx(exceedance(40, n, np.array([round(0.2 * math.lcm(40, n))]))[0], rel=1e-12)
+        assert limit[n] != exact[n]
+
+
+def test_baseline_stays_on_spark(spark, rng, monkeypatch):
+    base = frame(spark, x=np.round(rng.normal(0, 1, 900), 1))
+    made = P.build_baseline(base, ["x"], F.col("row"))
+    values = P.collect_batch_features(base.withColumn("window_id", F.lit(0)), ["model_id", "window_id"], ["x"])
+    shared = D.baseline_cells(values, made, limit=10_000)
+    monkeypatch.setattr(D, "_cells_by_broadcast", None)
+    joined = D.baseline_cells(values, made)
+    assert shared.exceptAll(joined).isEmpty() and joined.exceptAll(shared).isEmpty()

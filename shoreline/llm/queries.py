@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.llm import decontamination, embedding_dedup, katz, language_id, line_dedup, minhash, mixing, token_records, toxicity, url_filter
+from shoreline.llm import decontamination, embedding_dedup, katz, language_id, line_dedup, minhash, mixing, packing, token_records, toxicity, url_filter
 from shoreline.llm.tables import fold, table
 from shoreline.plans.materialize import shared_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +85,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), BYTE_TOKENIZER))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 REGISTERED = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_token_records": (op2_token_records, None),
@@ -95,4 +101,5 @@ REGISTERED = {
     "op8_minhash": (op8_minhash, None),
     "op9_embedding_dedup": (op9_embedding_dedup, embedding_dedup.ORACLE),
     "op10_language_id": (op10_language_id, None),
+    "op12_packing": (op12_packing, None),
 }

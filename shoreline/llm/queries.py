@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.llm import decontamination, embedding_dedup, katz, language_id, line_dedup, minhash, mixing, packing, token_records, toxicity, url_filter
+from shoreline.llm import decontamination, divergence, embedding_dedup, katz, language_id, line_dedup, minhash, mixing, packing, token_records, toxicity, url_filter
 from shoreline.llm.tables import fold, table
 from shoreline.plans.materialize import shared_dir
 
@@ -90,6 +90,10 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 REGISTERED = {
     "op1_toxicity": (op1_toxicity, None),
     "op2_token_records": (op2_token_records, None),
@@ -102,4 +106,5 @@ REGISTERED = {
     "op9_embedding_dedup": (op9_embedding_dedup, embedding_dedup.ORACLE),
     "op10_language_id": (op10_language_id, None),
     "op12_packing": (op12_packing, None),
+    "op13_divergence": (op13_divergence, divergence.ORACLE),
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.llm import decontamination, divergence, embedding_dedup, katz, language_id, line_dedup, minhash, mixing, packing, token_records, toxicity, url_filter
+from shoreline.llm import decontamination, divergence, embedding_dedup, katz, language_id, line_dedup, minhash, mixing, packing, spelling, token_records, toxicity, url_filter
 from shoreline.llm.tables import fold, table
 from shoreline.plans.materialize import shared_dir
 
@@ -85,6 +85,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.spelling_variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(packing.token_pieces(table(spark, sf_dir, "documents"), BYTE_TOKENIZER))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -105,6 +110,7 @@ REGISTERED = {
     "op8_minhash": (op8_minhash, None),
     "op9_embedding_dedup": (op9_embedding_dedup, embedding_dedup.ORACLE),
     "op10_language_id": (op10_language_id, None),
+    "op11_spelling": (op11_spelling, spelling.ORACLE),
     "op12_packing": (op12_packing, None),
     "op13_divergence": (op13_divergence, divergence.ORACLE),
 }

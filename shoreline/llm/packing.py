@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -50,6 +51,21 @@ _PLAIN = re.compile(r"[\t-\r -;=-~À-ÖØ-öø-ÿ]*")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\t-\r A-Za-zÀ-ÖØ-öø-ÿ0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 
+class _Known(dict):
+    """Ids by piece. What is missing is taken from the former generation or encoded."""
+
+    def __init__(self, encode, former: dict[str, bytes]):
+        super().__init__()
+        self.encode, self.former = encode, former
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.former.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
     """Encodes texts with a byte-level BPE tokenizer file, each different piece once while it is cached.
 
@@ -61,22 +77,19 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = Tokenizer(self.tokenizer.model)
-        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        plain = [p for p in new if _PLAIN.fullmatch(p)]
-        if plain:
-            found = self.model.encode(plain, is_pretokenized=True, add_special_tokens=False)
-            ids, width = np.array(found.ids, self.kind).tobytes(), self.kind.itemsize
-            ends = (np.searchsorted(found.word_ids, np.arange(len(plain) + 1)) * width).tolist()
-            self.known.update(zip(plain, (ids[a:b] for a, b in zip(ends, ends[1:]))))
-        for chunk in new:
-            if chunk not in self.known:
-                self.known[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
+        self.model = self.tokenizer.model
+        self.code, self.width = ("H", 2) if self.tokenizer.get_vocab_size() <= 1 << 16 else ("I", 4)
+        signs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        plain = filter(_PLAIN.fullmatch, map(chr, range(256)))
+        self.signs = {ord(c): signs.pre_tokenize_str(c)[0][0] for c in plain}
+        self.known = _Known(self._encode_piece, {})
+
+    def _encode_piece(self, piece: str) -> bytes:
+        if _PLAIN.fullmatch(piece):
+            ids = [token.id for token in self.model.tokenize(piece.translate(self.signs))]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text``, little-endian."""
@@ -88,13 +101,7 @@ class Encoder:
         else:
             pieces = [p for c in _CHUNK.findall(text) for p in (_PIECE.findall(c) if _PLAIN.fullmatch(c) else (c,))]
         if len(self.known) > CACHED:
-            self.known, self.older = {}, self.known
-        missing = [p for p in set(pieces) if p not in self.known]
-        if missing:
-            self.known.update((p, self.older[p]) for p in missing if p in self.older)
-            new = [p for p in missing if p not in self.known]
-            if new:
-                self._learn(new)
+            self.known = _Known(self._encode_piece, dict(self.known))
         return b"".join(map(self.known.__getitem__, pieces))
 
 
@@ -128,7 +135,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
-        width, end = encoder.kind.itemsize, np.array([end_id], encoder.kind).tobytes()
+        width, kind_of_id = encoder.width, f"<u{encoder.width}"
+        end = struct.pack(f"<{encoder.code}", end_id)
         task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
         names = [key, "piece", "start", "length", "ids_crc32", "ids", "_task", "_nth"]
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
@@ -147,7 +155,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text:
                     start, stop = 0, n % size or size
                     for piece in range(-(-n // size)):
                         part = ids[start * width : stop * width]
-                        crc = zlib.crc32(np.frombuffer(part, encoder.kind).astype("<u4").tobytes())
+                        crc = zlib.crc32(np.frombuffer(part, kind_of_id).astype("<u4").tobytes())
                         rows.append((i, piece, start, stop - start, crc, part, task, int(seen[stop - start])))
                         seen[stop - start] += 1
                         start, stop = stop, stop + size

@@ -6,13 +6,15 @@ p the prior, the risk is ``p E_pos l(g) + max(0, E_unl l(-g) - p E_pos l(-g))``;
 turns negative, the step goes the other way, so a flexible classifier can't overfit the positives.
 
 Features are words and word starts (4 and 5 bytes), present or not, hashed into ``BUCKETS``. How many
-positive and unlabelled documents hold each bucket is counted over all training documents; the
-``SELECTED`` buckets most typical of the positives are the inputs of the classifier, which is fitted on a
+positive and unlabelled documents hold each bucket is counted over all training documents (positives: all, or
+about ``CONFIRMED`` drawn by hash where there are more); the ``SELECTED`` buckets most typical of the positives are the inputs of the classifier, which is fitted on a
 bounded sample (``most`` documents of either kind in expectation). The class prior is the share of
 toxic among labelled training documents.
 
 Null and empty texts hold no feature and get the score of the bias. Without positives every score is
-0. Null ids are never learned from and count as held out. Repeated rows are scored one by one.
+0. Null ids are never learned from and count as held out. Repeated rows are scored one by one; a label counts for
+all rows of its id, toxic if one of an id's labels is. Of equally typical buckets the lower number is taken. Other columns
+are ignored, so their names can't clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,15 +24,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoreline.llm.tables import fold
 from shoreline.llm.text import slices, words
+from shoreline.plans.materialize import stored
 
 BUCKETS = 1 << 20
 SELECTED = 4096
 MOST = 20_000
+CONFIRMED = 200_000
 _GAP = np.ones(256, dtype=bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -64,6 +68,11 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
+def _draw(salt: str) -> Column:
+    """A number in [0, 1) by the id."""
+    return F.pmod(F.xxhash64("_id", F.lit(salt)), F.lit(1 << 30)) / float(1 << 30)
+
+
 def _bucket_counts(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Documents by bucket, unlabelled (all) and positive; the last entry is their number."""
 
@@ -91,7 +100,7 @@ def _bucket_counts(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _sample(train: DataFrame, buckets: np.ndarray, shares: tuple[float, float]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Selected features of sampled documents: unlabelled ones and positives."""
-    draw = F.pmod(F.xxhash64("_id", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    draw = _draw("sample")
     drawn = train.select(
         "_text", (F.col("_positive") & (draw < shares[1])).alias("_positive"), (draw < shares[0]).alias("_u")
     ).where("_u OR _positive")
@@ -159,14 +168,26 @@ def nn_pu(unlabelled: list[np.ndarray], positive: list[np.ndarray], scale: np.nd
     return w[:size] * scale, float(w[size])
 
 
-def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "toxic", *, selected: int = SELECTED, most: int = MOST) -> ToxicityModel:
-    """Learn from all rows of ``docs``; rows of ``labels`` with ``label`` = 1 confirm positives."""
-    marks = labels.select(labels[ident].alias("_id"), labels[label].alias("_mark")).dropna().groupBy("_id").agg(F.max("_mark").alias("_mark"))
-    train = docs.select(docs[ident].alias("_id"), docs[text].alias("_text")).where("_id IS NOT NULL").join(marks, "_id", "left").withColumn("_positive", F.coalesce(F.col("_mark") == 1, F.lit(False)))
-    known = train.agg(F.count("_mark").alias("n"), F.count(F.when(F.col("_positive"), 1)).alias("p")).first()
+def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "toxic", *, selected: int = SELECTED, most: int = MOST, confirmed: int = CONFIRMED) -> ToxicityModel:
+    """Learn from all rows of ``docs``; rows of ``labels`` with ``label`` = 1 confirm positives.
+
+    Only ids are joined by a shuffle. Texts meet the ids of at most about ``confirmed`` positives, drawn by
+    their hash, which are broadcast.
+    """
+    marks = stored(labels.select(labels[ident].alias("_id"), (labels[label] == 1).alias("_mark")).dropna().groupBy("_id").agg(F.max("_mark").alias("_mark")), "marks")
+    texts = docs.select(docs[ident].alias("_id"), docs[text].alias("_text")).where("_id IS NOT NULL")
+    known = texts.select("_id").join(marks, "_id").agg(F.count("*").alias("n"), F.count_if("_mark").alias("p")).first()
+    if not known["p"]:
+        return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), -500.0)
+    ids = marks.where("_mark").select("_id")
+    share = confirmed / max(ids.count(), 1)
+    if share < 1:
+        ids = ids.where(_draw("confirmed") < share)
+    positive = stored(ids, "confirmed").withColumn("_positive", F.lit(True))
+    train = texts.join(F.broadcast(positive), "_id", "left").withColumn("_positive", F.coalesce("_positive", F.lit(False)))
     n, p = _bucket_counts(train)
     documents, positives = n[-1], p[-1]
-    if not positives or not known["n"]:
+    if not positives:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), -500.0)
     expected = n[:-1] / documents * positives
     typical = (p[:-1] - expected) / np.sqrt(expected + 1)

@@ -225,3 +225,20 @@ def test_spam_hosts_without_a_rule(spark):
     found = url_filter.filter_urls(pages).orderBy("page_id").collect()
     assert [r["rule"] for r in found] == [None] * 5
     assert [r["verdict"] for r in found] == ["block", "block", "block", "allow", "allow"]
+
+
+def test_toxicity_on_held_out_documents(spark):
+    """Recall and false positives on the rows that no label was learned from."""
+    sf = "/root/testdata/sf0.1"
+    scored = REGISTERED["op1_toxicity"][0](spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out AND toxic IS NOT NULL")
+    n = {(r["toxic"], r["predicted"]): r["count"] for r in scored.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.8 * (n[1, 1] + n.get((1, 0), 0))
+    assert n.get((0, 1), 0) <= 0.02 * (n[0, 0] + n.get((0, 1), 0))
+
+
+def test_few_confirmed_documents_are_enough(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    model = toxicity.fit(docs.where(~toxicity.held_out()), labels, confirmed=30)
+    mean = toxicity.score(docs, model).join(labels, "doc_id").groupBy("toxic").agg(F.avg("score").alias("s"))
+    by = {r["toxic"]: r["s"] for r in mean.collect()}
+    assert by[1] > by[0]

@@ -36,7 +36,7 @@ from shoreline.llm.tables import ascii_lower
 from shoreline.llm.text import mix
 from shoreline.plans.materialize import stored
 
-RUN = "[A-Za-zÀ-ÿ]+"
+BETWEEN = "[^A-Za-z\u00C0-\u00FF]+"  # runs are made of all other signs
 SLIP = 97
 SHORTEST, LEAST = 5, 3
 QMIN, QMAX = 2, 5
@@ -56,7 +56,8 @@ def slipped(ident: Column, run: Column, every: int = SLIP) -> Column:
 
 def counted_words(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shortest: int = SHORTEST, least: int = LEAST, every: int = SLIP) -> DataFrame:
     """``word, n`` of all words of ``shortest`` code points and ``least`` occurrences."""
-    runs = docs.select(docs[key].alias("_id"), F.explode(F.regexp_extract_all(ascii_lower(docs[text]), F.lit(RUN), F.lit(0))).alias("_run"))
+    # Split, as extracting copies the text for every match.
+    runs = docs.select(docs[key].alias("_id"), F.explode(F.split(ascii_lower(docs[text]), BETWEEN)).alias("_run"))
     words = runs.where(F.length("_run") >= shortest).select(slipped(F.col("_id"), F.col("_run"), every).alias("word")).where(F.length("word") >= shortest)
     return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 

@@ -22,7 +22,6 @@ SCHEMA_VERSION = "1.0"
 DEFAULT_SOURCE = "api"
 PII_DENY_LIST = ("name", "email", "phone", "ssn", "address", "customer_id", "account_number")
 PSI_EPSILON = 1e-6
-EXACT_KS_LIMIT = 10_000  # larger of the two sample sizes up to which the exact p-value is used
 
 
 @dataclass(frozen=True)

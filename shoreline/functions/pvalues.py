@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from shoreline.config import EXACT_KS_LIMIT
+from shoreline.plans.materialize import stored
+from shoreline.plans.sizing import broadcast_if_small
 
 _SERIES = (
     "aggregate(sequence(1, 100), 0D, "
@@ -38,85 +39,107 @@ def ks_pvalue_large(n1: str, n2: str, d: str) -> Column:
     return _limit_series(f"{z} + 1D / (6D * sqrt({n})) + ({z} - 1D) / (4D * {n})")
 
 
+# Factorials below this are summed up, others come from Stirling's series, whose error is then below 1e-19.
+_SUMMED = 256
+_SMALL = np.concatenate([[0], np.cumsum(np.log(np.arange(1, _SUMMED, dtype=np.longdouble)))])
+_ROWS = 64  # exit points whose transitions are held at once
+
+
+def _log_factorial(k: np.ndarray) -> np.ndarray:
+    """log k! in extended precision: the logarithms of large factorials cancel each other."""
+    x = np.maximum(k, _SUMMED).astype(np.longdouble)
+    inverse = 1 / x
+    square = inverse * inverse
+    series = inverse * (np.longdouble(1) / 12 - square * (np.longdouble(1) / 360 - square * (np.longdouble(1) / 1260 - square / 1680)))
+    large = (x + np.longdouble(0.5)) * np.log(x) - x + np.log(2 * np.longdouble(np.pi)) / 2 + series
+    # pi itself is known to 53 bits only; what is missing:
+    large = large + np.longdouble(1.2246467991473532e-16) / (2 * np.longdouble(np.pi))
+    return np.where(k < _SUMMED, _SMALL[np.minimum(k, _SUMMED - 1)], large)
+
+
+def _exits(m: int, n: int, h: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lattice points, in order, one of which every path that leaves the band visits, and no other path.
+
+    ``a[i] <= j <= b[i]`` are the places in the larger sample where the i-th value of the smaller one
+    may lie. A path that has the i-th value beyond ``b[i]`` for the first time visits (i - 1, b[i] + 1);
+    one that has it before ``a[i]`` for the last time in a row visits (i, a[i] - 1).
+    """
+    g = math.gcd(m, n)
+    up, right = n // g, m // g
+    i = np.arange(1, m + 1, dtype=np.int64)
+    above = ((i - 1) * up + h - 1) // right + 1
+    below = (i * up - h) // right
+    x = np.concatenate([(i - 1)[above <= n], i[below >= 0]])
+    y = np.concatenate([above[above <= n], below[below >= 0]])
+    order = np.lexsort((y, x))
+    return x[order], y[order]
+
+
 def exceedance(m: int, n: int, steps: np.ndarray) -> np.ndarray:
     """P(D >= h / lcm) for each lattice step ``h``, for sample sizes ``m`` and ``n``.
 
-    A random ordering of the pooled samples is a lattice path to (m, n). ``p[i]`` is the
-    probability that the path has left the band by the time it reaches (i, k - i). Only
-    positive terms are added, so very small p-values keep their relative precision.
+    A random ordering of the pooled samples is a lattice path to (m, n). A path that leaves the
+    band visits one of 2 min(m, n) points at least; the probability that a point is the first one
+    follows from those of the points before it, with hypergeometric transitions. The work
+    depends on the smaller sample alone, and the sum of first visits keeps its relative
+    precision however small it is.
     """
     if m > n:
         m, n = n, m
-    g = math.gcd(m, n)
-    i = np.arange(m + 1, dtype=np.int64)
-    h = steps.astype(np.int64)[:, None]
-    p = np.where(h <= 0, 1.0, np.zeros((len(steps), m + 1)))
-    for k in range(1, m + n + 1):
-        lo, hi = max(0, k - n), min(m, k)
-        ii = i[lo : hi + 1]
-        stay = p[:, lo : hi + 1] * ((k - ii) / k)
-        left = np.zeros_like(stay)
-        start = max(lo, 1)
-        left[:, start - lo :] = p[:, start - 1 : hi] * (i[start : hi + 1] / k)
-        outside = np.abs(ii * (n // g) - (k - ii) * (m // g)) >= h
-        p[:, lo : hi + 1] = np.where(outside, 1.0, stay + left)
-    return p[:, m]
-
-
-_SPREAD = 4
-_KNOWN: dict[tuple[int, int, int], float] = {}  # per Python worker; keys repeat across windows
-_BATCH_CELLS = 400_000  # numbers held at once while solving one pair of sample sizes
+    return np.array([_first_visits(m, n, int(h)) for h in steps])
+
+
+def _first_visits(m: int, n: int, h: int) -> float:
+    if h <= 0:
+        return 1.0
+    x, y = _exits(m, n, h)
+    if not len(x):
+        return 0.0
+    ahead = _log_factorial(m - x + n - y) - _log_factorial(m - x) - _log_factorial(n - y)
+    every = _log_factorial(np.array([m + n])) - _log_factorial(np.array([m])) - _log_factorial(np.array([n]))
+    first = np.exp(_log_factorial(x + y) - _log_factorial(x) - _log_factorial(y) + ahead - every)
+    for low in range(0, len(x), _ROWS):
+        high = min(low + _ROWS, len(x))
+        dx, dy = x[low:high, None] - x[None, :high], y[low:high, None] - y[None, :high]
+        before = (dy >= 0) & (np.arange(low, high)[:, None] > np.arange(high)[None, :])
+        dx, dy = np.where(before, dx, 0), np.where(before, dy, 0)
+        logs = _log_factorial(dx + dy) - _log_factorial(dx) - _log_factorial(dy) + ahead[low:high, None] - ahead[None, :high]
+        onward = np.where(before, np.exp(np.where(before, logs, 0)), 0)
+        for k in range(low, high):
+            first[k] = max(first[k] - onward[k - low, :k] @ first[:k], 0)
+    return float(min(first.sum(), 1))
 
 
 @F.pandas_udf(DoubleType())
 def ks_pvalue_exact(n1: pd.Series, n2: pd.Series, d: pd.Series) -> pd.Series:
-    """Exact two-sided p-value; each distinct (n1, n2, lattice step) is solved once."""
-    keys = []
-    wanted: dict[tuple[int, int], set[int]] = {}
+    """Exact two-sided p-value; meant for distinct triples."""
+    found = []
     for a, b, stat in zip(n1, n2, d):
-        if pd.isna(stat) or pd.isna(a) or pd.isna(b):
-            keys.append(None)
-            continue
         a, b = sorted((int(a), int(b)))
-        step = int(round(float(stat) * (a * b // math.gcd(a, b))))
-        keys.append((a, b, step))
-        if (a, b, step) not in _KNOWN:
-            wanted.setdefault((a, b), set()).add(step)
-    if len(_KNOWN) > 1_000_000:
-        needed = {k: _KNOWN[k] for k in keys if k in _KNOWN}
-        _KNOWN.clear()
-        _KNOWN.update(needed)
-    for (a, b), steps in wanted.items():
-        ordered = np.array(sorted(steps), dtype=np.int64)
-        batch = max(1, min(512, _BATCH_CELLS // (a + 1)))
-        for at in range(0, len(ordered), batch):
-            part = ordered[at : at + batch]
-            for step, p in zip(part, exceedance(a, b, part)):
-                _KNOWN[(a, b, int(step))] = float(min(1.0, p))
-    return pd.Series([None if k is None else _KNOWN[k] for k in keys], dtype="float64")
+        step = round(float(stat) * (a * b // math.gcd(a, b)))
+        found.append(exceedance(a, b, np.array([step]))[0])
+    return pd.Series(found, dtype="float64")
 
 
 def with_ks_pvalue(
-    results: DataFrame, n1: str, n2: str, d: str, method: str = "auto", name: str = "p_value"
+    results: DataFrame, n1: str, n2: str, d: str, method: str, name: str = "p_value"
 ) -> DataFrame:
-    """Adds the p-value: ``exact`` at any size, ``limit`` the corrected limit, ``asymptotic`` the
-    plain limit; ``auto`` is exact up to 10,000 samples a side and the corrected limit beyond.
+    """Adds the p-value: ``exact``, ``limit`` (the corrected limit) or ``asymptotic`` (the plain limit).
 
-    The exact form is heavy per distinct (n1, n2, d) and the input is small, so rows are spread
-    over all tasks by that triple (a triple that repeats a lot over a few of them).
+    The same formula holds at every size. The exact one costs the square of the smaller sample for
+    each distinct triple (n1, n2, d), whatever the larger one; the triples, which repeat across windows,
+    are dealt evenly over all tasks, solved once and joined back.
     """
     if method == "asymptotic":
         return results.withColumn(name, ks_pvalue_asymptotic(n1, n2, d))
     if method == "limit":
         return results.withColumn(name, ks_pvalue_large(n1, n2, d))
-    if method not in ("auto", "exact"):
+    if method != "exact":
         raise ValueError(f"unknown p-value method: {method}")
+    kept = stored(results, "statistics")
+    triples = kept.select(F.col(n1).alias("_n1"), F.col(n2).alias("_n2"), F.col(d).alias("_d")).dropna().distinct()
     tasks = int(results.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = F.pmod(F.xxhash64(*results.columns), F.lit(_SPREAD))
-    placed = results.repartition(tasks, F.col(n1), F.col(n2), F.col(d), spread)
-    if method == "exact":
-        return placed.withColumn(name, ks_pvalue_exact(n1, n2, F.col(d)))
-    small = F.greatest(F.col(n1), F.col(n2)) <= EXACT_KS_LIMIT
-    # The UDF sees null where the limit is used: a conditional does not stop it being called.
-    exact = ks_pvalue_exact(n1, n2, F.when(small, F.col(d)))
-    return placed.withColumn(name, F.coalesce(exact, ks_pvalue_large(n1, n2, d)))
+    dealt = triples.repartition(tasks, F.xxhash64("_n1", "_n2", "_d"))
+    solved = broadcast_if_small(stored(dealt.withColumn(name, ks_pvalue_exact("_n1", "_n2", "_d")), "pvalues"))
+    same = (F.col(n1) == F.col("_n1")) & (F.col(n2) == F.col("_n2")) & (F.col(d) == F.col("_d"))
+    return kept.join(solved, same, "left").select(*results.columns, name)

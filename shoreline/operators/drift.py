@@ -12,8 +12,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +33,7 @@ from shoreline.operators.profile import (
 )
 from shoreline.plans.materialize import stored
 from shoreline.plans.scan import CHUNK, range_chunks, running
-from shoreline.plans.sizing import broadcast_if_small, has_at_most
+from shoreline.plans.sizing import broadcast_if_small
 
 NODE = ("model_id", "node")
 WINDOW_NODE = ("model_id", "window_id", "node")
@@ -50,76 +48,32 @@ def _share_term(current: Column, base: Column) -> Column:
     return (c - b) * F.log(c / b)
 
 
-def _cells_by_broadcast(values: DataFrame, nodes: DataFrame, baseline: DataFrame) -> DataFrame:
-    # At most as many numbers as the caller allowed.
-    rows = baseline.select(*NODE, "value").toArrow().to_pandas()
-    samples = {key: np.sort(part.to_numpy()) for key, part in rows.groupby(list(NODE))["value"]}
-    inner = {
-        (r.model_id, r.node): np.array(r.e[1:-1])
-        for r in nodes.filter(F.col("edges").isNotNull())
-        .select(*NODE, F.col("edges").alias("e"))
-        .collect()
-    }
-    shared = values.sparkSession.sparkContext.broadcast((samples, inner))
-
-    @F.pandas_udf("struct<lt:bigint,le:bigint,bin:int>")
-    def place(model: pd.Series, node: pd.Series, value: pd.Series) -> pd.DataFrame:
-        sorted_values, inner_edges = shared.value
-        v = value.to_numpy(dtype=float)
-        out = np.zeros((3, len(v)), dtype=np.int64)
-        codes, pairs = pd.factorize(pd.MultiIndex.from_arrays([model, node]))
-        for code, key in enumerate(pairs):
-            at = codes == code
-            base = sorted_values[key]
-            out[0, at] = np.searchsorted(base, v[at], side="left")
-            out[1, at] = np.searchsorted(base, v[at], side="right")
-            out[2, at] = np.searchsorted(inner_edges[key], v[at], side="right")
-        return pd.DataFrame({"lt": out[0], "le": out[1], "bin": out[2].astype(np.int32)})
-
-    # As many rows as the dictionaries above.
-    known = F.broadcast(nodes.filter(F.col("edges").isNotNull()).select(*NODE))
-    placed = values.join(known, list(NODE), "left_semi").withColumn(
-        "cell", place("model_id", "node", "value")
-    )
-    return placed.groupBy(*WINDOW_NODE, "cell.lt", "cell.le", "cell.bin").agg(
-        F.count("*").alias("n")
-    )
-
+def baseline_cells(values: DataFrame, baseline: Baseline) -> DataFrame:
+    """Counts per (model, window, node, lt, le, bin).
 
-def _cells_by_join(values: DataFrame, nodes: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Cells by joins on ranks from a distributed running sum: the baseline stays on Spark."""
-    points = values.groupBy(*WINDOW_NODE, "value").agg(F.count("*").alias("n"))
-    marks = (
-        values.select(*NODE, "value", F.lit(0).alias("b"))
-        .unionByName(baseline.select(*NODE, "value", F.lit(1).alias("b")))
-        .groupBy(*NODE, "value")
-        .agg(F.sum("b").alias("b"))
-    )
-    chunks = range_chunks(marks, list(NODE), ["value"])
-    ranks = running(chunks, list(NODE), CHUNK, ["value"], sums={"le": F.col("b")}).select(
-        *NODE, "value", (F.col("le") - F.col("b")).alias("lt"), "le"
-    )
+    ``values`` has model_id, window_id, node, value. Values of windows and of the baseline, counted, are laid out
+    once in the order (model, node, value, window), a baseline value before its equals. Inside a
+    stretch of that order ``le`` is a running sum of baseline values, and ``lt`` is ``le`` without the last baseline
+    value if that is an equal one; one row per stretch carries both forward. Nothing is joined on a
+    value, so a value that all windows hold is spread over as many stretches as it needs.
+    """
+    binned = baseline.nodes.filter(F.col("edges").isNotNull()).select(*NODE, "edges")
+    points = values.groupBy(*WINDOW_NODE, "value").agg(F.count("*").alias("n")).withColumn("b", F.lit(0).cast("bigint"))
+    marks = baseline.values.groupBy(*NODE, "value").agg(F.count("*").alias("b"))
+    marks = marks.withColumn("window_id", F.lit(None).cast(values.schema["window_id"].dataType)).withColumn("n", F.lit(0).cast("bigint"))
+    laid_out = range_chunks(points.unionByName(marks), list(NODE), ["value", F.asc_nulls_first("window_id")])
+    last = F.when(F.col("b") > 0, F.struct("value", "b"))
+    ranked = running(
+        laid_out, list(NODE), CHUNK, ["_local"], sums={"le": F.col("b")}, maxima={"last": last}
+    ).filter("n > 0")
+    equal = F.when(F.col("last.value") == F.col("value"), F.col("last.b")).otherwise(0)
     return (
-        points.join(ranks, [*NODE, "value"])
-        .join(nodes.filter(F.col("edges").isNotNull()).select(*NODE, "edges"), list(NODE))
-        .groupBy(*WINDOW_NODE, "lt", "le", bin_of("value", "edges").alias("bin"))
+        ranked.join(broadcast_if_small(binned), list(NODE))
+        .groupBy(*WINDOW_NODE, (F.col("le") - equal).alias("lt"), "le", bin_of("value", "edges").alias("bin"))
         .agg(F.sum("n").alias("n"))
     )
 
 
-def baseline_cells(
-    values: DataFrame, baseline: Baseline, limit: int = 0
-) -> DataFrame:
-    """Counts per (model, window, node, lt, le, bin).
-
-    ``values`` has model_id, window_id, node, value. A baseline of at most ``limit`` values goes
-    through the driver to every executor; by default none does.
-    """
-    if limit and has_at_most(baseline.values, limit):
-        return _cells_by_broadcast(values, baseline.nodes, baseline.values)
-    return _cells_by_join(values, baseline.nodes, baseline.values)
-
-
 def continuous_statistics(
     cells: DataFrame, nodes: DataFrame, config: DriftConfig = DEFAULTS
 ) -> DataFrame:
@@ -181,7 +135,8 @@ def ks_statistic(cells: DataFrame, nodes: DataFrame, config: DriftConfig = DEFAU
 def ks_test(
     statistic: DataFrame,
     config: DriftConfig = DEFAULTS,
-    p_method: str = "auto",
+    *,
+    p_method: str,
     threshold: Column | None = None,
 ) -> DataFrame:
     """Full test row; statistic and p-value are null when a side has too few samples."""
@@ -322,7 +277,7 @@ def detect_drift(
     config: DriftConfig = DEFAULTS,
     *,
     thresholds: DataFrame | None = None,
-    p_method: str = "auto",
+    p_method: str,
 ) -> DataFrame:
     """Verdict of every baseline node in every window.
 

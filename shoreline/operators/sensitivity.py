@@ -91,7 +91,8 @@ def shift_sensitivity(
     intensities: Sequence[float],
     targets: Sequence[str] | None = None,
     config: DriftConfig = DEFAULTS,
-    p_method: str = "auto",
+    *,
+    p_method: str,
 ) -> DataFrame:
     """Drift verdicts of a sample under each shift intensity; intensity 0 is the control.
 

@@ -126,7 +126,7 @@ def load_graph(spark: SparkSession, sf: str) -> DataFrame:
     return G.load_graph(spark, path).edges
 
 
-@query(I.with_(I.BASE) + """SELECT model_id, node, 'continuous' AS kind, count(*) AS n, least(count(*), 5000) AS baseline_n
+@query(I.with_(I.BASE) + """SELECT model_id, node, 'continuous' AS kind, count(*) AS n, count(*) AS baseline_n
   FROM ref_long WHERE num IS NOT NULL GROUP BY 1, 2
   UNION ALL SELECT model_id, node, 'categorical', CAST(sum(n) AS BIGINT), CAST(sum(n) AS BIGINT) FROM bcat GROUP BY 1, 2""")
 def store_baseline(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.config import DriftConfig
 from shoreline.functions.pvalues import with_ks_pvalue
 from shoreline.functions.verdicts import combine_verdict as combine
 from shoreline.functions.verdicts import psi_verdict as band
@@ -24,6 +23,11 @@ def query(sql: str | None = None):
     return add
 
 
+def also(name: str, of: str) -> None:
+    """An earlier name of a query that covers all reference rows."""
+    QUERIES[name] = QUERIES[of]
+
+
 def r6(c):
     return F.round(c, 6)
 
@@ -31,12 +35,12 @@ def r6(c):
 KEY = ["model_id", "window_id", "node"]
 
 
-def _cells(spark: SparkSession, sf: str, config: DriftConfig = I.CONFIG) -> DataFrame:
-    return D.baseline_cells(I.window_numbers(I.windowed(spark, sf)), I.baseline(spark, sf, config))
+def _cells(spark: SparkSession, sf: str) -> DataFrame:
+    return D.baseline_cells(I.window_numbers(I.windowed(spark, sf)), I.baseline(spark, sf))
 
 
 def _statistic(spark: SparkSession, sf: str) -> DataFrame:
-    return D.ks_statistic(_cells(spark, sf, I.WHOLE), I.baseline(spark, sf, I.WHOLE).nodes)
+    return D.ks_statistic(_cells(spark, sf), I.baseline(spark, sf).nodes)
 
 
 def _categories(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,33 +49,30 @@ def _categories(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(I.with_(I.KS) + "SELECT model_id, window_id, node, current_n, baseline_n, round(statistic, 6) AS statistic FROM ks")
 def ks_statistic(spark: SparkSession, sf: str) -> DataFrame:
-    found = D.ks_statistic(_cells(spark, sf), I.baseline(spark, sf).nodes)
-    return found.select(*KEY, "current_n", "baseline_n", r6("statistic").alias("statistic"))
+    return _statistic(spark, sf).select(*KEY, "current_n", "baseline_n", r6("statistic").alias("statistic"))
 
 
-@query(I.whole(QUERIES["ks_statistic"][1]))
-def ks_statistic_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The same over all reference rows."""
-    found = _statistic(spark, sf)
-    return found.select(*KEY, "current_n", "baseline_n", r6("statistic").alias("statistic"))
+also("ks_statistic_whole", "ks_statistic")
 
 
-@query()
+@query(I.with_(I.KS, I.EXACT) + "SELECT model_id, window_id, node, current_n, baseline_n, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value FROM ke")
 def ks_pvalue(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact p-values; checked against enumeration in the tests."""
-    return with_ks_pvalue(_statistic(spark, sf), "current_n", "baseline_n", "statistic", "exact")
+    """Exact p-values."""
+    found = with_ks_pvalue(_statistic(spark, sf), "current_n", "baseline_n", "statistic", "exact")
+    return found.withColumn("statistic", r6("statistic")).withColumn("p_value", r6("p_value"))
 
 
 @query(I.with_(I.KS) + f"SELECT model_id, window_id, node, round({I.ASYMPTOTIC}, 6) AS p_value FROM ks")
 def ks_pvalue_asymptotic(spark: SparkSession, sf: str) -> DataFrame:
-    found = D.ks_statistic(_cells(spark, sf), I.baseline(spark, sf).nodes)
-    found = with_ks_pvalue(found, "current_n", "baseline_n", "statistic", "asymptotic")
+    found = with_ks_pvalue(_statistic(spark, sf), "current_n", "baseline_n", "statistic", "asymptotic")
     return found.select(*KEY, r6("p_value").alias("p_value"))
 
 
-@query()
+@query(I.with_(I.KS, I.EXACT) + """SELECT model_id, window_id, node, current_n, baseline_n, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value, CAST(0.05 AS DOUBLE) AS threshold,
+  CASE WHEN p_value IS NULL THEN 'INSUFFICIENT_DATA' WHEN p_value < 0.05 THEN 'DRIFT' ELSE 'STABLE' END AS verdict FROM ke""")
 def ks_test(spark: SparkSession, sf: str) -> DataFrame:
-    return D.ks_test(_statistic(spark, sf), I.WHOLE, "exact")
+    found = D.ks_test(_statistic(spark, sf), I.CONFIG, p_method="exact")
+    return found.withColumn("statistic", r6("statistic")).withColumn("p_value", r6("p_value"))
 
 
 @query(I.with_(I.PSI_BINS) + f"""SELECT model_id, window_id, node, CAST(bin AS BIGINT) AS bin,
@@ -94,12 +95,7 @@ def psi_continuous(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("psi", r6("psi")).withColumn("n_bins", F.col("n_bins").cast("bigint"))
 
 
-@query(I.whole(QUERIES["psi_continuous"][1]))
-def psi_continuous_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The same over all reference rows."""
-    nodes = I.baseline(spark, sf, I.WHOLE).nodes
-    found = D.psi_continuous(_cells(spark, sf, I.WHOLE), nodes, I.WHOLE)
-    return found.withColumn("psi", r6("psi")).withColumn("n_bins", F.col("n_bins").cast("bigint"))
+also("psi_continuous_whole", "psi_continuous")
 
 
 @query(I.with_(I.VALUES, I.PSI_CAT) + """SELECT model_id, window_id, node, current_n, baseline_n, round(psi, 6) AS psi FROM psi_cat""")
@@ -161,16 +157,13 @@ def detect_drift(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(I.run_detection(spark, sf))
 
 
-@query(I.whole(QUERIES["detect_drift"][1]))
-def detect_drift_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The same over all reference rows."""
-    return _rounded(I.run_detection(spark, sf, config=I.WHOLE))
+also("detect_drift_whole", "detect_drift")
 
 
-@query()
+@query(I.with_(I.ND_EXACT) + f"SELECT {_ND_COLUMNS} FROM nd")
 def detect_drift_exact(spark: SparkSession, sf: str) -> DataFrame:
     """The same with exact p-values at any size."""
-    return I.run_detection(spark, sf, "exact", I.WHOLE)
+    return _rounded(I.run_detection(spark, sf, "exact"))
 
 
 _LI = ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag"]
@@ -188,8 +181,7 @@ _FRAME_SQL = f"""li AS (SELECT l_quantity, l_extendedprice, l_discount, l_return
     CAST(l_orderkey AS VARCHAR) || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey || '/' || l_extendedprice AS rk FROM lineitem),
 lref AS ({_union("(SELECT * FROM li WHERE l_shipdate < TIMESTAMP '1998-06-01')")}),
 lcur AS ({_union("(SELECT * FROM li WHERE l_shipdate >= TIMESTAMP '1998-06-01')")}),
-bval AS (SELECT node, num AS value FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY md5(rk), rk, num) AS rn
-  FROM lref WHERE num IS NOT NULL) WHERE rn <= 5000),
+bval AS (SELECT node, num AS value FROM lref WHERE num IS NOT NULL),
 edges AS (SELECT node, baseline_n, {I.QUANTILES} AS raw FROM (SELECT node, count(*) AS baseline_n, list_sort(list(value)) AS arr FROM bval GROUP BY node)),
 bins AS (SELECT node, baseline_n, raw[2:len(raw) - 1] AS inn, len(raw) - 1 AS n_bins FROM edges),
 grid AS (SELECT *, unnest(range(0, n_bins)) AS bin FROM bins),
@@ -212,7 +204,7 @@ kk AS (SELECT node, max(abs(cc / tc - cb / tb)) AS statistic, max(tc) AS current
 @query(I.with_(_FRAME_SQL) + """SELECT node, CAST(current_n AS BIGINT) AS current_n, CAST(baseline_n AS BIGINT) AS baseline_n, round(statistic, 6) AS statistic, round(psi, 6) AS psi
     FROM kk JOIN pn USING (node)
   UNION ALL SELECT node, (SELECT nc FROM tot WHERE node = 'l_returnflag'), (SELECT count(*) FROM lref WHERE cat IS NOT NULL), NULL, round(psi, 6) FROM pc""")
-def drift_from_frame(spark: SparkSession, sf: str, config: DriftConfig = I.CONFIG) -> DataFrame:
+def drift_from_frame(spark: SparkSession, sf: str) -> DataFrame:
     """lineitem shipped from June 1998 on, as one batch, against what was shipped before."""
     key = F.concat_ws(
         "/", *[F.col(c).cast("string") for c in
@@ -220,18 +212,15 @@ def drift_from_frame(spark: SparkSession, sf: str, config: DriftConfig = I.CONFI
     )
     lines = I.table(spark, sf, "lineitem").withColumn("model_id", F.lit("m")).withColumn("rk", key)
     cut = F.to_timestamp_ntz(F.lit(f"{_LI_CUT} 00:00:00"))
-    base = P.build_baseline(lines.filter(F.col("l_shipdate") < cut), _LI, F.col("rk"), config)
+    base = P.build_baseline(lines.filter(F.col("l_shipdate") < cut), _LI, F.col("rk"), I.CONFIG)
     batch = lines.filter(F.col("l_shipdate") >= cut)
-    found = D.drift_from_frame(batch, _LI, base, config, p_method="asymptotic")
+    found = D.drift_from_frame(batch, _LI, base, I.CONFIG, p_method="asymptotic")
     return found.select(
         "node", "current_n", "baseline_n", r6("statistic").alias("statistic"), r6("psi").alias("psi")
     )
 
 
-@query(I.whole(QUERIES["drift_from_frame"][1]))
-def drift_from_frame_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The same over all reference rows."""
-    return drift_from_frame(spark, sf, I.WHOLE)
+also("drift_from_frame_whole", "drift_from_frame")
 
 
 @query(I.with_(I.ND) + """SELECT model_id, window_id, string_agg(node, ',' ORDER BY pos) AS nodes FROM nd

@@ -19,9 +19,8 @@ from shoreline.plans.materialize import stored
 
 CUT = "2024-01-16 00:00:00"
 SIZE = 100
-# The cap is that of the SQL below; WHOLE keeps every reference row.
-CONFIG = DriftConfig(window_size=SIZE, window_min_samples=30, baseline_cap=5000)
-WHOLE = DriftConfig(window_size=SIZE, window_min_samples=30)
+CONFIG = DriftConfig(window_size=SIZE, window_min_samples=30)
+SAMPLE_CAP = 5000  # of the reference sample, whose size is its feature
 NUMERIC = ["value", "k", "hour", "load", "score"]
 FEATURES = [*NUMERIC, "weekday"]
 # Declared by the model's owner, as a graph file would.
@@ -89,16 +88,16 @@ def _once(spark: SparkSession, sf: str, name: str, make):
     return _STORED[key]
 
 
-def baseline(spark: SparkSession, sf: str, config: DriftConfig = CONFIG) -> P.Baseline:
+def baseline(spark: SparkSession, sf: str) -> P.Baseline:
     def make():
         ref = reference(spark, sf)
         outputs = ref.select(
             "model_id", "prediction", F.lit(None).cast("double").alias("output")
         )
         classes = P.output_baseline(outputs)
-        return P.build_baseline(ref, FEATURES, F.col("event_id"), config, classes)
+        return P.build_baseline(ref, FEATURES, F.col("event_id"), CONFIG, classes)
 
-    return _once(spark, sf, f"baseline-{config.baseline_cap}", make)
+    return _once(spark, sf, "baseline", make)
 
 
 def windowed(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,14 +119,12 @@ def window_categories(events: DataFrame) -> DataFrame:
     return P.collect_batch_categories(events, ids, ["weekday"]).unionByName(outputs)
 
 
-def run_detection(
-    spark: SparkSession, sf: str, p_method: str = "asymptotic", config: DriftConfig = CONFIG
-) -> DataFrame:
+def run_detection(spark: SparkSession, sf: str, p_method: str = "asymptotic") -> DataFrame:
     events = windowed(spark, sf)
     windows = events.select("model_id", "window_id").distinct()
     return detect_drift(
         window_numbers(events), window_categories(events), windows,
-        baseline(spark, sf, config), config, p_method=p_method,
+        baseline(spark, sf), CONFIG, p_method=p_method,
     )
 
 
@@ -288,10 +285,7 @@ QUANTILES = f"""list_sort(list_distinct(list_transform({POINTS}, lambda p: CASE
 
 BASE = f"""{PE},
 ref_long AS ({_long('ref', 'model_id, event_id')}),
-bval AS (SELECT model_id, node, num AS value FROM (
-  SELECT *, row_number() OVER (PARTITION BY model_id, node
-    ORDER BY md5(CAST(event_id AS VARCHAR)), CAST(event_id AS VARCHAR)) AS rn
-  FROM ref_long WHERE num IS NOT NULL) WHERE rn <= 5000),
+bval AS (SELECT model_id, node, num AS value FROM ref_long WHERE num IS NOT NULL),
 bcat AS (SELECT model_id, node, cat AS category, count(*) AS n,
     count(*) / sum(count(*)) OVER (PARTITION BY model_id, node) AS prop
   FROM (SELECT model_id, node, cat FROM ref_long WHERE cat IS NOT NULL
@@ -372,10 +366,25 @@ psi_cat AS (SELECT p.model_id, p.window_id, p.node, p.current_n, b.baseline_n,
   FROM cprop p JOIN (SELECT model_id, node, CAST(sum(n) AS BIGINT) AS baseline_n FROM bcat GROUP BY ALL) b
   USING (model_id, node) GROUP BY p.model_id, p.window_id, p.node, p.current_n, b.baseline_n)"""
 
-DRIFT_TAIL = f"""measured AS (
+# Exact p-values: the chance that a random lattice path to (m, n) has left the band, step by step.
+EXACT = """tr AS (SELECT DISTINCT least(current_n, baseline_n) AS m, greatest(current_n, baseline_n) AS n,
+    CAST(round(statistic * lcm(current_n, baseline_n)) AS BIGINT) AS h FROM ks WHERE statistic IS NOT NULL),
+lat AS (
+  SELECT m, n, h, CAST(0 AS BIGINT) AS k, list_transform(range(0, m + 1), lambda i: CAST(CASE WHEN h <= 0 THEN 1 ELSE 0 END AS DOUBLE)) AS p FROM tr
+  UNION ALL SELECT m, n, h, k + 1, list_transform(range(0, m + 1), lambda i: CASE
+      WHEN i > k + 1 OR k + 1 - i > n THEN 0.0
+      WHEN abs(i * (n // gcd(m, n)) - (k + 1 - i) * (m // gcd(m, n))) >= h THEN 1.0
+      ELSE p[i + 1] * (k + 1 - i) / (k + 1) + CASE WHEN i > 0 THEN p[i] * i / (k + 1) ELSE 0.0 END END)
+  FROM lat WHERE k < m + n),
+ke AS (SELECT ks.*, p[m + 1] AS p_value FROM ks LEFT JOIN lat ON k = m + n AND m = least(current_n, baseline_n)
+  AND n = greatest(current_n, baseline_n) AND h = CAST(round(statistic * lcm(current_n, baseline_n)) AS BIGINT))"""
+
+
+def _drift_tail(source: str, p_value: str) -> str:
+    return f"""measured AS (
   SELECT model_id, window_id, node, 'continuous' AS kind, current_n, baseline_n, statistic,
-    {ASYMPTOTIC} AS p_value, psi
-  FROM ks JOIN (SELECT model_id, window_id, node, psi FROM psi_num) USING (model_id, window_id, node)
+    {p_value} AS p_value, psi
+  FROM {source} JOIN (SELECT model_id, window_id, node, psi FROM psi_num) USING (model_id, window_id, node)
   UNION ALL SELECT model_id, window_id, node, 'categorical', current_n, baseline_n, NULL, NULL, psi
   FROM psi_cat),
 verdicts AS (SELECT *,
@@ -397,7 +406,9 @@ def _after(block: str, prefix: str) -> str:
     return block[len(prefix) + 1 :].lstrip()
 
 
-ND = f"{KS}, {_after(PSI_BINS, VALUES)}, {PSI_CAT}, {DRIFT_TAIL}"
+_MEASURES = f"{KS}, {_after(PSI_BINS, VALUES)}, {PSI_CAT}"
+ND = f"{_MEASURES}, {_drift_tail('ks', ASYMPTOTIC)}"
+ND_EXACT = f"{_MEASURES}, {EXACT}, {_drift_tail('ke', 'p_value')}"
 
 _EDGE_ROWS = ", ".join(f"('{a}', '{b}')" for a, b in EDGES)
 RCA = f"""{ND},
@@ -454,15 +465,5 @@ att AS ({" UNION ALL ".join(
     for f, c in COEFFICIENTS.items())})"""
 
 
-_CAPPED = " WHERE rn <= 5000"
-
-
-def whole(sql: str) -> str:
-    """The same SQL over all reference rows."""
-    if _CAPPED not in sql:
-        raise ValueError("the SQL has no cap")
-    return sql.replace(_CAPPED, "")
-
-
 def with_(*blocks: str) -> str:
     return "WITH RECURSIVE " + ", ".join(blocks) + " "

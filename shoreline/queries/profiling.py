@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.config import DriftConfig
 from shoreline.operators import profile as P
 from shoreline.operators import windows as W
 from shoreline.plans.materialize import shared_dir
@@ -59,7 +58,7 @@ def category_proportions(spark: SparkSession, sf: str) -> DataFrame:
 def reference_sample(spark: SparkSession, sf: str) -> DataFrame:
     rows = P.with_row_hash(I.table(spark, sf, "events"), F.col("event_id"))
     numeric = P.collect_batch_features(rows, ["row_hash", "row_key"], ["value", "user_id"])
-    return P.reference_sample(numeric, [], I.CONFIG.baseline_cap)
+    return P.reference_sample(numeric, [], I.SAMPLE_CAP)
 
 
 @query(I.with_(I.BASE) + """SELECT model_id, node, count(*) AS n, round(sum(num), 4) AS total FROM ref_long
@@ -87,8 +86,8 @@ def output_baseline(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(I.with_(I.BASE) + """SELECT model_id, node, baseline_n, CAST(n_bins AS BIGINT) AS n_bins,
     array_to_string(list_transform(inn, lambda x: printf('%.6f', x)), ',') AS inner_edges FROM edges""")
-def quantile_edges(spark: SparkSession, sf: str, config: DriftConfig = I.CONFIG) -> DataFrame:
-    edges = P.quantile_edges(I.baseline(spark, sf, config).values)
+def quantile_edges(spark: SparkSession, sf: str) -> DataFrame:
+    edges = P.quantile_edges(I.baseline(spark, sf).values)
     inner = F.filter("edges", lambda e: F.abs(e) < float("inf"))
     text = F.array_join(F.transform(inner, lambda e: F.format_string("%.6f", e)), ",")
     return edges.select(
@@ -97,10 +96,7 @@ def quantile_edges(spark: SparkSession, sf: str, config: DriftConfig = I.CONFIG)
     )
 
 
-@query(I.whole(QUERIES["quantile_edges"][1]))
-def quantile_edges_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The same over all reference rows."""
-    return quantile_edges(spark, sf, I.WHOLE)
+QUERIES["quantile_edges_whole"] = QUERIES["quantile_edges"]
 
 
 @query("""SELECT 'l_quantity' AS node, round(stddev_pop(l_quantity), 6) AS spread FROM lineitem

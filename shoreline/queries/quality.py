@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoreline.config import DriftConfig
 from shoreline.functions.labels import prediction_label as label_of
 from shoreline.operators import attribution as A
 from shoreline.operators import evaluation as V
@@ -197,21 +196,18 @@ _SHIFT = I.with_(I.BASE) + """, spread AS (SELECT model_id, node, coalesce(nulli
 
 
 @query(_SHIFT)
-def shift_sensitivity(spark: SparkSession, sf: str, config: DriftConfig = I.CONFIG) -> DataFrame:
+def shift_sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     """Reference rows shifted by 0, 0.5 and 1 on two features."""
     values = P.unpivot_columns(I.reference(spark, sf), ["model_id", "event_id"], I.FEATURES)
     found = N.shift_sensitivity(
-        values.select("model_id", "node", "num", "cat"), I.baseline(spark, sf, config),
-        [0.0, 0.5, 1.0], ["value", "k"], config, p_method="asymptotic",
+        values.select("model_id", "node", "num", "cat"), I.baseline(spark, sf),
+        [0.0, 0.5, 1.0], ["value", "k"], I.CONFIG, p_method="asymptotic",
     )
     numeric = found.filter(F.col("kind") == "continuous")
     return numeric.select("model_id", "window_id", "intensity", "node", r6("psi").alias("psi"))
 
 
-@query(I.whole(_SHIFT))
-def shift_sensitivity_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """The same against all reference rows."""
-    return shift_sensitivity(spark, sf, I.WHOLE)
+QUERIES["shift_sensitivity_whole"] = QUERIES["shift_sensitivity"]
 
 
 @query(I.with_(I.PE) + """, h AS (SELECT *, (CAST('0x' || substr(md5('value:' || event_id || ':u'), 1, 15) AS BIGINT) + 1) / 1152921504606846977.0 AS u,

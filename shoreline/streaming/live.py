@@ -137,10 +137,10 @@ class LiveMonitor:
     order: DataFrame
     numeric: Callable[[DataFrame], DataFrame]
     text: Callable[[DataFrame], DataFrame]
+    p_method: str
     config: DriftConfig = DEFAULTS
     score: Callable[[DataFrame], DataFrame] | None = None
     with_graph: bool = True
-    p_method: str = "auto"
 
     def __post_init__(self) -> None:
         self.windows = LiveWindows(f"{self.path}/windowing", self.evaluate, self.config.window_size)

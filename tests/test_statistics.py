@@ -1,5 +1,6 @@
 import itertools
 import math
+import time
 from collections import Counter
 
 import numpy as np
@@ -18,6 +19,34 @@ from shoreline.operators import profile as P
 CONFIG = DriftConfig()
 
 
+def lattice(m, n, steps):
+    """P(D >= h / lcm) step by step over all n + m draws."""
+    g, i, h = math.gcd(m, n), np.arange(m + 1), steps[:, None]
+    p = np.where(h <= 0, 1.0, np.zeros((len(steps), m + 1)))
+    for k in range(1, m + n + 1):
+        before = np.concatenate([np.zeros((len(steps), 1)), p[:, :-1]], axis=1)
+        p = (p * (k - i) + before * i) / k
+        p = np.where(np.abs(i * (n // g) - (k - i) * (m // g)) >= h, 1.0, p)
+        p[:, (i > k) | (k - i > n)] = 0
+    return p[:, m]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_exact_p_value_equals_the_lattice(seed):
+    rng = np.random.default_rng(seed)
+    m, n = int(rng.integers(1, 60)), int(rng.integers(1, 60) * rng.integers(1, 8))
+    steps = np.unique(rng.integers(0, math.lcm(m, n) + 1, 5))
+    small, large = sorted((m, n))
+    assert np.allclose(exceedance(m, n, steps), lattice(small, large, steps), rtol=1e-10, atol=0)
+
+
+def test_exact_p_value_does_not_depend_on_the_larger_sample():
+    steps = np.array([round(d * math.lcm(100, 10**7)) for d in (0.05, 0.3)])
+    began = time.time()
+    high, low = exceedance(100, 10**7, steps)
+    assert time.time() - began < 2 and 0.9 < high < 1 and 1e-9 < low < 1e-7
+
+
 def enumerate_tail(m, n):
     g = math.gcd(m, n)
     seen = Counter()
@@ -56,11 +85,11 @@ def frame(spark, **columns):
     return spark.createDataFrame(rows)
 
 
-def compare(spark, base, current, config=CONFIG, **options):
+def compare(spark, base, current, config=CONFIG, p_method="exact", **options):
     """Results by node of one frame against another."""
     columns = [c for c in base.columns if c not in ("model_id", "row")]
     made = P.build_baseline(base, columns, F.col("row"), config)
-    found = D.drift_from_frame(current, columns, made, config, **options)
+    found = D.drift_from_frame(current, columns, made, config, p_method=p_method, **options)
     return {r.node: r for r in found.collect()}
 
 
@@ -133,16 +162,27 @@ def test_ties_and_random_samples_equal_numpy(spark, rng):
         assert found[name].psi == pytest.approx(psi, abs=1e-9)
 
 
-def test_large_baselines_are_joined_with_the_same_result(spark, rng):
-    base = frame(spark, x=np.round(rng.normal(0, 1, 900), 1), y=rng.normal(0, 1, 900))
+def test_cells_place_every_value(spark, rng):
+    """Counts below, at or below, and bin of every value; one value is held by all windows."""
+    x = np.round(rng.normal(0, 1, 900), 1)
+    base = frame(spark, x=x, y=rng.normal(0, 1, 900))
     made = P.build_baseline(base, ["x", "y"], F.col("row"))
-    cur = frame(spark, x=np.round(rng.normal(0, 2, 600), 1), y=rng.normal(1, 1, 600))
+    current = np.where(np.arange(3000) % 3 == 0, 0.3, np.round(rng.normal(0, 2, 3000), 2))
+    cur = frame(spark, x=current, y=rng.normal(1, 1, 3000))
     values = P.collect_batch_features(
-        cur.withColumn("window_id", F.expr("row div 200")), ["model_id", "window_id"], ["x", "y"]
+        cur.withColumn("window_id", F.expr("row div 20")), ["model_id", "window_id"], ["x", "y"]
     )
-    small = D.baseline_cells(values, made)
-    large = D.baseline_cells(values, made, limit=10)
-    assert small.exceptAll(large).isEmpty() and large.exceptAll(small).isEmpty()
+    cells = D.baseline_cells(values, made)
+    found = {
+        (r.window_id, r.lt, r.le, r.bin): r.n for r in cells.filter("node = 'x'").collect()
+    }
+    ordered = np.sort(x)
+    edges = np.array(made.nodes.filter("node = 'x'").first().edges)[1:-1]
+    want = Counter(
+        (row // 20, np.searchsorted(ordered, v, "left"), np.searchsorted(ordered, v, "right"), np.searchsorted(edges, v, "right"))
+        for row, v in enumerate(current)
+    )
+    assert found == want
 
 
 def test_sample_is_capped_and_repeatable(spark, rng):
@@ -171,7 +211,7 @@ def test_combine_table(spark):
 def test_missing_node_is_insufficient(spark, rng):
     base = frame(spark, x=rng.normal(0, 1, 200), y=rng.normal(0, 1, 200))
     made = P.build_baseline(base, ["x", "y"], F.col("row"))
-    found = D.drift_from_frame(base.drop("y"), ["x"], made).collect()
+    found = D.drift_from_frame(base.drop("y"), ["x"], made, p_method="exact").collect()
     assert {r.node: r.verdict for r in found} == {"x": "STABLE", "y": "INSUFFICIENT_DATA"}
 
 
@@ -213,13 +253,3 @@ def test_named_p_values_do_not_switch_by_size(spark):
     for n in (12_000, 900):
         assert exact[n] == pytest.approx(exceedance(40, n, np.array([round(0.2 * math.lcm(40, n))]))[0], rel=1e-12)
         assert limit[n] != exact[n]
-
-
-def test_baseline_stays_on_spark(spark, rng, monkeypatch):
-    base = frame(spark, x=np.round(rng.normal(0, 1, 900), 1))
-    made = P.build_baseline(base, ["x"], F.col("row"))
-    values = P.collect_batch_features(base.withColumn("window_id", F.lit(0)), ["model_id", "window_id"], ["x"])
-    shared = D.baseline_cells(values, made, limit=10_000)
-    monkeypatch.setattr(D, "_cells_by_broadcast", None)
-    joined = D.baseline_cells(values, made)
-    assert shared.exceptAll(joined).isEmpty() and joined.exceptAll(shared).isEmpty()

@@ -96,7 +96,7 @@ def test_stable_drift_recover(spark, tmp_path, with_graph):
         str(tmp_path / "out"), base, closure, levels,
         lambda d: P.collect_batch_features(d, ids, FEATURES),
         lambda d: P.collect_batch_categories(d, ids, []),
-        config=config, with_graph=with_graph,
+        p_method="exact", config=config, with_graph=with_graph,
     )
     schema = spark.read.parquet(str(tmp_path / "in")).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))

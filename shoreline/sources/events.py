@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Sequence
 
 from py4j.protocol import Py4JJavaError
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoreline.config import DEFAULT_SOURCE, SCHEMA_VERSION
+from shoreline.plans.sizing import broadcast_if_small
 
 # Envelope of one event. Feature values are numbers or strings, so they are read as variants.
 EVENT_SCHEMA = (
@@ -106,20 +106,27 @@ def replay_events(spark: SparkSession, path: str, limit: int | None = None) -> D
     return good.orderBy(*order).limit(limit).drop("valid", "raw", *order)
 
 
+def present_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file``: the files that a folder holds now; a listing, nothing is read."""
+    return spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+
+
 def tail_events(
-    spark: SparkSession, path: str, since: dt.datetime | None = None, max_files: int | None = None
+    spark: SparkSession, path: str, skip: str | None = None, max_files: int | None = None
 ) -> DataFrame:
-    """Stream of JSON lines from files that arrive in a folder after ``since``.
+    """Stream of JSON lines from files that arrive in a folder.
 
-    A growing log is a folder that receives files; with ``since`` the files that were there
-    before the session are skipped. Malformed lines are dropped.
+    A growing log is a folder that receives files. With ``skip`` the files that are there when the session
+    starts are left out: their names are listed once and kept in the folder ``skip``, so a restart
+    leaves out the same ones, and no clocks are compared. Malformed lines are dropped.
     """
     reader = spark.readStream.format("text")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    lines = reader.load(path)
-    if since is not None:
-        lines = lines.filter(F.col("_metadata.file_modification_time") >= F.lit(since))
+    lines = reader.load(path).select("value", F.col("_metadata.file_path").alias("file"))
+    if skip is not None:
+        present_files(spark, path).write.mode("ignore").parquet(skip)
+        lines = lines.join(broadcast_if_small(spark.read.parquet(skip)), "file", "left_anti")
     return validate_events(lines.select("value"))[0]
 
 

@@ -181,18 +181,22 @@ def test_event_files_round_trip(spark, tmp_path):
 
 
 def test_tail_skips_files_from_before(spark, tmp_path):
-    import datetime as dt
-
-    path = tmp_path / "log"
+    path, out, skip = tmp_path / "log", str(tmp_path / "out"), str(tmp_path / "skip")
     path.mkdir()
-    (path / "old.jsonl").write_text(json.dumps(LINES[0]))
-    time.sleep(1.1)
-    since = dt.datetime.now()
-    (path / "new.jsonl").write_text(json.dumps({**LINES[0], "event_id": "b"}) + "\n{broken")
-    out = str(tmp_path / "out")
-    stream = E.tail_events(spark, str(path), since=since)
-    stream.writeStream.format("parquet").option("checkpointLocation", out + "-p").trigger(availableNow=True).start(out).awaitTermination()
-    assert [r.event_id for r in spark.read.schema(stream.schema).parquet(out).collect()] == ["b"]
+    for i in range(5):
+        (path / f"old-{i}.jsonl").write_text(json.dumps({**LINES[0], "event_id": f"old-{i}"}))
+
+    def run():
+        stream = E.tail_events(spark, str(path), skip=skip)
+        stream.writeStream.format("parquet").option("checkpointLocation", out + "-p").trigger(availableNow=True).start(out).awaitTermination()
+        return sorted(r.event_id for r in spark.read.schema(stream.schema).parquet(out).collect())
+
+    E.tail_events(spark, str(path), skip=skip)  # the session starts: names are listed
+    for i in range(1000):
+        (path / f"new-{i}.jsonl").write_text(json.dumps({**LINES[0], "event_id": f"new-{i}"}) + "\n{broken")
+    assert run() == sorted(f"new-{i}" for i in range(1000))
+    (path / "later.jsonl").write_text(json.dumps({**LINES[0], "event_id": "later"}))
+    assert run() == sorted(["later", *(f"new-{i}" for i in range(1000))])
 
 
 def test_kafka_is_guarded(spark):

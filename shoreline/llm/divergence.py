@@ -20,22 +20,30 @@ ignored, so their names can't clash.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoreline.llm.tables import ascii_lower
+from shoreline.llm.tables import bounded_batches
+from shoreline.llm.text import slices
 from shoreline.plans.materialize import stored
 from shoreline.plans.sizing import broadcast_if_small
 
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"  # terms are the runs of all other signs
 MIN_DF = 30
 TOP = 50
+HELD = 1 << 20  # sums that a task holds before it passes them on
 BLOCK_CELLS = 1 << 20  # terms x sources of a block at most
 _ALL = 2**31 - 1
 _GAP = "\x00"  # never part of a term
+_TERM = np.zeros(256, dtype=bool)  # bytes of terms: letters and all signs beyond ASCII
+_TERM[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def _share(count: Column, total: Column, kept: Column) -> Column:
@@ -46,26 +54,103 @@ def _share(count: Column, total: Column, kept: Column) -> Column:
     return (whole + 1).cast("bigint")
 
 
+def _keyed_terms(column: pa.Array, langs: list[bytes]) -> pa.Array:
+    """The terms of every text, each after its language and a gap; the empty term ends every list.
+
+    Works on the bytes of many texts at once: term bytes and language bytes are scattered into one
+    buffer, in which the offsets of the terms follow from their lengths.
+    """
+    sizes, lengths, buffers = [], [], []
+    for low, high, data, offsets in slices(column):
+        inside = _TERM[data]
+        before = np.zeros(len(data), dtype=bool)
+        before[1:] = inside[:-1]
+        before[offsets[:-1][offsets[:-1] < len(data)]] = False
+        begins = inside & ~before
+        starts = np.flatnonzero(begins)
+        first = np.searchsorted(starts, offsets)
+        doc = np.repeat(np.arange(high - low), np.diff(first))
+        places = np.flatnonzero(inside)
+        term = np.cumsum(begins[places]) - 1
+        own = np.bincount(term, minlength=len(starts))
+        heads = [lang + _GAP.encode() for lang in langs[low:high]]
+        ahead = np.fromiter(map(len, heads), np.int64, len(heads))[doc]
+        total = own + ahead
+        at = np.cumsum(total) - total
+        out = np.zeros(int(total.sum()), dtype=np.uint8)
+        out[(at + ahead - starts)[term] + places] = _LOWER[data[places]]
+        signs = np.frombuffer(b"".join(heads), np.uint8)
+        begin = np.cumsum([0, *map(len, heads)])[:-1][doc]
+        for k in range(max(map(len, heads), default=0)):
+            has = ahead > k
+            out[at[has] + k] = signs[begin[has] + k]
+        sizes.append(np.diff(first) + 1)
+        lengths.append(np.insert(total, first[1:], 0))
+        buffers.append(out)
+    count = lambda parts, kind: np.concatenate([np.zeros(1, kind), np.cumsum(np.concatenate([*parts, np.zeros(0, np.int64)]))]).astype(kind)
+    ends = count(lengths, np.int64)
+    values = pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(buffers))])
+    return pa.ListArray.from_arrays(pa.array(count(sizes, np.int32)), values.cast(pa.string()))
+
+
+def term_bags(docs: DataFrame) -> DataFrame:
+    """``lang, source, _terms`` of every document."""
+    bounded_batches(docs.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = [lang.encode() for lang in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _keyed_terms(batch.column(2), langs)], names=["lang", "source", "_terms"])
+
+    return docs.select("lang", "source", "text").mapInArrow(cut, "lang string, source string, _terms array<string>")
+
+
+def group_sums(vectors: DataFrame, size: int) -> DataFrame:
+    """``lang, source, index, count``: sums of the sparse vectors of a group, partly added up in every task."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[str, str], int] = {}
+        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def held() -> pa.RecordBatch:
+            names, group = list(groups), keys // size
+            columns = [pa.array([g[i] for g in names], pa.string()).take(pa.array(group)) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(keys % size, pa.int32()), pa.array(sums)], names=["lang", "source", "index", "count"])
+
+        for batch in batches:
+            named = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            own = np.fromiter((groups.setdefault(g, len(groups)) for g in named), np.int64, batch.num_rows)
+            index, value = batch.column(2), batch.column(3)
+            lengths = index.value_lengths().to_numpy()
+            new = np.repeat(own, lengths) * size + index.flatten().to_numpy()
+            every, place = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            sums = np.bincount(place, np.concatenate([sums, value.flatten().to_numpy()]), minlength=len(every)).astype(np.int64)
+            keys = every
+            if len(keys) > HELD:
+                yield held()
+                groups, keys, sums = {}, keys[:0], sums[:0]
+        yield held()
+
+    parts = F.unwrap_udt("_vector")
+    rows = vectors.select("lang", "source", parts["indices"].alias("i"), parts["values"].alias("n"))
+    summed = rows.mapInArrow(add, "lang string, source string, index int, count bigint")
+    return summed.groupBy("lang", "source", "index").agg(F.sum("count").alias("count"))
+
+
 def term_counts(docs: DataFrame, *, min_df: int = MIN_DF) -> tuple[DataFrame, DataFrame]:
     """``lang, source, index, count`` of every kept term that occurs in a group, and ``index, lang, term``."""
-    # Split, as extracting copies the text for every match.
-    terms = F.array_remove(F.split(ascii_lower(F.col("text")), BETWEEN), "")
-    # The empty term is in every document, so the vocabulary is never empty; it is left out again below.
-    keyed = F.array_append(F.transform(terms, lambda t: F.concat(F.col("lang"), F.lit(_GAP), t)), F.lit(""))
-    bags = docs.select("lang", "source", keyed.alias("_terms"))
-    spark = docs.sparkSession
+    spark, bags = docs.sparkSession, term_bags(docs)
     if docs.count() < min_df:
         return spark.createDataFrame([], "lang string, source string, index int, count bigint"), spark.createDataFrame([], "index int, lang string, term string")
+    # The empty term is in every document, so the vocabulary is never empty; it is left out again below.
     model = CountVectorizer(inputCol="_terms", outputCol="_vector", minDF=float(min_df), vocabSize=_ALL).fit(bags)
     names = pd.DataFrame({"_word": model.vocabulary})
     names["index"] = np.arange(len(names), dtype=np.int32)
     at = F.length("_word") - F.locate(_GAP, F.reverse("_word")) + 1  # the last gap
     vocabulary = spark.createDataFrame(names, "_word string, index int").where("_word <> ''")
     vocabulary = stored(vocabulary.select("index", F.substr("_word", F.lit(1), at - 1).alias("lang"), F.substr("_word", at + 1).alias("term")), "vocabulary")
-    parts = F.unwrap_udt("_vector")
-    cells = model.transform(bags).select("lang", "source", F.explode(F.arrays_zip(parts["indices"].alias("i"), parts["values"].alias("n"))).alias("_cell"))
-    summed = cells.groupBy("lang", "source", F.col("_cell.i").alias("index")).agg(F.sum(F.col("_cell.n").cast("bigint")).alias("count"))
     empty = int(names.index[names["_word"] == ""][0])
+    summed = group_sums(model.transform(bags), len(names))
     return stored(summed.where(F.col("index") != empty), "cells"), vocabulary
 
 

@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import functools
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoreline.llm.pieces import PieceEncoder
 from shoreline.llm.tables import bounded_batches
 from shoreline.plans.materialize import stored
 from shoreline.plans.sizing import broadcast_if_small
@@ -51,22 +51,7 @@ _PLAIN = re.compile(r"[\t-\r -;=-~À-ÖØ-öø-ÿ]*")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\t-\r A-Za-zÀ-ÖØ-öø-ÿ0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
 
-class _Known(dict):
-    """Ids by piece. What is missing is taken from the former generation or encoded."""
-
-    def __init__(self, encode, former: dict[str, bytes]):
-        super().__init__()
-        self.encode, self.former = encode, former
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.former.get(piece)
-        if ids is None:
-            ids = self.encode(piece)
-        self[piece] = ids
-        return ids
-
-
-class Encoder:
+class Encoder(PieceEncoder):
     """Encodes texts with a byte-level BPE tokenizer file, each different piece once while it is cached.
 
     Text of plain Latin letters, digits and signs is cut where the tokenizer's own pattern cuts, so its
@@ -74,22 +59,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.code, self.width = ("H", 2) if self.tokenizer.get_vocab_size() <= 1 << 16 else ("I", 4)
-        signs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        plain = filter(_PLAIN.fullmatch, map(chr, range(256)))
-        self.signs = {ord(c): signs.pre_tokenize_str(c)[0][0] for c in plain}
-        self.known = _Known(self._encode_piece, {})
-
-    def _encode_piece(self, piece: str) -> bytes:
-        if _PLAIN.fullmatch(piece):
-            ids = [token.id for token in self.model.tokenize(piece.translate(self.signs))]
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+        super().__init__(path, _PLAIN)
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text``, little-endian."""
@@ -97,12 +67,8 @@ class Encoder:
 
     def _encode_part(self, text: str) -> bytes:
         if _PLAIN.fullmatch(text):
-            pieces = _PIECE.findall(text)
-        else:
-            pieces = [p for c in _CHUNK.findall(text) for p in (_PIECE.findall(c) if _PLAIN.fullmatch(c) else (c,))]
-        if len(self.known) > CACHED:
-            self.known = _Known(self._encode_piece, dict(self.known))
-        return b"".join(map(self.known.__getitem__, pieces))
+            return self.joined(_PIECE.findall(text), CACHED)
+        return self.joined([p for c in _CHUNK.findall(text) for p in (_PIECE.findall(c) if _PLAIN.fullmatch(c) else (c,))], CACHED)
 
 
 def _parts(text: str) -> Iterator[str]:
@@ -136,7 +102,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
         width, kind_of_id = encoder.width, f"<u{encoder.width}"
-        end = struct.pack(f"<{encoder.code}", end_id)
+        end = encoder.pack([end_id])
         task, seen = TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
         names = [key, "piece", "start", "length", "ids_crc32", "ids", "_task", "_nth"]
         kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())

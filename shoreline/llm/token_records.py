@@ -14,7 +14,8 @@ A task writes files of its own names and returns their index rows; only rows of
 succeeded reach the index, so a repeated or lost task leaves at most an unlisted file.
 
 Null text counts as empty and holds the end id only. Null ids come first; rows that repeat an id
-are records of their own, in the order of their texts. An empty table gives no file.
+are records of their own, in the order of their texts' hashes. An empty table gives no file. Other columns are
+ignored, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -33,11 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoreline.llm.pieces import PieceEncoder
 from shoreline.llm.tables import bounded_batches
 
 MASK = 0xA282EAD8
 FILE_BYTES = 64 << 20
-CACHED = 150_000  # different pieces that a Python worker keeps, some 30 MB
+CACHED = 100_000  # different pieces in either generation of a worker's cache, some 20 MB
 _TEXTS = 64  # texts taken out of a batch at once
 _PART = 1 << 20  # characters of a text encoded at once
 _FRAME = struct.Struct("<QI")
@@ -72,7 +74,7 @@ def unframe(data: bytes) -> bytes:
     return payload
 
 
-class Encoder:
+class Encoder(PieceEncoder):
     """Encodes texts with a tokenizer file that drops white space and works word by word.
 
     Texts of plain Latin letters, digits and signs are cut exactly where the tokenizer itself cuts, so
@@ -81,25 +83,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = Tokenizer(self.tokenizer.model)
-        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.known: dict[str, bytes] = {}  # pieces hold plain characters only, whole chunks one other at least
-
-    def _learn(self, new: list[str]) -> None:
-        plain = [p for p in new if _PLAIN.fullmatch(p)]
-        if plain:
-            found = self.model.encode(plain, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, self.kind).tobytes()
-            ends = (np.searchsorted(found.word_ids, np.arange(len(plain) + 1)) * self.width).tolist()
-            self.known.update(zip(plain, (ids[a:b] for a, b in zip(ends, ends[1:]))))
-        for chunk in new:
-            if chunk not in self.known:
-                self.known[chunk] = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
+        super().__init__(path, _PLAIN)
+        self.kind = np.dtype(f"<u{self.width}")
 
     def encode(self, texts: list[bytes], end: bytes) -> Iterator[bytes]:
         """The ids of every text followed by ``end``."""
@@ -108,15 +93,8 @@ class Encoder:
 
     def _encode_part(self, text: str) -> bytes:
         if _PLAIN.fullmatch(text):
-            pieces = _PIECE.findall(text.lower())
-        else:
-            pieces = [p for c in _CHUNK.findall(text) for p in (_PIECE.findall(c.lower()) if _PLAIN.fullmatch(c) else (c,))]
-        if len(self.known) > CACHED:
-            self.known.clear()
-        new = [p for p in set(pieces) if p not in self.known]
-        if new:
-            self._learn(new)
-        return b"".join(map(self.known.__getitem__, pieces))
+            return self.joined(_PIECE.findall(text.lower()), CACHED)
+        return self.joined([p for c in _CHUNK.findall(text) for p in (_PIECE.findall(c.lower()) if _PLAIN.fullmatch(c) else (c,))], CACHED)
 
 
 def _parts(text: str) -> Iterator[str]:
@@ -172,7 +150,9 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, *, key: str = "d
         if out is not None:
             out.close()
 
-    ordered = docs.select(docs[key], docs[text].alias("_text")).repartitionByRange(key, F.xxhash64("_text"), "_text").sortWithinPartitions(key, F.xxhash64("_text"), "_text")
+    # The bounds of the ranges pass the driver: they hold hashes of texts, not texts.
+    place = [F.col(key), F.xxhash64("_text")]
+    ordered = docs.select(docs[key], docs[text].alias("_text")).repartitionByRange(*place).sortWithinPartitions(*place, "_text")
     schema = f"`{key}` {kind}, part int, file string, offset bigint, length bigint, n_tokens bigint, before bigint"
     ordered.mapInArrow(write, schema).write.parquet(f"{folder}/index")
     return docs.sparkSession.read.parquet(f"{folder}/index")

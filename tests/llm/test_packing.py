@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shoreline.llm import packing
 from shoreline.llm.queries import BYTE_TOKENIZER, op12_packing
@@ -110,3 +111,27 @@ def test_encoder_is_exact(text, monkeypatch):
     encoder = packing.Encoder(BYTE_TOKENIZER)
     for _ in range(2):
         assert np.frombuffer(encoder.encode(text), "<u2").tolist() == Tokenizer.from_file(BYTE_TOKENIZER).encode(text, add_special_tokens=False).ids
+
+
+def test_token_records_of_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null and empty texts, clashing names, an empty table, reads in random order."""
+    from tokenizers import Tokenizer
+
+    from shoreline.llm import token_records
+    from shoreline.llm.queries import TOKENIZER
+
+    rows = [(2, "b text", "x", 1), (2, "a text", "x", 1), (2, "b text", "x", 1), (None, None, None, None), (None, "no id", "x", 1), (1, "", "x", 1), (3, None, "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _text string, offset int")
+    folder = f"file://{tmp_path}/odd"
+    index = token_records.write_records(docs, folder, TOKENIZER)
+    records = token_records.starts(token_records.read_records(index, folder), index).orderBy("start").collect()
+    library = Tokenizer.from_file(TOKENIZER)
+    want = collections.Counter((k, *library.encode(t or "", add_special_tokens=False).ids, 1) for k, t, *_ in rows)
+    assert collections.Counter((r["doc_id"], *r["ids"]) for r in records) == want
+    assert [r["doc_id"] for r in records] == [None, None, 1, 2, 2, 2, 3]
+    assert [r["start"] for r in records] == np.cumsum([0, *(r["n_tokens"] for r in records[:-1])]).tolist()
+    shuffled = index.orderBy(F.rand(3)).repartition(3)
+    again = token_records.read_records(shuffled, folder).collect()
+    assert collections.Counter((r["doc_id"], *r["ids"]) for r in again) == want
+    none = token_records.write_records(docs.where("doc_id < 0"), f"file://{tmp_path}/none", TOKENIZER)
+    assert none.count() == 0 and token_records.read_records(none, f"file://{tmp_path}/none").count() == 0

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoreline.config import DERIVED_FEATURE, MODEL_OUTPUT, NODE_KINDS, OUTPUT_NODE, RAW_INPUT
-from shoreline.plans.materialize import checkpointed
+from shoreline.plans.materialize import checkpointed, stored
 from shoreline.plans.scan import dense_index
 from shoreline.plans.sizing import BROADCAST_ROWS
 
@@ -22,9 +22,6 @@ _FILE_SCHEMA = (
 )
 
 
-_STEPS_PER_PLAN = 20
-
-
 class GraphError(ValueError):
     """The declared graph cannot be used."""
 
@@ -164,32 +161,137 @@ def descendants(closure: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return closure.select(*keys, F.col("ancestor").alias("node"), "descendant")
 
 
-def node_levels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Level of each node: length of the longest path from a root.
+def _chains(state: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``node, head, dist``: for every node with one parent and one child, the first node above it that is not one.
 
-    A node is reached once per distinct path length; its level is the last round that reached
-    it. Only the frontier moves between rounds.
+    Pointers are doubled, so a chain takes log2 of its length in rounds. Nodes of a closed ring of such nodes
+    have no head and are left out.
     """
     key = [*keys, "node"]
-    edges = checkpointed(edges.select(*keys, "parent", "child").distinct())
-    all_nodes = nodes.select(*key).distinct()
-    children = edges.select(*keys, F.col("child").alias("node")).distinct()
-    frontier = checkpointed(all_nodes.join(children, key, "left_anti"))
-    reached = frontier.withColumn("level", F.lit(0))
-    limit = all_nodes.count()
-    level, size = 0, frontier.count()
-    while size:
-        level += 1
-        if level > limit:
-            raise GraphError("the graph contains a cycle")
-        start = frontier.withColumnRenamed("node", "parent")
-        step = edges.join(
-            F.broadcast(start) if size <= BROADCAST_ROWS else start, [*keys, "parent"]
+    inner = state.filter(INNER).select(*key)
+    count = inner.count()
+    ahead = stored(edges.select(*keys, F.col("child").alias("node"), F.col("parent").alias("head")).join(inner, key, "left_semi").withColumn("dist", F.lit(1).cast("bigint")), "chains")
+    for _ in range(count.bit_length() + 1 if count else 0):
+        onward = ahead.select(*keys, F.col("node").alias("head"), F.col("head").alias("_head"), F.col("dist").alias("_dist"))
+        moved = ahead.join(onward, [*keys, "head"], "left")
+        ahead = stored(
+            moved.select(*key, F.coalesce("_head", "head").alias("head"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"), F.col("_head").isNotNull().alias("_moved")), "chains"
         )
-        frontier = checkpointed(step.select(*keys, F.col("child").alias("node")).distinct())
-        size = frontier.count()
-        reached = reached.unionByName(frontier.withColumn("level", F.lit(level)))
-    return reached.groupBy(*key).agg(F.max("level").alias("level"))
+        if ahead.filter("_moved").isEmpty():
+            return ahead.drop("_moved")
+        ahead = ahead.drop("_moved")
+    heads = inner.select(*keys, F.col("node").alias("head"))
+    return ahead.join(heads, [*keys, "head"], "left_anti").select(*key, "head", "dist")
+
+
+INNER = "n_parents = 1 AND n_children = 1"
+
+
+def peeled(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``node, level``: length of the longest path from a root; null on or behind a cycle.
+
+    Chains are first contracted to one edge of their length. Then nodes without open parents are taken off
+    round by round, and their children's counts of open parents lowered; a round reads what is
+    left. The rounds are the depth of the contracted graph, not of the graph.
+    """
+    key = [*keys, "node"]
+    pairs = stored(edges.select(*keys, "parent", "child").dropna().distinct(), "edges")
+    parents = pairs.groupBy(*keys, F.col("child").alias("node")).agg(F.count("*").alias("n_parents"))
+    children = pairs.groupBy(*keys, F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
+    every = nodes.select(*key).dropna().unionByName(_endpoints(pairs, keys)).distinct()
+    counted = every.join(parents, key, "left").join(children, key, "left").fillna(0, ["n_parents", "n_children"])
+    state = stored(counted, "degrees")
+    chains = stored(_chains(state, pairs, keys), "chains")
+    inner = state.filter(INNER).select(*keys, F.col("node").alias("child"))
+    below = chains.select(*keys, F.col("node").alias("parent"), "head", "dist")
+    short = (
+        pairs.join(inner, [*keys, "child"], "left_anti")
+        .join(below, [*keys, "parent"], "left")
+        .groupBy(*keys, F.coalesce("head", "parent").alias("parent"), "child")
+        .agg(F.max(F.coalesce("dist", F.lit(0)) + 1).alias("steps"))
+    )
+    short = stored(short, "contracted")
+    need = short.groupBy(*keys, F.col("child").alias("node")).agg(F.count("*").alias("need"))
+    left = state.filter(f"NOT ({INNER})").select(*key).join(need, key, "left").fillna(0, ["need"])
+    left = stored(left.withColumn("level", F.lit(0).cast("bigint")), "open")
+    done = None
+    while True:
+        ready = left.filter("need = 0").select(*key, "level")
+        size = ready.count()
+        done = ready if done is None else done.unionByName(ready)
+        if not size:
+            break
+        start = ready.select(*keys, F.col("node").alias("parent"), F.col("level").alias("_from"))
+        reached = (
+            short.join(F.broadcast(start) if size <= BROADCAST_ROWS else start, [*keys, "parent"])
+            .groupBy(*keys, F.col("child").alias("node"))
+            .agg(F.count("*").alias("_met"), F.max(F.col("_from") + F.col("steps")).alias("_level"))
+        )
+        lowered = left.filter("need > 0").join(reached, key, "left")
+        left = stored(
+            lowered.select(*key, (F.col("need") - F.coalesce("_met", F.lit(0))).alias("need"), F.greatest("level", F.coalesce("_level", F.lit(0))).alias("level")), "open"
+        )
+    tops = stored(done, "levels")
+    heads = tops.select(*keys, F.col("node").alias("head"), F.col("level").alias("_level"))
+    along = chains.join(heads, [*keys, "head"]).select(*key, (F.col("_level") + F.col("dist")).alias("level"))
+    return every.join(tops.unionByName(along), key, "left")
+
+
+def node_levels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Level of each node: length of the longest path from a root; a cycle is an error."""
+    found = stored(peeled(nodes, edges, keys), "levels")
+    if not found.filter("level IS NULL").isEmpty():
+        raise GraphError("the graph contains a cycle")
+    return found.withColumn("level", F.col("level").cast("int"))
+
+
+def _spread(marks: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The largest ``mark`` from which a node can be reached, itself included."""
+    key = [*keys, "node"]
+    while True:
+        onward = edges.join(marks.withColumnRenamed("node", "parent"), [*keys, "parent"])
+        arrived = onward.groupBy(*keys, F.col("child").alias("node")).agg(F.max("mark").alias("_mark"))
+        step = stored(marks.join(arrived, key, "left").select(*key, F.greatest("mark", "_mark").alias("mark"), (F.col("_mark") > F.col("mark")).alias("_grown")), "marks")
+        marks = step.drop("_grown")
+        if step.filter("_grown").isEmpty():
+            return marks
+
+
+def cyclic_nodes(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``node`` of every node that lies on a cycle.
+
+    What peeling leaves from above and from below is empty in a sound graph. In the rest every node takes the
+    largest name that reaches it; a node that keeps its own name and what reaches it under that name are
+    one strongly connected part. Parts are taken off until nothing is left.
+    """
+    key = [*keys, "node"]
+    found = nodes.select(*key).limit(0)
+    while True:
+        core = stored(peeled(nodes, edges, keys).filter("level IS NULL").select(*key), "behind")
+        if core.isEmpty():
+            return found
+        inside = _inside(edges, core, keys)
+        turned = inside.select(*keys, F.col("child").alias("parent"), F.col("parent").alias("child"))
+        core = stored(peeled(core, turned, keys).filter("level IS NULL").select(*key), "core")
+        inside = stored(_inside(inside, core, keys), "core-edges")
+        color = _spread(core.withColumn("mark", F.col("node")), inside, keys)
+        own = color.withColumnRenamed("mark", "_color")
+        ends = [own.select(*keys, F.col("node").alias(e), F.col("_color").alias(f"_{e}")) for e in ("parent", "child")]
+        same = inside.join(ends[0], [*keys, "parent"]).join(ends[1], [*keys, "child"]).filter("_parent = _child")
+        back = stored(same.select(*keys, F.col("child").alias("parent"), F.col("parent").alias("child")), "back")
+        reach = _spread(color.select(*key, F.when(F.col("mark") == F.col("node"), 1).otherwise(0).alias("mark")), back, keys)
+        parts = stored(reach.filter("mark = 1").select(*key).join(own, key), "parts")
+        rings = parts.groupBy(*keys, "_color").agg(F.count("*").alias("n")).filter("n > 1")
+        found = found.unionByName(parts.join(rings, [*keys, "_color"], "left_semi").select(*key))
+        nodes = stored(core.join(parts.select(*key), key, "left_anti"), "rest")
+        edges = _inside(inside, nodes, keys)
+
+
+def _inside(edges: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Edges between ``nodes``."""
+    for end in ("parent", "child"):
+        edges = edges.join(nodes.select(*keys, F.col("node").alias(end)), [*keys, end], "left_semi")
+    return edges
 
 
 def topological_order(levels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -234,55 +336,56 @@ def longest_chain(edges: DataFrame) -> DataFrame:
     """Longest root-to-leaf path over feature nodes as (step, node); ties by name.
 
     The height of each node is found first, so one successor per node is enough and paths are
-    never enumerated.
+    never enumerated. The successor tables of 1, 2, 4, ... steps are kept; a place on the path
+    follows from the start by the tables of its binary digits, all places at once.
     """
     edges = edges.filter((F.col("parent") != OUTPUT_NODE) & (F.col("child") != OUTPUT_NODE))
     reverse = edges.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
-    heights = checkpointed(node_levels(_endpoints(edges, ()), reverse))
+    heights = stored(node_levels(_endpoints(edges, ()), reverse), "heights")
     above = heights.select(F.col("node").alias("parent"), F.col("level").alias("height"))
     below = heights.select(F.col("node").alias("child"), F.col("level").alias("child_height"))
-    successor = checkpointed(
+    leap = stored(
         edges.select("parent", "child")
         .distinct()
         .join(above, "parent")
         .join(below, "child")
         .filter(F.col("child_height") == F.col("height") - 1)
         .groupBy("parent")
-        .agg(F.min("child").alias("node"))
+        .agg(F.min("child").alias("node")),
+        "leap-0",
     )
-    top = heights.orderBy(F.col("level").desc(), "node").limit(1).select(
-        F.array("node").alias("path"), "level"
-    )
-    path = checkpointed(top)
-    start = path.first()
-    for step in range(1, (start.level if start else 0) + 1):
-        # One row: the path so far.
-        end = path.select("path", F.element_at("path", -1).alias("parent"))
-        path = successor.join(F.broadcast(end), "parent").select(
-            F.array_append("path", F.col("node")).alias("path")
-        )
-        if step % _STEPS_PER_PLAN == 0:
-            path = checkpointed(path)
-    return path.select(F.posexplode("path").alias("step", "node"))
+    start = heights.orderBy(F.col("level").desc(), "node").limit(1).select("node", "level")
+    places = start.select(F.explode(F.sequence(F.lit(0), "level")).alias("step"), "node")
+    places = places.withColumn("step", F.col("step").cast("int"))
+    top = start.first()
+    for digit in range((top.level if top else 0).bit_length()):
+        if digit:
+            onward = leap.select(F.col("parent").alias("node"), F.col("node").alias("_next"))
+            leap = stored(leap.join(onward, "node").select("parent", F.col("_next").alias("node")), f"leap-{digit}")
+        ahead = leap.select(F.col("parent").alias("node"), F.col("node").alias("_next"))
+        set_bit = F.shiftright("step", digit).bitwiseAND(1) == 1
+        taken = places.filter(set_bit).join(ahead, "node").select("step", F.col("_next").alias("node"))
+        places = stored(places.filter(~set_bit).unionByName(taken), "places")
+    return places
 
 
 def validate_graph(
-    nodes: DataFrame, edges: DataFrame, features: DataFrame | None = None
+    nodes: DataFrame, edges: DataFrame, features: DataFrame | None = None, keys: Sequence[str] = ()
 ) -> DataFrame:
-    """Every violation as (rule, subject); an empty result means the graph is valid.
+    """Every violation as (keys, rule, subject); an empty result means all graphs are valid.
 
     ``nodes`` holds the declared nodes and their kinds. A missing or equal endpoint, a parent
     or feature nobody declared, an unknown kind, a cycle and a node without edges are reported.
     """
-    edges = edges.select("parent", "child").distinct()
+    edges = edges.select(*keys, "parent", "child").distinct()
     pair = F.concat_ws("->", F.coalesce("parent", F.lit("?")), F.coalesce("child", F.lit("?")))
     complete = edges.filter(F.col("parent").isNotNull() & F.col("child").isNotNull())
     proper = complete.filter(F.col("parent") != F.col("child"))
-    names = nodes.select("node").distinct()
-    used = _endpoints(proper, ())
+    names = nodes.select(*keys, "node").distinct()
+    used = _endpoints(proper, keys)
 
     def found(df: DataFrame, rule: str, subject) -> DataFrame:
-        return df.select(F.lit(rule).alias("rule"), subject.alias("subject"))
+        return df.select(*keys, F.lit(rule).alias("rule"), subject.alias("subject"))
 
     rules = [
         found(
@@ -290,26 +393,26 @@ def validate_graph(
         ),
         found(complete.filter(F.col("parent") == F.col("child")), "self_edge", F.col("parent")),
         found(
-            edges.agg(F.count("*").alias("n")).filter(F.col("n") == 0), "no_edges", F.lit("graph")
+            names.select(*keys).distinct().join(edges.select(*keys).distinct(), list(keys), "left_anti")
+            if keys
+            else edges.agg(F.count("*").alias("n")).filter(F.col("n") == 0),
+            "no_edges",
+            F.lit("graph"),
         ),
         found(nodes.filter(~F.col("kind").isin(*NODE_KINDS)), "invalid_kind", F.col("node")),
         found(
-            proper.join(names.withColumnRenamed("node", "parent"), "parent", "left_anti"),
+            proper.join(names.withColumnRenamed("node", "parent"), [*keys, "parent"], "left_anti"),
             "undefined_parent",
             pair,
         ),
-        found(names.join(used, "node", "left_anti"), "orphan", F.col("node")),
-        found(
-            transitive_closure(proper).filter(F.col("ancestor") == F.col("descendant")),
-            "cycle",
-            F.col("ancestor"),
-        ),
+        found(names.join(used, [*keys, "node"], "left_anti"), "orphan", F.col("node")),
+        found(cyclic_nodes(names, stored(proper, "proper"), keys), "cycle", F.col("node")),
     ]
     if features is not None:
         rules.append(
             found(
                 used.filter(F.col("node") != OUTPUT_NODE).join(
-                    features.select("node"), "node", "left_anti"
+                    features.select(*keys, "node"), [*keys, "node"], "left_anti"
                 ),
                 "unknown_feature",
                 F.col("node"),

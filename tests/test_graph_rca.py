@@ -142,3 +142,66 @@ def test_severity_order(spark):
     closure = G.transitive_closure(edges(spark, ("a", "prediction"), ("b", "prediction"), ("c", "prediction")))
     ranked = R.root_severity(R.rca_roots(verdicts(spark, "abc"), closure))
     assert [r.node for r in ranked.orderBy("rank").collect()] == ["b", "c", "a"]
+
+
+def cyclic(pairs_of):
+    """Nodes that reach themselves."""
+    out = {}
+    for a, b in pairs_of:
+        out.setdefault(a, set()).add(b)
+    found = set()
+    for start in out:
+        seen, todo = set(), [start]
+        while todo:
+            for n in out.get(todo.pop(), ()):
+                if n not in seen:
+                    seen.add(n)
+                    todo.append(n)
+        if start in seen:
+            found.add(start)
+    return found
+
+
+def test_levels_and_cycles_of_many_graphs_in_one_call(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for g in range(6):
+        # Graphs 0-2 have no cycle; the others have several, chains between them and closed rings.
+        n = 9
+        for _ in range(14):
+            a, b = rng.sample(range(n), 2)
+            rows.append((f"g{g}", f"n{min(a, b)}", f"n{max(a, b)}") if g < 3 else (f"g{g}", f"n{a}", f"n{b}"))
+    rows += [("ring", f"r{i}", f"r{(i + 1) % 7}") for i in range(7)]
+    rows += [("two", a, b) for a, b in ["ab", "ba", "bc", "cd", "de", "ef", "fe", "fg"]]
+    table = spark.createDataFrame(rows, "model_id string, parent string, child string")
+    ends = G._endpoints(table, ["model_id"])
+    found = {(r.model_id, r.node): r.level for r in G.peeled(ends, table, ["model_id"]).collect()}
+    on_cycle = {tuple(r) for r in G.cyclic_nodes(ends, table, ["model_id"]).collect()}
+    graphs = {g: [(a, b) for k, a, b in rows if k == g] for g, _, _ in rows}
+    for g, edges_of in graphs.items():
+        bad = cyclic(edges_of)
+        assert {n for k, n in on_cycle if k == g} == bad
+        behind = set(bad)
+        while grown := {b for a, b in edges_of if a in behind} - behind:
+            behind |= grown
+        level = {}
+
+        def height(n):
+            return level.setdefault(n, max((height(a) + 1 for a, b in edges_of if b == n), default=0))
+
+        for n in {x for e in edges_of for x in e}:
+            assert found[g, n] == (None if n in behind else height(n))
+    rules = {(r.model_id, r.subject) for r in G.validate_graph(ends.withColumn("kind", F.lit("raw_input")), table, keys=["model_id"]).collect() if r.rule == "cycle"}
+    assert rules == on_cycle
+
+
+def test_chain_of_a_thousand_nodes(spark):
+    chain = spark.range(1000).select(F.format_string("n%04d", "id").alias("parent"), F.format_string("n%04d", F.col("id") + 1).alias("child"))
+    g = G.graph_from_edges(chain)
+    assert G.validate_graph(g.nodes, g.edges).isEmpty()
+    levels = {r.node: r.level for r in G.node_levels(g.nodes, g.edges).collect()}
+    assert levels["prediction"] == 1001 and all(levels[f"n{i:04d}"] == i for i in range(1001))
+    path = G.longest_chain(g.edges).orderBy("step").collect()
+    assert [(r.step, r.node) for r in path] == [(i, f"n{i:04d}") for i in range(1001)]

@@ -258,13 +258,17 @@ def psi_categorical(
 def load_thresholds(
     nodes: DataFrame, overrides: DataFrame | None = None, config: DriftConfig = DEFAULTS
 ) -> DataFrame:
-    """Nodes with their thresholds: the override where one is set, otherwise the default."""
+    """Nodes with their thresholds: the override where one is set, otherwise the default.
+
+    Overrides with a ``model_id`` hold for that model alone, others for the node of every model.
+    """
     fields = ("ks_pvalue", "psi_warning", "psi_drift")
     defaults = {f: F.lit(float(getattr(config, f))) for f in fields}
     base = nodes.select(*NODE, "kind", "baseline_n")
     if overrides is None:
         return base.select("*", *[c.alias(f) for f, c in defaults.items()])
-    return base.join(broadcast_if_small(overrides), "node", "left").select(
+    on = [c for c in NODE if c in overrides.columns]
+    return base.join(broadcast_if_small(overrides), on, "left").select(
         *base.columns, *[F.coalesce(F.col(f), c).alias(f) for f, c in defaults.items()]
     )
 
@@ -347,9 +351,13 @@ def drift_from_frame(
 
 
 def drifted_nodes(node_drift: DataFrame, positions: DataFrame) -> DataFrame:
-    """Drifted nodes per window as an array in baseline order (bounded by the model's nodes)."""
+    """Drifted nodes per window as an array in baseline order (bounded by the model's nodes).
+
+    ``positions`` has node and pos, and model_id where models differ.
+    """
+    on = [c for c in NODE if c in positions.columns]
     hits = node_drift.filter(F.col("verdict") == DRIFT).join(
-        broadcast_if_small(positions.select("node", "pos")), "node"
+        broadcast_if_small(positions.select(*on, "pos")), on
     )
     ordered = F.array_sort(F.collect_list(F.struct("pos", "node")))
     return hits.groupBy("model_id", "window_id").agg(

@@ -413,11 +413,14 @@ def build_baseline(
     row_key: Column,
     config: DriftConfig = DEFAULTS,
     output_categories: DataFrame | None = None,
+    output_values: DataFrame | None = None,
 ) -> Baseline:
     """Baseline tables from reference rows with model_id and the feature ``columns``.
 
     All reference rows count unless ``config.baseline_cap`` is set; then the numeric columns
-    are read twice (hash classes, then the sample). The text columns are read once. ``output_categories`` (see :func:`output_baseline`) adds a classifier's output node.
+    are read twice (hash classes, then the sample). The text columns are read once. ``output_categories`` (see :func:`output_baseline`) adds the
+    output node of classifiers, ``output_values`` (see :func:`output_baseline_values`) that of regressors; a model
+    belongs to one of the two. The output node is never sampled.
     """
     key = ["model_id", "node"]
     numbers, texts = split_columns(reference, columns)
@@ -429,16 +432,19 @@ def build_baseline(
     categories = stored(shares_of, "baseline-categories")
     if config.baseline_cap is None:
         numeric = collect_batch_features(reference, ["model_id"], numbers)
-        values = stored(reference_sample(numeric, ["model_id"], None), "baseline-values")
-        counts = values.groupBy(*key).agg(F.count("*").alias("n"))
+        kept = reference_sample(numeric, ["model_id"], None).select(*key, "value")
+        counts = None
     else:
         hashed = with_row_hash(reference, row_key)
         numeric = collect_batch_features(hashed, ["model_id", "row_hash", "row_key"], numbers)
         classes = stored(hash_classes(numeric, ["model_id"]), "classes")
-        values = stored(
-            reference_sample(numeric, ["model_id"], config.baseline_cap, classes), "baseline-values"
-        )
+        kept = reference_sample(numeric, ["model_id"], config.baseline_cap, classes).select(*key, "value")
         counts = classes.groupBy(*key).agg(F.sum("n").alias("n"))
+    if output_values is not None:
+        kept = kept.unionByName(output_values.select(*key, "value"))
+    values = stored(kept, "baseline-values")
+    held = values.groupBy(*key).agg(F.count("*").alias("n"))
+    counts = held if counts is None else counts.unionByName(held.filter(F.col("node") == OUTPUT_NODE))
     edges = stored(quantile_edges(values, config.psi_bins), "edges")
     # A handful of bins per node, in bin order.
     in_order = F.array_sort(F.collect_list(F.struct("bin", "baseline_prop")))

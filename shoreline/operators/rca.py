@@ -1,7 +1,8 @@
 """Root causes and symptoms among drifted features.
 
 Inputs: ``node_drift`` (model_id, window_id, node, verdict, psi, p_value, ...), the closure of
-the declared graph and its topological order. The model output is never a cause or a symptom.
+the declared graph and its topological order. Where these have a ``model_id``, every model has a graph of its
+own, and nodes of equal names in other graphs don't count. The model output is never a cause or a symptom.
 """
 
 from __future__ import annotations
@@ -23,6 +24,11 @@ from shoreline.plans.sizing import broadcast_if_small
 WINDOW = ("model_id", "window_id")
 
 
+def _by_model(table: DataFrame) -> list[str]:
+    """``model_id`` where the table holds the graphs of several models."""
+    return ["model_id"] if "model_id" in table.columns else []
+
+
 def _drifted(node_drift: DataFrame) -> DataFrame:
     return node_drift.filter((F.col("verdict") == DRIFT) & (F.col("node") != OUTPUT_NODE))
 
@@ -30,8 +36,9 @@ def _drifted(node_drift: DataFrame) -> DataFrame:
 def _drifted_above(node_drift: DataFrame, closure: DataFrame) -> DataFrame:
     """(window, node) pairs with a drifted ancestor at any distance."""
     drifted = _drifted(node_drift).select(*WINDOW, "node")
-    upward = closure.select(F.col("descendant").alias("node"), "ancestor")
-    candidates = drifted.join(broadcast_if_small(upward), "node")
+    model = _by_model(closure)
+    upward = closure.select(*model, F.col("descendant").alias("node"), "ancestor")
+    candidates = drifted.join(broadcast_if_small(upward), [*model, "node"])
     above = drifted.withColumnRenamed("node", "ancestor")
     return candidates.join(above, [*WINDOW, "ancestor"], "left_semi").select(*WINDOW, "node").distinct()
 
@@ -66,14 +73,15 @@ def symptom_paths(
     node_drift: DataFrame, roots: DataFrame, closure: DataFrame, order: DataFrame
 ) -> DataFrame:
     """Per root the drifted descendants in topological order (empty array if none)."""
-    downward = closure.select(F.col("ancestor").alias("node"), F.col("descendant").alias("below"))
+    model, placed = _by_model(closure), _by_model(order)
+    downward = closure.select(*model, F.col("ancestor").alias("node"), F.col("descendant").alias("below"))
     drifted = _drifted(node_drift).select(*WINDOW, F.col("node").alias("below"))
-    places = order.select(F.col("node").alias("below"), "level")
+    places = order.select(*placed, F.col("node").alias("below"), "level")
     hits = (
         roots.select(*WINDOW, "node")
-        .join(broadcast_if_small(downward), "node")
+        .join(broadcast_if_small(downward), [*model, "node"])
         .join(drifted, [*WINDOW, "below"])
-        .join(broadcast_if_small(places), "below")
+        .join(broadcast_if_small(places), [*placed, "below"])
     )
     ordered = F.array_sort(F.collect_list(F.struct("level", "below")))
     paths = hits.groupBy(*WINDOW, "node").agg(

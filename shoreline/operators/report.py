@@ -11,6 +11,7 @@ from shoreline.config import DEFAULTS, OUTPUT_NODE
 from shoreline.operators import rca, sequences
 from shoreline.operators.windows import window_bounds
 from shoreline.plans.materialize import stored
+from shoreline.plans.sizing import broadcast_if_small
 
 WINDOW = ("model_id", "window_id")
 _ALERTS = "array<struct<incident_id: string, root_cause: string, symptom_path: array<string>>>"
@@ -176,91 +177,105 @@ def monitoring_report(
     order: DataFrame,
     alerts: DataFrame,
     *,
+    edges: DataFrame | None = None,
+    windows: DataFrame | None = None,
+    baseline_version: str | None = None,
     dataset_version: str | None = None,
     code_commit: str | None = None,
 ) -> DataFrame:
     """Report row and Markdown text per window.
 
-    ``alerts`` has model_id, window_id, incident_id, root_cause (the emitted ones). Lists are
-    bounded by the nodes of a model.
+    ``alerts`` has model_id, window_id, incident_id, root_cause (the emitted ones), ``edges`` the
+    declared graph, ``windows`` model_id, window_id and ended_at. Lists are bounded by the nodes of a model.
+    Report ids follow from model, window and baseline, so a repeated batch gives the same ones.
     """
     classified = rca.classify_nodes(node_drift, closure)
     ranked = stored(rca.root_severity(rca.rca_roots(node_drift, closure)), "roots")
     paths = rca.symptom_paths(node_drift, ranked, closure, order)
-    dash = F.lit("-")
-    line = F.concat(
-        F.lit("| "),
-        F.concat_ws(
-            " | ",
-            F.col("node"),
-            F.col("classification"),
-            F.coalesce("ks_verdict", dash),
-            F.coalesce("psi_verdict", dash),
-        ),
-        F.lit(" |"),
+    tests = F.concat_ws(
+        ", ",
+        F.concat(F.lit("distribution test "), F.col("ks_verdict")),
+        F.concat(F.lit("stability index "), F.col("psi_verdict")),
     )
+    line = F.concat(F.lit("* "), F.col("node"), F.lit(": "), F.col("classification"), F.lit(" ("), tests, F.lit(")"))
     lines = lambda c: F.array_join(F.transform(F.array_sort(c), lambda s: s["line"]), "\n")
+    names_where = lambda condition: F.array_sort(F.collect_list(F.when(condition, F.col("node"))))
+    result = F.struct("verdict", "statistic", "p_value", "psi", "current_n", "baseline_n")
     nodes = classified.groupBy(*WINDOW).agg(
         lines(F.collect_list(F.struct("node", line.alias("line")))).alias("node_lines"),
-        F.array_sort(
-            F.collect_list(F.when(F.col("classification") == "SYMPTOM", F.col("node")))
-        ).alias("symptoms"),
+        F.count("*").alias("node_count"),
+        names_where(F.col("verdict") == "DRIFT").alias("drifted_nodes"),
+        names_where(F.col("classification") == "SYMPTOM").alias("symptoms"),
         F.map_from_entries(
             F.array_sort(F.collect_list(F.struct("node", "classification")))
         ).alias("classifications"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("node", result.alias("result"))))).alias("drift"),
     )
+    follows = F.when(
+        F.size("symptom_path") > 0, F.concat(F.lit(", then "), F.array_join("symptom_path", ", "))
+    ).otherwise("")
     cause = F.concat(
-        F.lit("- **ROOT CAUSE**: `"), F.col("node"), F.lit("` (severity "),
-        F.format_string("%.4f", F.col("severity")), F.lit(")\n  - symptom path: `"),
-        F.array_join(F.concat(F.array("node"), F.col("symptom_path")), " -> "), F.lit("`"),
-    )
-    causes = (
-        ranked.join(paths, [*WINDOW, "node"])
-        .groupBy(*WINDOW)
-        .agg(lines(F.collect_list(F.struct("rank", cause.alias("line")))).alias("cause_lines"))
+        F.col("rank").cast("string"), F.lit(". "), F.col("node"), F.lit(" at "),
+        F.format_string("%.3f", F.col("severity")), follows,
     )
-    alert = F.concat(
-        F.lit("- `"), F.col("incident_id"), F.lit("` root_cause=`"), F.col("root_cause"), F.lit("`")
+    found = ranked.join(paths, [*WINDOW, "node"])
+    causes = found.groupBy(*WINDOW).agg(
+        lines(F.collect_list(F.struct("rank", cause.alias("line")))).alias("cause_lines"),
+        F.array_sort(F.collect_list(F.struct("rank", "node", "severity", "symptom_path"))).alias("root_causes"),
     )
+    alert = F.concat(F.lit("* "), F.col("root_cause"), F.lit(" as "), F.col("incident_id"))
     alert_lines = alerts.groupBy(*WINDOW).agg(
         lines(F.collect_list(F.struct("root_cause", alert.alias("line")))).alias("alert_lines"),
         F.count("*").alias("alert_count"),
+        F.min_by("incident_id", "root_cause").alias("incident_id"),
     )
-    window_name = F.concat(F.lit("w"), F.col("window_id").cast("string"))
-    symptom_line = F.when(
-        F.size("symptoms") > 0,
-        F.concat(F.lit("- Symptoms (evidence only): "), F.array_join("symptoms", ", ")),
-    )
+    model = [c for c in ("model_id",) if c in order.columns]
+    placed = order.groupBy(*model).agg(F.array_sort(F.collect_list(F.struct("level", "node"))).alias("_n"))
+    graph = placed.select(*model, F.transform("_n", lambda n: n["node"]).alias("graph_nodes"))
+    if not model:  # one graph for all models: a table of one row
+        model, graph = ["_one"], graph.withColumn("_one", F.lit(1))
+    if edges is not None:
+        pairs = edges if model == ["model_id"] else edges.withColumn("_one", F.lit(1))
+        pairs = pairs.groupBy(*model).agg(F.array_sort(F.collect_list(F.array("parent", "child"))).alias("graph_edges"))
+        graph = graph.join(pairs, model, "left")
+    graph = broadcast_if_small(stored(graph, "graphs"))
+    rows = nodes.join(causes, list(WINDOW), "left").join(alert_lines, list(WINDOW), "left")
+    rows = rows.withColumn("_one", F.lit(1)).join(graph, model, "left")
+    if windows is not None:
+        rows = rows.join(windows.select(*WINDOW, "ended_at"), list(WINDOW), "left")
+    versions = {"baseline": baseline_version, "data": dataset_version, "code": code_commit}
     text = F.concat_ws(
         "\n",
-        F.concat(F.lit("# Monitoring Report "), F.col("model_id"), F.lit(" "), window_name),
-        F.lit(""),
-        F.concat(F.lit("- Window: `"), window_name, F.lit("`")),
-        F.concat(F.lit("- Model version: `"), F.col("model_id"), F.lit("`")),
-        F.lit(f"- Dataset version: `{dataset_version or 'n/a'}`"),
-        F.lit(f"- Code commit: `{code_commit or 'n/a'}`"),
-        F.lit("\n## Node classifications\n"),
-        F.lit("| Node | Classification | KS verdict | PSI verdict |\n| --- | --- | --- | --- |"),
+        F.concat(F.lit("# "), F.col("model_id"), F.lit(", window "), F.col("window_id").cast("string")),
+        F.lit(", ".join(f"{k} {v}" for k, v in versions.items() if v is not None) or "no versions given"),
+        F.concat(F.size("drifted_nodes").cast("string"), F.lit(" of "), F.col("node_count").cast("string"), F.lit(" nodes drift.")),
+        F.lit("\n## Nodes"),
         F.col("node_lines"),
-        F.lit("\n## Root-cause analysis\n"),
-        F.coalesce("cause_lines", F.lit("- No root cause detected; no root-cause alert emitted.")),
-        symptom_line,
-        F.lit("\n## Alerts\n"),
-        F.coalesce("alert_lines", F.lit("- None.")),
+        F.lit("\n## Where it starts"),
+        F.coalesce("cause_lines", F.lit("No feature starts a drift in this window.")),
+        F.when(F.size("symptoms") > 0, F.concat(F.lit("Carried on by: "), F.array_join("symptoms", ", "))),
+        F.lit("\n## Alerts sent"),
+        F.coalesce("alert_lines", F.lit("nothing")),
     )
-    return (
-        nodes.join(causes, list(WINDOW), "left")
-        .join(alert_lines, list(WINDOW), "left")
-        .select(
-            *WINDOW,
-            F.lit(dataset_version).cast("string").alias("dataset_version"),
-            F.lit(code_commit).cast("string").alias("code_commit"),
-            "classifications",
-            "symptoms",
-            F.col("cause_lines").isNotNull().alias("has_root_cause"),
-            F.coalesce("alert_count", F.lit(0)).alias("alert_count"),
-            text.alias("markdown"),
-        )
+    version = lambda v: F.lit(v).cast("string")
+    return rows.select(
+        F.concat(F.lit("rpt-"), F.substring(F.sha1(F.concat_ws(":", "model_id", "window_id", version(baseline_version))), 1, 12)).alias("report_id"),
+        *WINDOW,
+        "incident_id",
+        *(["ended_at"] if windows is not None else []),
+        version(baseline_version).alias("baseline_version"),
+        version(dataset_version).alias("dataset_version"),
+        version(code_commit).alias("code_commit"),
+        "classifications",
+        "drift",
+        "drifted_nodes",
+        "symptoms",
+        F.col("cause_lines").isNotNull().alias("has_root_cause"),
+        "root_causes",
+        F.coalesce("alert_count", F.lit(0)).alias("alert_count"),
+        "graph_nodes",
+        *(["graph_edges"] if edges is not None else []),
+        text.alias("markdown"),
     )
 
 
@@ -332,21 +347,40 @@ def monitoring_counters(
     )
 
 
-def session_status(events: DataFrame, results: DataFrame, size: int) -> DataFrame:
-    """Events received, windows evaluated, fill of the open window, latest window per model."""
-    received = events.groupBy("model_id").agg(F.count("*").alias("events_received"))
+def session_status(
+    events: DataFrame, results: DataFrame, size: int, incidents: DataFrame | None = None,
+    *, session_id: str | None = None, source: str | None = None,
+) -> DataFrame:
+    """Events received, windows evaluated, fill of the open window, latest window per model.
+
+    ``incidents`` (see ``incident_summary``) adds the open one. ``model_version`` is that of the
+    newest event where events have one.
+    """
+    newest = F.max_by("model_version", "ts") if {"model_version", "ts"} <= set(events.columns) else F.lit(None).cast("string")
+    received = events.groupBy("model_id").agg(F.count("*").alias("events_received"), newest.alias("model_version"))
     latest = results.groupBy("model_id").agg(
         F.count("*").alias("windows_evaluated"),
         F.max("window_id").alias("latest_window"),
         F.max_by("status", "window_id").alias("latest_status"),
     )
-    return received.join(latest, "model_id", "left").select(
+    rows = received.join(latest, "model_id", "left")
+    if incidents is None:
+        rows = rows.withColumn("open_incident", F.lit(None).cast("string"))
+    else:
+        # One incident of a model is open at a time.
+        live = incidents.filter(F.col("status") == "OPEN").select("model_id", F.col("incident_id").alias("open_incident"))
+        rows = rows.join(live, "model_id", "left")
+    return rows.select(
         "model_id",
+        "model_version",
+        F.lit(session_id).cast("string").alias("session_id"),
+        F.lit(source).cast("string").alias("source"),
         "events_received",
         (F.col("events_received") % size).alias("current_window_count"),
         F.coalesce("windows_evaluated", F.lit(0)).alias("windows_evaluated"),
         "latest_window",
         "latest_status",
+        "open_incident",
     )
 
 
@@ -359,20 +393,38 @@ def drift_trend(node_drift: DataFrame) -> DataFrame:
     )
 
 
-def kpi_summary(node_drift: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Overall state per model: Stable, Drift (cause known) or Warning (no cause)."""
-    drifted = node_drift.groupBy("model_id").agg(
+def kpi_summary(
+    node_drift: DataFrame, ranked: DataFrame, alerts: DataFrame | None = None, models: DataFrame | None = None
+) -> DataFrame:
+    """Overall state per model by its newest window.
+
+    Stable, Drift (cause known), Warning (no cause), or Unknown for those of ``models`` without a window.
+    ``alerts`` (model_id, window_id) counts those of the newest window.
+    """
+    newest = node_drift.groupBy("model_id").agg(F.max("window_id").alias("window_id"))
+    newest = broadcast_if_small(stored(newest, "newest"))
+    drifted = node_drift.join(newest, list(WINDOW)).groupBy(*WINDOW).agg(
         F.count_if(F.col("verdict") == "DRIFT").alias("drifted_count")
     )
-    causes = ranked.groupBy("model_id").agg(
+    causes = ranked.join(newest, list(WINDOW)).groupBy(*WINDOW).agg(
         # The first name among equal severities, as in root_severity.
         F.min_by("node", F.struct(-F.col("severity"), "node")).alias("root_cause")
     )
-    return drifted.join(causes, "model_id", "left").select(
+    rows = drifted.join(causes, list(WINDOW), "left")
+    if alerts is not None:
+        rows = rows.join(alerts.groupBy(*WINDOW).agg(F.count("*").alias("active_alerts")), list(WINDOW), "left")
+    else:
+        rows = rows.withColumn("active_alerts", F.lit(0).cast("bigint"))
+    if models is not None:
+        rows = models.select("model_id").distinct().join(rows, "model_id", "left")
+    return rows.select(
         "model_id",
-        "drifted_count",
+        "window_id",
+        F.coalesce("drifted_count", F.lit(0)).alias("drifted_count"),
         "root_cause",
-        F.when(F.col("drifted_count") == 0, "Stable")
+        F.coalesce("active_alerts", F.lit(0)).alias("active_alerts"),
+        F.when(F.col("window_id").isNull(), "Unknown")
+        .when(F.col("drifted_count") == 0, "Stable")
         .when(F.col("root_cause").isNotNull(), "Drift")
         .otherwise("Warning")
         .alias("drift_status"),

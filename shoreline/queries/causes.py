@@ -212,3 +212,43 @@ def primary_root(spark: SparkSession, sf: str) -> DataFrame:
         "model_id", "window_id", "root_cause", r6("severity").alias("severity"),
         F.array_join("symptom_path", ">").alias("path"),
     )
+
+
+_KEYED = f"""{I.ND}, mm AS (SELECT DISTINCT model_id FROM pe),
+  ke AS (SELECT model_id, CASE WHEN model_id < 'm' THEN a ELSE b END AS parent, CASE WHEN model_id < 'm' THEN b ELSE a END AS child
+    FROM mm, (VALUES {", ".join(f"('{a}', '{b}')" for a, b in I.EDGES)}) AS e(a, b)),
+  kc AS (SELECT model_id, parent AS ancestor, child AS descendant FROM ke
+    UNION SELECT c.model_id, c.ancestor, e.child FROM kc c JOIN ke e ON e.model_id = c.model_id AND e.parent = c.descendant),
+  kw AS (SELECT DISTINCT model_id, parent AS node, 0 AS level FROM ke WHERE (model_id, parent) NOT IN (SELECT (model_id, child) FROM ke)
+    UNION SELECT e.model_id, e.child, w.level + 1 FROM kw w JOIN ke e ON e.model_id = w.model_id AND e.parent = w.node),
+  kl AS (SELECT model_id, node, max(level) AS level FROM kw GROUP BY 1, 2),
+  kd AS (SELECT * FROM nd WHERE verdict = 'DRIFT' AND node <> 'prediction'),
+  ks2 AS (SELECT DISTINCT d.model_id, d.window_id, d.node FROM kd d JOIN kc c ON c.model_id = d.model_id AND c.descendant = d.node
+    JOIN kd a ON a.model_id = d.model_id AND a.window_id = d.window_id AND a.node = c.ancestor),
+  kr AS (SELECT *, row_number() OVER (PARTITION BY model_id, window_id ORDER BY coalesce(psi, 1 - p_value, 0) DESC, node) AS rank FROM kd
+    WHERE (model_id, window_id, node) NOT IN (SELECT (model_id, window_id, node) FROM ks2))"""
+
+
+@query(I.with_(_KEYED) + """SELECT r.model_id, r.window_id, r.node, r.rank, coalesce(string_agg(d.node, '>' ORDER BY l.level, d.node), '') AS path
+  FROM kr r LEFT JOIN kc c ON c.model_id = r.model_id AND c.ancestor = r.node
+  LEFT JOIN kd d ON d.model_id = r.model_id AND d.window_id = r.window_id AND d.node = c.descendant
+  LEFT JOIN kl l ON l.model_id = d.model_id AND l.node = d.node GROUP BY ALL""")
+def rca_by_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Models of equal feature names with graphs of their own: the edges point the other way in some."""
+    models = I.table(spark, sf, "events").select(F.col("event_type").alias("model_id")).distinct()
+    first = F.col("model_id") < "m"
+    ways = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in I.EDGES])
+    edges = models.select("model_id", F.explode(ways).alias("e")).select(
+        "model_id",
+        F.when(first, F.col("e.a")).otherwise(F.col("e.b")).alias("parent"),
+        F.when(first, F.col("e.b")).otherwise(F.col("e.a")).alias("child"),
+    )
+    key = ["model_id"]
+    graph = G.graph_from_edges(edges, key)
+    closure = G.transitive_closure(graph.edges, key)
+    drift = I.node_drift(spark, sf)
+    ranked = R.root_severity(R.rca_roots(drift, closure))
+    paths = R.symptom_paths(drift, ranked, closure, G.node_levels(graph.nodes, graph.edges, key))
+    return ranked.join(paths, ["model_id", "window_id", "node"]).select(
+        "model_id", "window_id", "node", "rank", F.array_join("symptom_path", ">").alias("path")
+    )

@@ -231,3 +231,20 @@ def drifted_nodes(spark: SparkSession, sf: str) -> DataFrame:
     positions = spark.sql(f"SELECT * FROM VALUES {names} AS p(node, pos)")
     found = D.drifted_nodes(I.node_drift(spark, sf), positions)
     return found.select("model_id", "window_id", F.array_join("drifted_nodes", ",").alias("nodes"))
+
+
+@query(I.with_(I.ND) + f"SELECT {_ND_COLUMNS.replace('node,', chr(39) + 'prediction' + chr(39) + ' AS node,', 1)} FROM nd WHERE node = 'score'")
+def output_drift_regressor(spark: SparkSession, sf: str) -> DataFrame:
+    """The score as the output of a regressor: one continuous output node beside the features."""
+    as_output = lambda df, ids: P.output_node_values(
+        df.select(*ids, "prediction", F.col("score").alias("output")), ids, F.lit(False)
+    )
+    ref = I.reference(spark, sf).select("model_id", "event_id", "value", "prediction", F.col("score").alias("output"))
+    base = P.build_baseline(ref, ["value"], F.col("event_id"), I.CONFIG, output_values=P.output_baseline_values(ref))
+    events, ids = I.windowed(spark, sf), ["model_id", "window_id"]
+    numbers = P.collect_batch_features(events, ids, ["value"]).unionByName(
+        as_output(events, ids).select(*ids, "node", F.col("num").alias("value"))
+    )
+    none = P.collect_batch_categories(events, ids, [])
+    found = D.detect_drift(numbers, none, events.select(*ids).distinct(), base, I.CONFIG, p_method="asymptotic")
+    return _rounded(found.filter(F.col("node") == "prediction"))

@@ -93,12 +93,46 @@ def _alert_rows(spark: SparkSession, sf: str) -> DataFrame:
     return S.root_cause_alerts(I.roots(spark, sf), I.paths(spark, sf), times)
 
 
-@query()
+_ALERTS = """wt AS (SELECT model_id, window_id, CAST(floor(epoch(max(ts))) AS BIGINT) AS ts FROM win GROUP BY 1, 2),
+al AS (SELECT 'inc-' || substr(sha1(node || ':' || model_id || ':' || window_id), 1, 12) AS incident_id, node AS root_cause,
+    model_id, window_id, path, severity, ts FROM roots JOIN paths USING (model_id, window_id, node) JOIN wt USING (model_id, window_id))"""
+
+
+@query(I.with_(I.RCA, _ALERTS) + """, cl AS (SELECT n.*, CASE WHEN n.verdict = 'DRIFT' AND node <> 'prediction' THEN CASE WHEN s.hit THEN 'SYMPTOM' ELSE 'ROOT_CAUSE' END
+      WHEN n.verdict IN ('WARNING', 'INSUFFICIENT_DATA') THEN n.verdict ELSE 'STABLE' END AS class
+    FROM nd n LEFT JOIN (SELECT *, true AS hit FROM sym) s USING (model_id, window_id, node)),
+  nl AS (SELECT model_id, window_id, count(*) AS n, count(*) FILTER (WHERE verdict = 'DRIFT') AS d,
+      string_agg(node, ',' ORDER BY node) FILTER (WHERE verdict = 'DRIFT') AS drifted, string_agg(node, ', ' ORDER BY node) FILTER (WHERE class = 'SYMPTOM') AS symptoms,
+      string_agg(node || '=' || verdict || '/' || class, ',' ORDER BY node) AS verdicts,
+      string_agg('* ' || node || ': ' || class || ' (' || concat_ws(', ', 'distribution test ' || ks_verdict, 'stability index ' || psi_verdict) || ')', chr(10) ORDER BY node) AS lines FROM cl GROUP BY 1, 2),
+  rl AS (SELECT model_id, window_id, string_agg(node, ',' ORDER BY rank) AS roots,
+      string_agg(rank || '. ' || node || ' at ' || printf('%.3f', severity) || CASE WHEN path <> '' THEN ', then ' || replace(path, '>', ', ') ELSE '' END, chr(10) ORDER BY rank) AS lines
+    FROM roots JOIN paths USING (model_id, window_id, node) GROUP BY 1, 2),
+  ll AS (SELECT model_id, window_id, count(*) AS n, first(incident_id ORDER BY root_cause) AS incident_id, string_agg('* ' || root_cause || ' as ' || incident_id, chr(10) ORDER BY root_cause) AS lines FROM al GROUP BY 1, 2)
+  SELECT 'rpt-' || substr(sha1(model_id || ':' || window_id || ':b1'), 1, 12) AS report_id, model_id, window_id, incident_id, strftime(to_timestamp(wt.ts) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS ended_at,
+    'b1' AS baseline_version, 'v1' AS dataset_version, CAST(NULL AS VARCHAR) AS code_commit, verdicts, drifted, symptoms, rl.roots IS NOT NULL AS has_root_cause, rl.roots AS root_causes,
+    coalesce(ll.n, 0) AS alert_count, (SELECT string_agg(node, ',' ORDER BY level, node) FROM lev) AS graph_nodes, (SELECT string_agg(parent || '>' || child, ',' ORDER BY parent, child) FROM dedge) AS graph_edges,
+    concat_ws(chr(10), '# ' || model_id || ', window ' || window_id, 'baseline b1, data v1', d || ' of ' || nl.n || ' nodes drift.', chr(10) || '## Nodes', nl.lines, chr(10) || '## Where it starts',
+      coalesce(rl.lines, 'No feature starts a drift in this window.'), 'Carried on by: ' || symptoms, chr(10) || '## Alerts sent', coalesce(ll.lines, 'nothing')) AS markdown
+  FROM nl JOIN wt USING (model_id, window_id) LEFT JOIN rl USING (model_id, window_id) LEFT JOIN ll USING (model_id, window_id)""")
 def monitoring_report(spark: SparkSession, sf: str) -> DataFrame:
-    alerts = _alert_rows(spark, sf)
-    return R.monitoring_report(
-        I.node_drift(spark, sf), I.declared_closure(spark), I.declared_levels(spark), alerts,
-        dataset_version="v1",
+    ends = I.windowed(spark, sf).groupBy(*WINDOW).agg(F.max("ts").alias("ended_at"))
+    found = R.monitoring_report(
+        I.node_drift(spark, sf), I.declared_closure(spark), I.declared_levels(spark), _alert_rows(spark, sf),
+        edges=I.declared_graph(spark).edges, windows=ends, baseline_version="b1", dataset_version="v1",
+    )
+    text = lambda c, by=",": F.nullif(F.array_join(c, by), F.lit(""))
+    verdicts = F.transform(
+        F.array_sort(F.map_entries("drift")),
+        lambda e: F.concat(e["key"], F.lit("="), e["value"]["verdict"], F.lit("/"), F.element_at("classifications", e["key"])),
+    )
+    return found.select(
+        "report_id", *WINDOW, "incident_id", F.date_format("ended_at", "yyyy-MM-dd HH:mm:ss").alias("ended_at"),
+        "baseline_version", "dataset_version", "code_commit", text(verdicts).alias("verdicts"),
+        text("drifted_nodes").alias("drifted"), text("symptoms", ", ").alias("symptoms"), "has_root_cause",
+        text(F.transform("root_causes", lambda r: r["node"])).alias("root_causes"), "alert_count",
+        text("graph_nodes").alias("graph_nodes"),
+        text(F.transform("graph_edges", lambda e: F.array_join(e, ">"))).alias("graph_edges"), "markdown",
     )
 
 
@@ -122,10 +156,6 @@ def window_history(spark: SparkSession, sf: str) -> DataFrame:
     return R.window_history(results, 5, "click")
 
 
-_ALERTS = """wt AS (SELECT model_id, window_id, CAST(floor(epoch(max(ts))) AS BIGINT) AS ts FROM win GROUP BY 1, 2),
-al AS (SELECT 'inc-' || substr(sha1(node || ':' || model_id || ':' || window_id), 1, 12) AS incident_id, node AS root_cause,
-    model_id, window_id, path, severity, ts FROM roots JOIN paths USING (model_id, window_id, node) JOIN wt USING (model_id, window_id))"""
-
 # Sequential rule written out: walk the alerts of a key in time order.
 _COOLED = """ord AS (SELECT *, row_number() OVER (PARTITION BY root_cause, model_id ORDER BY ts, window_id) AS i FROM al),
 cool AS (SELECT root_cause, model_id, i, ts AS last, true AS emitted FROM ord WHERE i = 1
@@ -155,10 +185,8 @@ def suppressed_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return S.suppressed_alerts(S.alert_cooldown(alerts, COOLDOWN))
 
 
-# Flags that open and close incidents: hours of events of a user, drifted when the mean is high.
-_FLAGS = """fl AS (SELECT CAST(user_id AS VARCHAR) AS model_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS window_id,
-    value >= 40 AS drifted, CASE WHEN value >= 60 THEN event_type END AS root_cause FROM events),
-sm AS (SELECT model_id, window_id, drifted, CASE WHEN drifted THEN 1 ELSE 0 END AS cd, CASE WHEN drifted THEN 0 ELSE 1 END AS cs,
+# Incidents of the flags fl(model_id, window_id, drifted).
+_LIFE = """sm AS (SELECT model_id, window_id, drifted, CASE WHEN drifted THEN 1 ELSE 0 END AS cd, CASE WHEN drifted THEN 0 ELSE 1 END AS cs,
     false AS op, 0 AS seq, CAST(NULL AS VARCHAR) AS transition FROM fl WHERE window_id = 0
   UNION ALL SELECT f.model_id, f.window_id, f.drifted, CASE WHEN f.drifted THEN s.cd + 1 ELSE 0 END, CASE WHEN f.drifted THEN 0 ELSE s.cs + 1 END,
     CASE WHEN NOT s.op AND f.drifted AND s.cd + 1 >= 2 THEN true WHEN s.op AND NOT f.drifted AND s.cs + 1 >= 3 THEN false ELSE s.op END,
@@ -166,6 +194,11 @@ sm AS (SELECT model_id, window_id, drifted, CASE WHEN drifted THEN 1 ELSE 0 END
     CASE WHEN NOT s.op AND f.drifted AND s.cd + 1 >= 2 THEN 'OPENED' WHEN s.op AND NOT f.drifted AND s.cs + 1 >= 3 THEN 'CLOSED' END
   FROM sm s JOIN fl f ON f.model_id = s.model_id AND f.window_id = s.window_id + 1)"""
 
+# Flags that open and close incidents: hours of events of a user, drifted when the mean is high.
+_FLAGS = f"""fl AS (SELECT CAST(user_id AS VARCHAR) AS model_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS window_id,
+    value >= 40 AS drifted, CASE WHEN value >= 60 THEN event_type END AS root_cause FROM events),
+{_LIFE}"""
+
 
 def _flags(spark: SparkSession, sf: str) -> DataFrame:
     """Each user's events as a sequence of windows, flagged where the value is high."""
@@ -238,12 +271,17 @@ def monitoring_counters(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(I.with_(I.ND, _STATUS) + """SELECT model_id, n AS events_received, n % 100 AS current_window_count, w AS windows_evaluated, latest_window, latest_status
+@query(I.with_(I.ND, _STATUS, "fl AS (SELECT model_id, window_id, any_drift AS drifted FROM stat)", _LIFE) + """SELECT model_id, CAST(NULL AS VARCHAR) AS model_version, 's1' AS session_id, 'replay' AS source,
+    n AS events_received, n % 100 AS current_window_count, w AS windows_evaluated, latest_window, latest_status, CASE WHEN op THEN printf('live-inc-%04d', seq) END AS open_incident
   FROM (SELECT model_id, count(*) AS n FROM cur GROUP BY 1) JOIN (SELECT model_id, count(*) AS w, max(window_id) AS latest_window,
-    arg_max(status, window_id) AS latest_status FROM stat GROUP BY 1) USING (model_id)""")
+    arg_max(status, window_id) AS latest_status FROM stat GROUP BY 1) USING (model_id) JOIN (SELECT model_id, window_id AS latest_window, op, seq FROM sm) USING (model_id, latest_window)""")
 def session_status(spark: SparkSession, sf: str) -> DataFrame:
+    status = S.window_status(I.node_drift(spark, sf))
+    states = S.incident_lifecycle(status.select(*WINDOW, F.col("any_drift").alias("drifted"))).select(
+        "*", F.lit(None).cast("string").alias("root_cause"), F.array().cast("array<string>").alias("symptom_path")
+    )
     return R.session_status(
-        I.current(spark, sf), S.window_status(I.node_drift(spark, sf)), I.SIZE
+        I.current(spark, sf), status, I.SIZE, S.incident_summary(states), session_id="s1", source="replay"
     )
 
 
@@ -253,8 +291,14 @@ def drift_trend(spark: SparkSession, sf: str) -> DataFrame:
     return R.drift_trend(I.node_drift(spark, sf)).withColumn("max_psi", r6("max_psi"))
 
 
-@query(I.with_(I.RCA) + """SELECT model_id, drifted_count, root_cause, CASE WHEN drifted_count = 0 THEN 'Stable' WHEN root_cause IS NOT NULL THEN 'Drift' ELSE 'Warning' END AS drift_status
-  FROM (SELECT model_id, count(*) FILTER (WHERE verdict = 'DRIFT') AS drifted_count FROM nd GROUP BY 1)
-  LEFT JOIN (SELECT model_id, first(node ORDER BY severity DESC, node) AS root_cause FROM roots GROUP BY 1) USING (model_id)""")
+@query(I.with_(I.RCA, _ALERTS) + """, newest AS (SELECT model_id, max(window_id) AS window_id FROM nd GROUP BY 1),
+  models AS (SELECT DISTINCT event_type AS model_id FROM events UNION SELECT 'retired')
+  SELECT model_id, window_id, coalesce(drifted_count, 0) AS drifted_count, root_cause, coalesce(active_alerts, 0) AS active_alerts,
+    CASE WHEN window_id IS NULL THEN 'Unknown' WHEN drifted_count = 0 THEN 'Stable' WHEN root_cause IS NOT NULL THEN 'Drift' ELSE 'Warning' END AS drift_status
+  FROM models LEFT JOIN (SELECT model_id, window_id, count(*) FILTER (WHERE verdict = 'DRIFT') AS drifted_count FROM nd JOIN newest USING (model_id, window_id) GROUP BY 1, 2) USING (model_id)
+  LEFT JOIN (SELECT model_id, window_id, first(node ORDER BY severity DESC, node) AS root_cause FROM roots GROUP BY 1, 2) USING (model_id, window_id)
+  LEFT JOIN (SELECT model_id, window_id, count(*) AS active_alerts FROM al GROUP BY 1, 2) USING (model_id, window_id)""")
 def kpi_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return R.kpi_summary(I.node_drift(spark, sf), I.roots(spark, sf))
+    models = I.table(spark, sf, "events").select(F.col("event_type").alias("model_id")).union(spark.sql("SELECT 'retired'"))
+    return R.kpi_summary(I.node_drift(spark, sf), I.roots(spark, sf), _alert_rows(spark, sf), models)
+

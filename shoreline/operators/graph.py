@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoreline.config import DERIVED_FEATURE, MODEL_OUTPUT, NODE_KINDS, OUTPUT_NODE, RAW_INPUT
-from shoreline.plans.materialize import checkpointed, stored
+from shoreline.plans.materialize import stored
 from shoreline.plans.scan import dense_index
 from shoreline.plans.sizing import BROADCAST_ROWS
 
@@ -127,19 +127,67 @@ def load_graph(spark: SparkSession, path: str, features: DataFrame | None = None
     return _accepted(graph_from_edges(ends), features)
 
 
+WORD = 64  # nodes per word of a set
+_BIT = "shiftleft(1L, CAST({0} % 64 AS INT))"
+
+
+def _bits(rows: DataFrame, owner: Sequence[str], member: str) -> DataFrame:
+    """Sets of ``member`` numbers by owner: one word of bits for every 64 numbers that occur."""
+    words = rows.select(*owner, F.expr(f"{member} div {WORD}").alias("bucket"), F.expr(_BIT.format(member)).alias("word"))
+    return words.groupBy(*owner, "bucket").agg(F.bit_or("word").alias("word"))
+
+
+def ancestor_sets(nodes: DataFrame, edges: DataFrame, numbers: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``node, bucket, word``: the ancestors of every node of an acyclic graph as words of bits.
+
+    ``numbers`` (node, number) gives the places of the bits. A set is complete once all parents are, so it
+    is passed on to the children once, round by round; a node with very many parents receives words, added up
+    by bit before they move. A node inside a contracted chain adds the part of the chain above it to the set of the
+    chain's head. A cycle is an error.
+    """
+    found = _peel(nodes, edges, keys)
+    below = found.chains.join(found.tops.select(*keys, F.col("node").alias("head")), [*keys, "head"], "left_semi")
+    levelled = found.tops.select(*keys, "node").unionByName(below.select(*keys, "node"))
+    if not found.every.join(levelled, [*keys, "node"], "left_anti").isEmpty():
+        raise GraphError("the graph contains a cycle")
+    key = [*keys, "node"]
+    named = lambda c: numbers.select(*keys, F.col("node").alias(c), F.col("number").alias(f"_{c}"))
+    place = found.tops.select(*keys, F.col("node").alias("child"), F.col("round").alias("_round"))
+    # What comes by an edge itself: the parent, or the head and the nodes of the chain between.
+    ends = found.pairs.join(found.chains.select(*keys, F.col("node").alias("parent"), "head", "top"), [*keys, "parent"]).join(place, [*keys, "child"])
+    between = ends.select(*keys, "child", "head", "top").join(found.chains, [*keys, "head", "top"]).select(*keys, "child", "node")
+    given = found.short.select(*keys, "child", F.col("parent").alias("node")).unionByName(between)
+    own = _bits(given.join(numbers, key).join(place, [*keys, "child"]), [*keys, "child", "_round"], "number")
+    arrived, sets = stored(own, "arrived-0"), []
+    for r in range(1, found.rounds):
+        ready = arrived.filter(F.col("_round") == r).groupBy(*keys, "child", "bucket").agg(F.bit_or("word").alias("word"))
+        ready = stored(ready.withColumnRenamed("child", "node"), f"sets-{r}")
+        sets.append(ready)
+        onward = found.short.join(place, [*keys, "child"]).join(ready.withColumnRenamed("node", "parent"), [*keys, "parent"])
+        onward = onward.groupBy(*keys, "child", "_round", "bucket").agg(F.bit_or("word").alias("word"))
+        arrived = arrived.unionByName(stored(onward, f"arrived-{r}"))
+    whole = own.drop("_round").withColumnRenamed("child", "node").limit(0)
+    for part in sets:
+        whole = whole.unionByName(part)
+    chains = found.chains
+    above = chains.select(*keys, "head", "top", F.col("node").alias("_above"), F.col("dist").alias("_dist"))
+    prefix = chains.join(above, [*keys, "head", "top"]).filter("_dist < dist").select(*key, F.col("_above").alias("_up"))
+    prefix = prefix.unionByName(chains.select(*key, F.col("head").alias("_up")))
+    inside = _bits(prefix.join(named("_up"), [*keys, "_up"]), key, "__up")
+    inside = inside.unionByName(chains.select(*key, "head").join(whole.withColumnRenamed("node", "head"), [*keys, "head"]).select(*key, "bucket", "word"))
+    return whole.unionByName(inside.groupBy(*key, "bucket").agg(F.bit_or("word").alias("word")))
+
+
 def transitive_closure(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """All (ancestor, descendant) pairs.
+    """All (ancestor, descendant) pairs, of graphs with cycles too.
 
     Each round extends the pairs found in the last round by every known pair. A shortest path of
     twice the length starts with a pair that was new in the last round, so the length covered
-    doubles and a graph of depth d needs about log2(d) rounds. Ends on cyclic graphs too.
+    doubles and a graph of depth d needs about log2(d) rounds. Where pairs need not be written out,
+    :func:`ancestor_sets` holds the same as words of bits.
     """
     pair = [*keys, "ancestor", "descendant"]
-    known = checkpointed(
-        edges.select(
-            *keys, F.col("parent").alias("ancestor"), F.col("child").alias("descendant")
-        ).distinct()
-    )
+    known = stored(edges.select(*keys, F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).dropna().distinct(), "closure")
     fresh, count = known, known.count()
     while count:
         start = fresh.select(*keys, "ancestor", F.col("descendant").alias("via"))
@@ -147,12 +195,20 @@ def transitive_closure(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         longer = rest.join(
             F.broadcast(start) if count <= BROADCAST_ROWS else start, [*keys, "via"]
         )
-        fresh = checkpointed(longer.select(*pair).distinct().join(known, pair, "left_anti"))
+        fresh = stored(longer.select(*pair).distinct().join(known, pair, "left_anti"), "closure")
         count = fresh.count()
         known = known.unionByName(fresh)
     return known
 
 
+def pairs_of_sets(sets: DataFrame, numbers: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The (ancestor, descendant) pairs of :func:`ancestor_sets`."""
+    bits = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda b: F.getbit("word", b) == 1)
+    pairs = sets.select(*keys, F.col("node").alias("descendant"), "bucket", F.explode(bits).alias("bit"))
+    pairs = pairs.select(*keys, "descendant", (F.col("bucket") * WORD + F.col("bit")).alias("number"))
+    return pairs.join(numbers.withColumnRenamed("node", "ancestor"), [*keys, "number"]).select(*keys, "ancestor", "descendant")
+
+
 def ancestors(closure: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return closure.select(*keys, F.col("descendant").alias("node"), "ancestor")
 
@@ -161,66 +217,78 @@ def descendants(closure: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return closure.select(*keys, F.col("ancestor").alias("node"), "descendant")
 
 
-def _chains(state: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``node, head, dist``: for every node with one parent and one child, the first node above it that is not one.
+def _chains(inner: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``node, head, dist, top``: for every inner node (of one parent and one child) the first node above it that
+    is not inner, and the first node of its chain.
 
-    Pointers are doubled, so a chain takes log2 of its length in rounds. Nodes of a closed ring of such nodes
-    have no head and are left out.
+    Pointers are doubled, so a chain takes log2 of its length in rounds. Nodes of a closed ring of inner
+    nodes have no head and are left out.
     """
     key = [*keys, "node"]
-    inner = state.filter(INNER).select(*key)
     count = inner.count()
-    ahead = stored(edges.select(*keys, F.col("child").alias("node"), F.col("parent").alias("head")).join(inner, key, "left_semi").withColumn("dist", F.lit(1).cast("bigint")), "chains")
+    above = pairs.select(*keys, F.col("child").alias("node"), F.col("parent").alias("head")).join(inner, key, "left_semi")
+    ahead = stored(above.select(*key, "head", F.lit(1).cast("bigint").alias("dist"), F.col("node").alias("top")), "chains")
     for _ in range(count.bit_length() + 1 if count else 0):
-        onward = ahead.select(*keys, F.col("node").alias("head"), F.col("head").alias("_head"), F.col("dist").alias("_dist"))
+        onward = ahead.select(*keys, F.col("node").alias("head"), F.col("head").alias("_head"), F.col("dist").alias("_dist"), F.col("top").alias("_top"))
         moved = ahead.join(onward, [*keys, "head"], "left")
         ahead = stored(
-            moved.select(*key, F.coalesce("_head", "head").alias("head"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"), F.col("_head").isNotNull().alias("_moved")), "chains"
+            moved.select(*key, F.coalesce("_head", "head").alias("head"), (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"), F.coalesce("_top", "top").alias("top"), F.col("_head").isNotNull().alias("_moved")), "chains"
         )
         if ahead.filter("_moved").isEmpty():
             return ahead.drop("_moved")
         ahead = ahead.drop("_moved")
     heads = inner.select(*keys, F.col("node").alias("head"))
-    return ahead.join(heads, [*keys, "head"], "left_anti").select(*key, "head", "dist")
+    return ahead.join(heads, [*keys, "head"], "left_anti").select(*key, "head", "dist", "top")
 
 
 INNER = "n_parents = 1 AND n_children = 1"
+PLAIN_ROUNDS = 12  # before chains are contracted
+
+
+@dataclass(frozen=True)
+class _Peeled:
+    every: DataFrame  # node
+    pairs: DataFrame  # parent, child: all edges
+    chains: DataFrame  # node, head, dist, top: inner nodes of chains
+    short: DataFrame  # parent, child, steps: edges of the contracted graph
+    tops: DataFrame  # node, level, round: its nodes
+    rounds: int
 
 
 def peeled(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """``node, level``: length of the longest path from a root; null on or behind a cycle.
+    """``node, level``: length of the longest path from a root; null on or behind a cycle."""
+    found = _peel(nodes, edges, keys)
+    heads = found.tops.select(*keys, F.col("node").alias("head"), F.col("level").alias("_level"))
+    along = found.chains.join(heads, [*keys, "head"]).select(*keys, "node", (F.col("_level") + F.col("dist")).alias("level"))
+    return found.every.join(found.tops.drop("round").unionByName(along), [*keys, "node"], "left")
+
 
-    Chains are first contracted to one edge of their length. Then nodes without open parents are taken off
-    round by round, and their children's counts of open parents lowered; a round reads what is
-    left. The rounds are the depth of the contracted graph, not of the graph.
+def _peel(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> _Peeled:
+    """Levels by taking off nodes without open parents.
+
+    Round by round the children's counts of open parents are lowered; a round reads the nodes that are left.
+    What is left after ``PLAIN_ROUNDS`` is deep: its chains are contracted to one edge of their length first, so
+    that the rounds are the depth of the contracted graph.
     """
     key = [*keys, "node"]
     pairs = stored(edges.select(*keys, "parent", "child").dropna().distinct(), "edges")
-    parents = pairs.groupBy(*keys, F.col("child").alias("node")).agg(F.count("*").alias("n_parents"))
-    children = pairs.groupBy(*keys, F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
-    every = nodes.select(*key).dropna().unionByName(_endpoints(pairs, keys)).distinct()
-    counted = every.join(parents, key, "left").join(children, key, "left").fillna(0, ["n_parents", "n_children"])
-    state = stored(counted, "degrees")
-    chains = stored(_chains(state, pairs, keys), "chains")
-    inner = state.filter(INNER).select(*keys, F.col("node").alias("child"))
-    below = chains.select(*keys, F.col("node").alias("parent"), "head", "dist")
-    short = (
-        pairs.join(inner, [*keys, "child"], "left_anti")
-        .join(below, [*keys, "parent"], "left")
-        .groupBy(*keys, F.coalesce("head", "parent").alias("parent"), "child")
-        .agg(F.max(F.coalesce("dist", F.lit(0)) + 1).alias("steps"))
-    )
-    short = stored(short, "contracted")
-    need = short.groupBy(*keys, F.col("child").alias("node")).agg(F.count("*").alias("need"))
-    left = state.filter(f"NOT ({INNER})").select(*key).join(need, key, "left").fillna(0, ["need"])
-    left = stored(left.withColumn("level", F.lit(0).cast("bigint")), "open")
-    done = None
+    ends = F.explode(F.array(F.struct(F.col("parent").alias("node"), F.lit(0).alias("p"), F.lit(1).alias("c")), F.struct(F.col("child").alias("node"), F.lit(1).alias("p"), F.lit(0).alias("c"))))
+    each = pairs.select(*keys, ends.alias("_e")).select(*keys, "_e.*").unionByName(nodes.select(*key, F.lit(0).alias("p"), F.lit(0).alias("c")).dropna())
+    state = stored(each.groupBy(*key).agg(F.sum("p").alias("n_parents"), F.sum("c").alias("n_children")), "degrees")
+    short, chains = pairs.withColumn("steps", F.lit(1).cast("bigint")), None
+    left = state.select(*key, F.col("n_parents").alias("need"), F.lit(0).cast("bigint").alias("level"))
+    done, rounds = None, 0
     while True:
-        ready = left.filter("need = 0").select(*key, "level")
+        if rounds == PLAIN_ROUNDS:
+            left, short, chains = _contracted(left, state, pairs, keys)
+        ready = left.filter("need = 0").select(*key, "level", F.lit(rounds).alias("round"))
         size = ready.count()
         done = ready if done is None else done.unionByName(ready)
-        if not size:
+        if not size and (chains is not None or left.filter("need > 0").isEmpty()):
             break
+        rounds = rounds + 1 if size else PLAIN_ROUNDS
+        if not size:
+            continue
         start = ready.select(*keys, F.col("node").alias("parent"), F.col("level").alias("_from"))
         reached = (
             short.join(F.broadcast(start) if size <= BROADCAST_ROWS else start, [*keys, "parent"])
@@ -231,10 +299,29 @@ def peeled(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> Data
         left = stored(
             lowered.select(*key, (F.col("need") - F.coalesce("_met", F.lit(0))).alias("need"), F.greatest("level", F.coalesce("_level", F.lit(0))).alias("level")), "open"
         )
-    tops = stored(done, "levels")
-    heads = tops.select(*keys, F.col("node").alias("head"), F.col("level").alias("_level"))
-    along = chains.join(heads, [*keys, "head"]).select(*key, (F.col("_level") + F.col("dist")).alias("level"))
-    return every.join(tops.unionByName(along), key, "left")
+    if chains is None:
+        chains = state.select(*key, F.col("node").alias("head"), F.col("n_parents").alias("dist"), F.col("node").alias("top")).limit(0)
+    return _Peeled(state.select(*key), pairs, chains, short, stored(done, "levels"), rounds)
+
+
+def _contracted(left: DataFrame, state: DataFrame, pairs: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The nodes left that are not inside a chain, all edges with those of a chain as one, and the chains."""
+    key = [*keys, "node"]
+    inner = stored(left.filter("need > 0").join(state.filter(INNER), key, "left_semi").select(*key), "inner")
+    chains = stored(_chains(inner, pairs, keys), "chains")
+    below = chains.select(*keys, F.col("node").alias("parent"), "head", "dist")
+    short = (
+        pairs.join(inner.withColumnRenamed("node", "child"), [*keys, "child"], "left_anti")
+        .join(below, [*keys, "parent"], "left")
+        .groupBy(*keys, F.coalesce("head", "parent").alias("parent"), "child")
+        .agg(F.max(F.coalesce("dist", F.lit(0)) + 1).alias("steps"))
+    )
+    short = stored(short, "contracted")
+    rest = stored(left.join(inner, key, "left_anti"), "open")
+    waiting = short.join(left.select(*keys, F.col("node").alias("parent")), [*keys, "parent"], "left_semi")
+    need = waiting.groupBy(*keys, F.col("child").alias("node")).agg(F.count("*").alias("_need"))
+    left = rest.join(need, key, "left").select(*key, F.coalesce("_need", F.lit(0)).alias("need"), "level")
+    return stored(left, "open"), short, chains
 
 
 def node_levels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

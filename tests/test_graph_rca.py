@@ -162,7 +162,7 @@ def cyclic(pairs_of):
     return found
 
 
-def test_levels_and_cycles_of_many_graphs_in_one_call(spark):
+def test_levels_and_cycles_of_many_graphs_in_one_call(spark, monkeypatch):
     import random
 
     rng = random.Random(3)
@@ -176,6 +176,7 @@ def test_levels_and_cycles_of_many_graphs_in_one_call(spark):
     rows += [("ring", f"r{i}", f"r{(i + 1) % 7}") for i in range(7)]
     rows += [("two", a, b) for a, b in ["ab", "ba", "bc", "cd", "de", "ef", "fe", "fg"]]
     table = spark.createDataFrame(rows, "model_id string, parent string, child string")
+    monkeypatch.setattr(G, "PLAIN_ROUNDS", 2)
     ends = G._endpoints(table, ["model_id"])
     found = {(r.model_id, r.node): r.level for r in G.peeled(ends, table, ["model_id"]).collect()}
     on_cycle = {tuple(r) for r in G.cyclic_nodes(ends, table, ["model_id"]).collect()}
@@ -197,7 +198,8 @@ def test_levels_and_cycles_of_many_graphs_in_one_call(spark):
     assert rules == on_cycle
 
 
-def test_chain_of_a_thousand_nodes(spark):
+def test_chain_of_a_thousand_nodes(spark, monkeypatch):
+    monkeypatch.setattr(G, "PLAIN_ROUNDS", 2)
     chain = spark.range(1000).select(F.format_string("n%04d", "id").alias("parent"), F.format_string("n%04d", F.col("id") + 1).alias("child"))
     g = G.graph_from_edges(chain)
     assert G.validate_graph(g.nodes, g.edges).isEmpty()
@@ -205,3 +207,34 @@ def test_chain_of_a_thousand_nodes(spark):
     assert levels["prediction"] == 1001 and all(levels[f"n{i:04d}"] == i for i in range(1001))
     path = G.longest_chain(g.edges).orderBy("step").collect()
     assert [(r.step, r.node) for r in path] == [(i, f"n{i:04d}") for i in range(1001)]
+
+
+def test_ancestor_sets_of_random_graphs(spark, monkeypatch):
+    """Wide nodes, chains between branches and many graphs in one call, against plain search."""
+    import random
+
+    rng = random.Random(5)
+    rows = set()
+    for g in range(2):
+        for b in range(1, 20):
+            for a in rng.sample(range(b), min(b, rng.choice([0, 1, 1, 1, 1, 2]))):
+                rows.add((f"g{g}", f"n{a:03d}", f"n{b:03d}"))
+    rows |= {("wide", f"w{i}", "sink") for i in range(300)} | {("wide", "sink", "end")}
+    table = spark.createDataFrame(sorted(rows), "model_id string, parent string, child string")
+    up = {}
+    for g, a, b in rows:
+        up.setdefault((g, b), set()).add(a)
+
+    def above(g, n, seen):
+        for a in up.get((g, n), ()):
+            if a not in seen:
+                seen.add(a)
+                above(g, a, seen)
+        return seen
+
+    want = {(g, a, n) for g, n in up for a in above(g, n, set())}
+    monkeypatch.setattr(G, "PLAIN_ROUNDS", 2)
+    ends = G._endpoints(table, ["model_id"])
+    numbers = G.dense_index(ends, ["model_id"], ["node"], "number")
+    found = G.pairs_of_sets(G.ancestor_sets(ends, table, numbers, ["model_id"]), numbers, ["model_id"]).collect()
+    assert {tuple(r) for r in found} == want and len(found) == len(want)

@@ -75,9 +75,10 @@ def mix_sources(
         docs[source].alias("_source"),
         word_count(docs[text]).alias("size"),
         F.md5(F.coalesce(docs[key].cast("string"), F.lit("")).cast("binary")).alias("_shuffled"),
+        F.xxhash64(docs[text]).alias("_tie"),  # rows that repeat an id, or have none
         *[docs[k].alias(f"_keep_{k}") for k in keep],
     )
-    placed = dense_index(sized.withColumn("_group", F.coalesce("_source", F.lit(""))).withColumn("_null", F.col("_source").isNull()), ["_null", "_group"], ["size", "_shuffled"], "_place")
+    placed = dense_index(sized.withColumn("_group", F.coalesce("_source", F.lit(""))).withColumn("_null", F.col("_source").isNull()), ["_null", "_group"], ["size", "_shuffled", "_tie"], "_place")
     targets = source_targets(placed.select("_source", "size"), weights=weights, most=most)
     # One row per source; Catalyst and AQE choose the join.
     joined = placed.join(targets.withColumnRenamed("_source", "_name"), F.col("_source").eqNullSafe(F.col("_name")))

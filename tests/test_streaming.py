@@ -15,7 +15,7 @@ from shoreline.sources import history as H
 from shoreline.sources import tables as T
 from shoreline.streaming.live import LiveIncidents, LiveMonitor, LiveWindows, time_window_stream
 
-FEATURES = ["inflow", "pressure", "heat", "level"]
+FEATURES = ["inflow", "pressure", "warmth", "level"]
 
 
 def frame(n, seed, shift=0.0):
@@ -24,7 +24,7 @@ def frame(n, seed, shift=0.0):
         {
             "inflow": rng.normal(41 + 4.5 * shift, 3.7, n),
             "pressure": rng.normal(-2.5 + 0.8 * shift, 0.7, n),
-            "heat": rng.normal(310 + 13 * shift, 9, n),
+            "warmth": rng.normal(310 + 13 * shift, 9, n),
             "level": rng.uniform(0, 0.6, n),
         }
     )
@@ -83,7 +83,7 @@ def test_stable_drift_recover(spark, tmp_path, with_graph):
     ref = spark.createDataFrame(frame(500, 1).assign(model_id="m", row=range(500)))
     base = P.build_baseline(ref, FEATURES, F.col("row"), config)
     if with_graph:
-        g = G.graph_from_edges(spark.createDataFrame([("inflow", "pressure"), ("pressure", "heat")], "parent string, child string"))
+        g = G.graph_from_edges(spark.createDataFrame([("inflow", "pressure"), ("pressure", "warmth")], "parent string, child string"))
     else:
         g = G.trivial_graph(spark.createDataFrame([(f,) for f in FEATURES], "node string"))
     closure, levels = G.transitive_closure(g.edges), G.node_levels(g.nodes, g.edges)
@@ -106,10 +106,10 @@ def test_stable_drift_recover(spark, tmp_path, with_graph):
     assert [r.window_id for r in found] == list(range(10))
     assert [r.status == "DRIFT" for r in found] == [False, False, True, True, True] + [False] * 5
     for r in found[2:5]:
-        assert set(r.drifted_features) == {"inflow", "pressure", "heat"}
+        assert set(r.drifted_features) == {"inflow", "pressure", "warmth"}
         if with_graph:
-            assert r.root_cause_candidates == ["inflow"] and r.primary_symptom_path == ["pressure", "heat"]
-            assert r.symptoms == ["pressure", "heat"]
+            assert r.root_cause_candidates == ["inflow"] and r.primary_symptom_path == ["pressure", "warmth"]
+            assert r.symptoms == ["pressure", "warmth"]
         else:
             assert len(r.root_cause_candidates) == 3 and r.symptoms == [] and r.alerts is None
     assert [r.incident_status for r in found] == [None] * 3 + ["OPEN"] * 4 + [None] * 3

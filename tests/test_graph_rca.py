@@ -238,3 +238,40 @@ def test_ancestor_sets_of_random_graphs(spark, monkeypatch):
     numbers = G.dense_index(ends, ["model_id"], ["node"], "number")
     found = G.pairs_of_sets(G.ancestor_sets(ends, table, numbers, ["model_id"]), numbers, ["model_id"]).collect()
     assert {tuple(r) for r in found} == want and len(found) == len(want)
+
+
+def test_built_graph_is_compared_once(spark):
+    """Repeated and incomplete edges in, none twice out; users of the built graph compare nothing again."""
+    given = edges(spark, ("a", "b"), ("a", "b"), ("b", "c")).union(
+        spark.createDataFrame([(None, "c"), (None, "c")], "parent string, child string")
+    )
+    g = G.graph_from_edges(given)
+    plan = g.edges._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+    ends = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    assert ends(g.edges) == ends(spark.createDataFrame(
+        [("a", "b"), ("b", "c"), (None, "c"), ("c", "prediction"), (None, "prediction")], "parent string, child string"
+    ))
+    assert {(r.node, r.kind) for r in g.nodes.collect()} == {
+        ("a", "raw_input"), (None, "raw_input"), ("b", "derived_feature"), ("c", "derived_feature"), ("prediction", "model_output")
+    }
+    near = G.graph_neighbors(g.edges, unique=True)
+    assert "Aggregate" not in near._jdf.queryExecution().executedPlan().toString()
+    assert ends(near) == ends(G.graph_neighbors(g.edges))
+
+
+def test_peeling_reads_only_edges_still_ahead(spark, monkeypatch):
+    """Dropping used edges, or joining large tables without broadcasts, changes no level."""
+    wide = [(f"a{i}", f"b{i % 7}") for i in range(60)] + [(f"b{i}", f"c{j}") for i in range(7) for j in range(9)]
+    wide += [(f"c{i}", "d0") for i in range(9)] + [(f"d{i}", f"d{i + 1}") for i in range(4)]
+    table = edges(spark, *wide)
+    want = {**{f"a{i}": 0 for i in range(60)}, **{f"b{i}": 1 for i in range(7)}, **{f"c{i}": 2 for i in range(9)}, **{f"d{i}": i + 3 for i in range(5)}}
+    names = table.selectExpr("explode(array(parent, child)) AS node").distinct()
+    for rows in (0, 30):
+        monkeypatch.setattr(G, "BROADCAST_ROWS", rows)
+        assert {r.node: r.level for r in G.node_levels(names, table).collect()} == want
+    sizes = type("Sizes", (), {"ready": 2, "open": 1, "edges": 3})
+    left = spark.createDataFrame([("b", 0), ("c", 0), ("d", 2)], "node string, need bigint")
+    monkeypatch.setattr(G, "BROADCAST_ROWS", 5)
+    ahead, held = G._still_ahead(edges(spark, ("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("a", "d"), ("x", "b")), 6, left, sizes, ())
+    assert held == 2 and pairs(ahead.selectExpr("parent AS ancestor", "child AS descendant")) == {("b", "d"), ("c", "d")}

@@ -253,3 +253,20 @@ def test_named_p_values_do_not_switch_by_size(spark):
     for n in (12_000, 900):
         assert exact[n] == pytest.approx(exceedance(40, n, np.array([round(0.2 * math.lcm(40, n))]))[0], rel=1e-12)
         assert limit[n] != exact[n]
+
+
+def test_bins_written_out_equal_those_of_the_array(spark):
+    """Compared one by one the bins are the same, also at edges, without inner edges and for infinite values."""
+    from shoreline.operators import profile as P
+
+    inf = float("inf")
+    nodes = spark.createDataFrame(
+        [("a", [-inf, 1.0, 2.0, inf]), ("b", [-inf, inf]), ("c", [inf]), ("d", [-inf, -inf, 0.0, 5.0, 7.5, inf]), ("e", None)],
+        "node string, edges array<double>",
+    )
+    values = spark.createDataFrame([(v,) for v in (-inf, -1.0, 0.0, 1.0, 1.5, 2.0, 5.0, 7.5, 9.0, inf)], "value double")
+    rows = nodes.crossJoin(values)
+    assert P.most_edges(nodes) == 6
+    compiled = P.bin_of("value", "edges", P.most_edges(nodes))
+    assert rows.filter(~compiled.eqNullSafe(P.bin_of("value", "edges"))).count() == 0
+    assert "lambda" not in rows.select(compiled)._jdf.queryExecution().executedPlan().toString()

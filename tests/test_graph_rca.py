@@ -1,5 +1,6 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,3 +276,55 @@ def test_peeling_reads_only_edges_still_ahead(spark, monkeypatch):
     monkeypatch.setattr(G, "BROADCAST_ROWS", 5)
     ahead, held = G._still_ahead(edges(spark, ("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("a", "d"), ("x", "b")), 6, left, sizes, ())
     assert held == 2 and pairs(ahead.selectExpr("parent AS ancestor", "child AS descendant")) == {("b", "d"), ("c", "d")}
+
+
+def _closure(rows):
+    """(key, ancestor, descendant) by following edges from every node."""
+    below = {}
+    for k, a, b in rows:
+        below.setdefault((k, a), set()).add(b)
+    found = set()
+    for k, a in below:
+        open_ = list(below[k, a])
+        while open_:
+            b = open_.pop()
+            if (k, a, b) not in found:
+                found.add((k, a, b))
+                open_ += below.get((k, b), ())
+    return found
+
+
+def test_closure_by_layers_equals_a_walk(spark, monkeypatch):
+    """Graphs of one and of several ends, with cycles above them, behind them and beside them, and without any end."""
+    monkeypatch.setattr(G, "LAYER_EDGES", 0)
+    rng = np.random.default_rng(0)
+    rows = set()
+    for k in ("one", "many", "ring"):
+        rows |= {(k, f"a{i % 3}", f"b{rng.integers(4)}") for i in range(6)}
+        rows |= {(k, f"b{rng.integers(4)}", f"c{i}") for i in range(30)}
+        rows |= {(k, f"a{rng.integers(3)}", f"c{i}") for i in range(0, 30, 3)}
+        rows |= {(k, "b0", "a0"), (k, "c1", "x"), (k, "x", "y"), (k, "y", "x"), (k, "z", "z")}
+    rows |= {("one", f"c{i}", "end") for i in range(30) if i != 1}
+    rows |= {("many", f"c{i}", f"d{i % 4}") for i in range(5, 30)}
+    rows = {r for r in rows if r[0] != "ring" or not r[2].startswith("c")} | {("ring", "y", "a1")}
+    given = spark.createDataFrame(sorted(rows) + [("one", None, "c3"), ("one", "c3", None)], "k string, parent string, child string")
+    assert sorted(map(tuple, G.transitive_closure(given, ["k"]).collect())) == sorted(_closure(rows))
+    for k in ("one", "many", "ring"):
+        alone = G.transitive_closure(given.filter(F.col("k") == k).drop("k"))
+        assert sorted(map(tuple, alone.collect())) == sorted(r[1:] for r in _closure(rows) if r[0] == k)
+
+
+def test_closure_doubles_the_upper_rows_of_a_wide_graph_only(spark, monkeypatch):
+    written, store = [], G.stored
+    def counted(df, label):
+        out = store(df, label)
+        written.append((label, out.count()))
+        return out
+    monkeypatch.setattr(G, "stored", counted)
+    rows = [(f"a{i % 3}", f"b{i}") for i in range(300)] + [(f"b{i % 300}", f"c{i % 7000}") for i in range(14_000)]
+    rows += [(f"c{i}", "prediction") for i in range(7000)]
+    found = G.transitive_closure(edges(spark, *rows))
+    want = _closure({("", *r) for r in rows})
+    assert found.count() == len(want) == found.distinct().count()
+    assert pairs(found) == {r[1:] for r in want}
+    assert max(n for label, n in written if label == "closure") <= 300

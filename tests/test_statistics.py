@@ -270,3 +270,22 @@ def test_bins_written_out_equal_those_of_the_array(spark):
     compiled = P.bin_of("value", "edges", P.most_edges(nodes))
     assert rows.filter(~compiled.eqNullSafe(P.bin_of("value", "edges"))).count() == 0
     assert "lambda" not in rows.select(compiled)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exact_p_values_of_many_triples_take_few_logarithms(spark, rng, monkeypatch):
+    """Logarithms grow with the smaller sample, not with its square; sizes may differ from row to row."""
+    from shoreline.functions import pvalues
+
+    sizes = [(int(m), int(n)) for m, n in zip(rng.choice([1, 30, 64], 200), rng.integers(64, 700, 200))]
+    rows = [(n, m, h / math.lcm(m, n)) for m, n in sizes for h in [int(rng.integers(0, math.lcm(m, n) + 1))]]
+    made = spark.createDataFrame(rows, "n1 bigint, n2 bigint, d double")
+    for r in with_ks_pvalue(made, "n1", "n2", "d", "exact").collect():
+        step = np.array([round(r.d * math.lcm(r.n1, r.n2))])
+        assert r.p_value == pytest.approx(lattice(r.n2, r.n1, step)[0], rel=1e-9)
+    taken, log = [0], pvalues._log_factorial
+    def counted(k):
+        taken[0] += np.size(k)
+        return log(k)
+    monkeypatch.setattr(pvalues, "_log_factorial", counted)
+    exceedance(100, 600_007, rng.integers(1, 10_000_000, 40))
+    assert taken[0] < 40 * 40 * 100
